@@ -70,24 +70,18 @@ def _cell_join(left: DataFrame, right: DataFrame, keys: list[str], exact: Column
 
 
 CUBE = ["_cx", "_cy", "_cz"]
-AROUND = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
 
-
-def _touching(df: DataFrame, size: Column, cell: Sequence[Column]) -> DataFrame:
-    """Copy each row to the up to 27 cubes around its own. Cubes the unit sphere does not pass through hold no
-    points and are dropped, which leaves about ten."""
+def _touching(df: DataFrame, size: str, cell: Sequence[Column]) -> DataFrame:
+    """Copy each row to the up to 27 cubes around its own; ``size`` is the cube size as SQL. Cubes the unit sphere
+    does not pass through hold no points and are dropped, which leaves about ten."""
     base = [c + "b" for c in CUBE]
-    steps = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(CUBE, step)]) for step in AROUND])
-    df = df.withColumns(dict(zip(base, cell))).withColumn("_step", F.explode(steps))
-    df = df.withColumns({c: F.col(b) + F.col("_step")[c] for c, b in zip(CUBE, base)})
-    low, high = F.lit(0.0), F.lit(0.0)
-    for c in CUBE:
-        a, b = F.col(c) * size, (F.col(c) + 1) * size
-        low = low + F.when((a <= 0) & (b >= 0), 0.0).otherwise(F.least(a * a, b * b))
-        high = high + F.greatest(a * a, b * b)
-    return df.filter((low <= 1 + 1e-9) & (high >= 1 - 1e-9)).drop("_step", *base)
-
-
+    df = df.withColumns(dict(zip(base, cell))).withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(26))))
+    steps = ["_step div 9", "_step div 3 % 3", "_step % 3"]
+    df = df.withColumns({c: F.expr(f"{b} + {step} - 1") for c, b, step in zip(CUBE, base, steps)})
+    # Smallest and largest distance from the centre of the earth to a point of the cube, per axis and squared.
+    near = " + ".join(f"pow(greatest({c}, -{c} - 1, 0L) * {size}, 2)" for c in CUBE)
+    far = " + ".join(f"pow(greatest({c} + 1, -{c}) * {size}, 2)" for c in CUBE)
+    return df.filter(f"{near} <= 1 + 1e-9D AND {far} >= 1 - 1e-9D").drop("_step", *base)
 
 
 def within_km(left: DataFrame, right: DataFrame, km: float,
@@ -105,7 +99,7 @@ def within_km(left: DataFrame, right: DataFrame, km: float,
         return df, [F.floor(v / size) for v in unit_xyz(*at)]
     l, lc = cubes(left, left_at)
     r, rc = cubes(right, right_at)
-    l = _touching(l, F.lit(size), lc)
+    l = _touching(l, f"{size!r}D", lc)
     r = r.withColumns(dict(zip(CUBE, rc)))
     dist = haversine_km(*[F.col(f"l.{c}") for c in left_at], *[F.col(f"r.{c}") for c in right_at])
     pairs = _cell_join(l, r, CUBE, dist <= km, hot_rows)
@@ -145,10 +139,7 @@ def within_box(left: DataFrame, right: DataFrame, deg: float, how: str = "inner"
 # times smaller than the one before.
 LEVELS = list(range(0, 22, 2))
 FINEST = LEVELS[-1]
-
-
-def _level_size(level: Column) -> Column:
-    return F.lit(2.0) / F.pow(F.lit(2.0), level)
+LEVEL_SIZE = "pow(2D, 1 - _level)"
 
 
 def _pyramid(df: DataFrame, finest: Sequence[str]) -> DataFrame:
@@ -199,7 +190,7 @@ def nearest_k(points: DataFrame | Sequence[tuple], targets: DataFrame, k: int,
               .groupBy(*cell).agg(F.sum("_n").alias("_n")))
     levels = _pyramid(points.select(*fine).distinct(), fine)
     used = levels.select(*cell).distinct()
-    around = _touching(used.withColumnsRenamed({c: c + "0" for c in CUBE}), _level_size(F.col("_level")),
+    around = _touching(used.withColumnsRenamed({c: c + "0" for c in CUBE}), LEVEL_SIZE,
                        [F.col(c + "0") for c in CUBE])
     home = [c + "0" for c in CUBE]
     blocks = (around.join(counts, cell).groupBy("_level", *home).agg(F.sum("_n").alias("_n"))
@@ -214,7 +205,7 @@ def nearest_k(points: DataFrame | Sequence[tuple], targets: DataFrame, k: int,
     leveled = materialize(points.join(enough, fine, "left").withColumn("_level", step).drop("_found"))
     def up(c):
         return F.floor(F.col(c) / F.pow(F.lit(2.0), F.lit(FINEST) - F.col("_level")))
-    probes = _touching(leveled, _level_size(F.col("_level")), [up(c) for c in fine]).drop(*fine)
+    probes = _touching(leveled, LEVEL_SIZE, [up(c) for c in fine]).drop(*fine)
     # At most one row per level, so broadcasting it is safe; targets are copied only to levels in use.
     levels_used = F.broadcast(leveled.select("_level").distinct())
     shelves = _pyramid(targets, fine).join(levels_used, "_level", "left_semi").drop(*fine)
