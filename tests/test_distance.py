@@ -127,6 +127,7 @@ def test_nearby(sides, centre):
 def test_nearby_pushes_the_box(spark, sides, tmp_path):
     path = str(tmp_path / "p")
     sides[2].write.parquet(path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10000)
     plan = D.nearby(spark.read.parquet(path), -33.8, 151.2, 30)._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(latitude" in plan and "LessThanOrEqual(longitude" in plan
 

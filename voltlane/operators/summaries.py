@@ -46,7 +46,8 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
     ends = df.agg(F.struct(F.min(c).alias("lo"), F.max(c).alias("hi"))).scalar()
     placed = df.filter(c.isNotNull()).select(c.alias("v"), ends.alias("e"))
     width = (F.col("e.hi") - F.col("e.lo")) / bins
-    index = F.coalesce(F.least(F.lit(bins), F.floor(F.try_divide(F.col("v") - F.col("e.lo"), width)) + 1), F.lit(1))
+    # When all values are equal the width is 0 and everything belongs to the first bin.
+    index = F.least(F.lit(bins), F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("e.lo"), width)) + 1, F.lit(1)))
     return (placed.select(index.cast("int").alias("bin"), (F.col("e.lo") + width * (index - 1)).alias("lower_edge"))
             .groupBy("bin").agg(F.min("lower_edge").alias("lower_edge"), F.count(F.lit(1)).alias("row_count")))
 
