@@ -754,11 +754,10 @@ def read_csv_raw(spark, d):
 
 @query
 def unwrap_envelope(spark, d):
-    """Prices in envelopes of one order each."""
+    """Prices in envelopes of one record each, so that no group has to be gathered to write them."""
     path = shared_dir(spark)
     record = F.struct("stationcode", "fueltype", "price")
-    fuel_rows = view(spark, d, "fuel_raw").withColumn("price", F.round("price", 3))
-    fuel_rows.groupBy("tie_key").agg(F.collect_list(record).alias("prices")).drop("tie_key").write.json(path)
+    view(spark, d, "fuel_raw").select(F.array(record).alias("prices")).write.json(path)
     schema = "prices array<struct<stationcode:string, fueltype:string, price:double>>"
     rows_back = files.unwrap_envelope(spark.read.schema(schema).json(path))
     return out(rows_back, "stationcode", "fueltype", "price:3")
@@ -822,7 +821,7 @@ def stream_dedup(spark, d):
 
 @query
 def stream_silver_fuel(spark, d):
-    landed = view(spark, d, "fuel_raw").select("stationcode", "fueltype", F.round("price", 3).alias("price"),
+    landed = view(spark, d, "fuel_raw").select("stationcode", "fueltype", "price",
                                                F.date_format("last_updated_ts", fixed.FEED_TIME_FORMAT).alias("lastupdated"))
     return out(_run(spark, "fuel", landed), "stationcode", "fuel_type", "price:3", "fuel_category", "price_updated_timestamp:t")
 
