@@ -85,12 +85,12 @@ def nearest(a, b, k, max_km=None):
     return {i: v for i, v in out.items() if v}
 
 
-@pytest.mark.parametrize("k,max_km,hot", [(1, None, None), (5, None, 9), (3, 50.0, None), (600, None, None)])
-def test_nearest_k_table(spark, sides, k, max_km, hot):
+@pytest.mark.parametrize("k,max_km,hot,enough", [(1, None, None, 512), (5, None, 9, 40), (3, 50.0, None, 10), (600, None, None, 512)])
+def test_nearest_k_table(spark, sides, k, max_km, hot, enough):
     a, b, left, right = sides
     points = left.withColumnsRenamed({"latitude": "ref_lat", "longitude": "ref_lon"})
     got = {}
-    rows = D.nearest_k(points, right, k, "lid", target_at=("hazard_lat", "hazard_lon"), tiebreak=("rid",), max_km=max_km, hot_rows=hot)
+    rows = D.nearest_k(points, right, k, "lid", target_at=("hazard_lat", "hazard_lon"), tiebreak=("rid",), max_km=max_km, hot_rows=hot, enough=enough)
     for r in rows.orderBy("lid", "rank").collect():
         got.setdefault(r["lid"], []).append(round(r["distance_km"], 9))
     want = nearest(a, b, k, max_km)
@@ -117,6 +117,28 @@ def test_many_copies_of_one_target(spark):
     assert [r["objectid"] for r in D.nearest_k(points, targets, 3).orderBy("rank").collect()] == [0, 1, 2]
 
 
+def test_crowd_beside_a_sparse_point(spark):
+    """A dense block near a point with few neighbours: the search must not compare the whole block."""
+    crowd = spark.range(20000).select(F.col("id").alias("objectid"), (-33.0 + (F.col("id") % 200) / 1e6).alias("latitude"),
+                                      (151.0 + F.floor(F.col("id") / 200) / 1e6).alias("longitude"))
+    few = spark.createDataFrame([(-1, -33.0, 150.98), (-2, -33.0, 150.97), (-3, -33.03, 150.98)], "objectid bigint, latitude double, longitude double")
+    targets = few.unionByName(crowd)
+    points = spark.createDataFrame([("edge", -33.0, 150.981), ("inside", -33.00005, 151.00005)], "location_name string, ref_lat double, ref_lon double")
+    rows = D.nearest_k(points, targets, 3, enough=64)
+    got = {}
+    for r in rows.orderBy("location_name", "rank").collect():
+        got.setdefault(r["location_name"], []).append(r["objectid"])
+    want = {}
+    for p in points.collect():
+        ranked = targets.withColumn("d", haversine_km(F.lit(p[1]), F.lit(p[2]), "latitude", "longitude")).orderBy("d", "objectid").limit(3)
+        want[p[0]] = [r["objectid"] for r in ranked.collect()]
+    assert got == want
+    spots = D._placed(points.select("ref_lat", "ref_lon"), ("ref_lat", "ref_lon"))
+    fine = D._placed(targets, ("latitude", "longitude")).groupBy(*D.FINE).agg(F.count(F.lit(1)).alias("_n"))
+    held = D._nearest_cubes(spots, fine, ["ref_lat", "ref_lon"], 3, None, 64).groupBy("ref_lon").agg(F.sum("_n").alias("n"))
+    assert max(r["n"] for r in held.collect()) < 1000
+
+
 @pytest.mark.parametrize("centre", [(-33.8, 151.2), (89.95, 10.0), (-17.0, 179.99), (-17.0, -179.99)])
 def test_nearby(sides, centre):
     a, _, left, _ = sides

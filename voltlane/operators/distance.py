@@ -136,20 +136,100 @@ def within_box(left: DataFrame, right: DataFrame, deg: float, how: str = "inner"
 
 # --- nearest k -------------------------------------------------------------------------------------
 
-# Cube sizes of the search pyramid, on the unit sphere: 2 (whole earth) down to about 12 metres, each four
+# Cube sizes of the search pyramid, on the unit sphere: 2 (whole earth) down to about 20 centimetres, each four
 # times smaller than the one before.
-LEVELS = list(range(0, 22, 2))
+LEVELS = list(range(0, 27, 2))
 FINEST = LEVELS[-1]
 LEVEL_SIZE = "pow(2D, 1 - _level)"
+FINE = ["_fx", "_fy", "_fz"]
+UNIT = ["_px", "_py", "_pz"]
+# A point whose candidate cubes hold more targets than this gets smaller cubes.
+ENOUGH = 512
 
 
-def _pyramid(df: DataFrame, finest: Sequence[str]) -> DataFrame:
+def _placed(df: DataFrame, at: tuple[str, str]) -> DataFrame:
+    """Unit vector and finest cube of each row; rows without coordinates are dropped."""
+    df = df.filter(F.col(at[0]).isNotNull() & F.col(at[1]).isNotNull())
+    df = df.withColumns(dict(zip(UNIT, unit_xyz(*at))))
+    return df.withColumns({f: F.floor(F.col(u) * 2 ** (FINEST - 1)) for f, u in zip(FINE, UNIT)})
+
+
+def _lifted(df: DataFrame) -> DataFrame:
+    """The cube of level ``_level`` that holds the finest cube."""
+    return df.withColumns({c: F.expr(f"shiftright({f}, {FINEST} - _level)") for c, f in zip(CUBE, FINE)})
+
+
+def _pyramid(df: DataFrame) -> DataFrame:
     """Each row once per level, with the cube that holds it on that level."""
-    levels = F.explode(F.array(*[F.lit(v) for v in LEVELS]))
-    df = df.withColumn("_level", levels)
-    def up(c):
-        return F.floor(F.col(c) / F.pow(F.lit(2.0), F.lit(FINEST) - F.col("_level")))
-    return df.withColumns({n: up(c) for n, c in zip(CUBE, finest)})
+    return _lifted(df.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in LEVELS]))))
+
+
+def _in_reach(cubes: DataFrame, spot: Sequence[str], k: int, max_chord: float | None) -> DataFrame:
+    """Drop cubes that cannot hold one of the ``k`` nearest targets of their spot.
+
+    Taking cubes by their farthest corner until they hold ``k`` targets bounds the k-th distance; a cube whose
+    nearest corner is beyond the bound is out. A spot has at most some hundred cubes at a time."""
+    near = " + ".join(f"pow(greatest({c} * {LEVEL_SIZE} - {u}, {u} - ({c} + 1) * {LEVEL_SIZE}, 0D), 2)" for c, u in zip(CUBE, UNIT))
+    far = " + ".join(f"pow(greatest(abs({u} - {c} * {LEVEL_SIZE}), abs(({c} + 1) * {LEVEL_SIZE} - {u})), 2)" for c, u in zip(CUBE, UNIT))
+    held = F.sum("_n").over(Window.partitionBy(*spot).orderBy("_far"))
+    bound = F.min(F.when(F.col("_held") >= k, F.col("_far"))).over(Window.partitionBy(*spot))
+    out = (cubes.withColumns({"_near": F.expr(near), "_far": F.expr(far)}).withColumn("_held", held)
+           .withColumn("_bound", F.coalesce(bound, F.lit(16.0))).filter("_near <= _bound * (1 + 1e-9D) + 1e-15D"))
+    if max_chord is not None:
+        out = out.filter(F.col("_near") <= max_chord ** 2)
+    return out.drop("_near", "_far", "_held", "_bound")
+
+
+def _nearest_cubes(spots: DataFrame, fine_counts: DataFrame, spot: Sequence[str], k: int, max_km: float | None,
+                   enough: int) -> DataFrame:
+    """For every spot, cubes that are certain to hold its ``k`` nearest targets and hold few others."""
+    cell = ["_level", *CUBE]
+    max_chord = None if max_km is None else chord(max_km)
+
+    def counts(levels: DataFrame | None = None) -> DataFrame:
+        cubes = _pyramid(fine_counts)
+        if levels is not None:
+            # One row per level at most.
+            cubes = cubes.join(F.broadcast(levels), "_level", "left_semi")
+        return cubes.groupBy(*cell).agg(F.sum("_n").alias("_n"))
+
+    # The finest level on which the block of touching cubes around a spot holds k targets. Touching works both
+    # ways, so the side with fewer cubes is the one that is copied to its neighbours.
+    levels = _pyramid(spots.select(*FINE).distinct())
+    home = [c + "0" for c in CUBE]
+    if fine_counts.count() <= spots.count():
+        around = counts().withColumnsRenamed(dict(zip(CUBE, home)))
+        totals = _touching(around, LEVEL_SIZE, [F.col(h) for h in home]).groupBy(*cell).agg(F.sum("_n").alias("_n"))
+    else:
+        around = levels.select("_level", *[F.col(c).alias(h) for c, h in zip(CUBE, home)]).distinct()
+        totals = (_touching(around, LEVEL_SIZE, [F.col(h) for h in home]).join(counts(), cell)
+                  .groupBy("_level", *home).agg(F.sum("_n").alias("_n")).withColumnsRenamed(dict(zip(home, CUBE))))
+    blocks = totals.filter(F.col("_n") >= k).select(*cell)
+    found = levels.join(blocks, cell, "left_semi").groupBy(*FINE).agg(F.max("_level").alias("_found"))
+    # The k-th distance is at most the diagonal of that block, 2*sqrt(3) cubes: less than one cube a level up.
+    start = F.greatest(F.coalesce("_found", F.lit(0)) - (LEVELS[1] - LEVELS[0]), F.lit(0))
+    if max_chord is not None:
+        start = F.greatest(start, F.lit(max(v for v in LEVELS if 2.0 / 2 ** v >= min(max_chord, 2.0))))
+    leveled = materialize(spots.join(found, FINE, "left").withColumn("_level", start).drop("_found"))
+    cells = [F.expr(f"shiftright({f}, {FINEST} - _level)") for f in FINE]
+    cubes = _touching(leveled, LEVEL_SIZE, cells).drop(*FINE).join(counts(leveled.select("_level").distinct()), cell)
+    cubes = materialize(_in_reach(cubes, spot, k, max_chord))
+
+    # Where those cubes still hold many targets, look at their parts. Each round quarters the cubes, so there are
+    # at most as many rounds as levels; in most data there is none or one.
+    for _ in LEVELS:
+        busy = (cubes.groupBy(*spot).agg(F.sum("_n").alias("_all"), F.min("_level").alias("_top"))
+                .filter((F.col("_all") > enough) & (F.col("_top") < FINEST)).select(*spot))
+        busy = materialize(busy)
+        if busy.isEmpty():
+            break
+        step = LEVELS[1] - LEVELS[0]
+        parents = (cubes.join(busy, list(spot), "left_semi").drop("_n").withColumn("_level", F.col("_level") + step)
+                   .withColumnsRenamed({c: c + "0" for c in CUBE}))
+        parts = counts(parents.select("_level").distinct()).withColumns({h: F.shiftright(c, step) for h, c in zip(home, CUBE)})
+        smaller = parents.join(parts, ["_level", *home]).select(*cubes.columns)
+        cubes = materialize(cubes.join(busy, list(spot), "left_anti").unionByName(_in_reach(smaller, spot, k, max_chord)))
+    return cubes
 
 
 def _within_kth(pairs: DataFrame, key: str, distance: str, k: int) -> DataFrame:
@@ -174,14 +254,14 @@ def nearest_k(points: DataFrame | Sequence[tuple], targets: DataFrame, k: int,
               point_key: str = "location_name", point_at: tuple[str, str] = ("ref_lat", "ref_lon"),
               target_at: tuple[str, str] = ("latitude", "longitude"), tiebreak: Sequence[str] = ("objectid",),
               distance: str = "distance_km", max_km: float | None = None,
-              hot_rows: int | None = HOT_ROWS) -> DataFrame:
+              hot_rows: int | None = HOT_ROWS, enough: int = ENOUGH) -> DataFrame:
     """The ``k`` nearest targets of every point, with distance and rank; targets without coordinates never
     count. ``max_km`` leaves out targets farther away.
 
     ``points`` as a short Python list of (key, lat, lon) is folded into the scan of the targets; a first pass over
-    their coordinates bounds the k-th distance, so hardly more than ``k`` rows per point are sorted. As a DataFrame, a pyramid of cube counts first
-    finds, for each point, the smallest cube block that holds ``k`` targets; the next larger block is then
-    certain to hold the true ``k`` nearest, and only targets in it are compared."""
+    their coordinates bounds the k-th distance, so hardly more than ``k`` rows per point are sorted. As a DataFrame,
+    cube counts on a pyramid of sizes narrow the search of each place down to cubes that hold its ``k`` nearest and
+    few others (``enough``, more only where targets crowd inside 20 centimetres); only targets in them are compared."""
     order = [F.col(distance), *[as_col(t) for t in tiebreak]]
     targets = targets.filter(F.col(target_at[0]).isNotNull() & F.col(target_at[1]).isNotNull())
     if isinstance(points, (list, tuple)):
@@ -193,50 +273,22 @@ def nearest_k(points: DataFrame | Sequence[tuple], targets: DataFrame, k: int,
             pairs = pairs.filter(F.col(distance) <= max_km)
         return top_k_per(_within_kth(pairs, point_key, distance, k), [point_key], order, k)
 
-    fine = ["_fx", "_fy", "_fz"]
-    def placed(df, at):
-        cells = [F.floor(v / (2.0 / 2 ** FINEST)) for v in unit_xyz(*at)]
-        return df.withColumns(dict(zip(fine, cells)))
-    # Both are read several times below, so they are stored with their finest cubes.
-    points = materialize(placed(points.filter(F.col(point_at[0]).isNotNull() & F.col(point_at[1]).isNotNull()), point_at))
-    # Only k of the targets at one place can be among anyone's k nearest.
+    # Points at one place share one search; of the targets at one place only k can be among anyone's k nearest.
+    spot = list(point_at)
+    spots = materialize(_placed(points.select(*spot).distinct(), point_at))
     places = top_k_per(targets, list(target_at), [as_col(t) for t in tiebreak], k, "_copy").drop("_copy")
-    targets = materialize(placed(places, target_at))
-    cell = ["_level", *CUBE]
-
-    # Targets per cube and level, then per block of touching cubes around each cube that holds points.
-    counts = (_pyramid(targets.groupBy(*fine).agg(F.count(F.lit(1)).alias("_n")), fine)
-              .groupBy(*cell).agg(F.sum("_n").alias("_n")))
-    levels = _pyramid(points.select(*fine).distinct(), fine)
-    used = levels.select(*cell).distinct()
-    around = _touching(used.withColumnsRenamed({c: c + "0" for c in CUBE}), LEVEL_SIZE,
-                       [F.col(c + "0") for c in CUBE])
-    home = [c + "0" for c in CUBE]
-    blocks = (around.join(counts, cell).groupBy("_level", *home).agg(F.sum("_n").alias("_n"))
-              .filter(F.col("_n") >= k).select("_level", *[F.col(h).alias(c) for h, c in zip(home, CUBE)]))
-    enough = (levels.join(blocks, cell, "left_semi")
-              .groupBy(*fine).agg(F.max("_level").alias("_found")))
-    # The k-th distance is at most the block's diagonal, 2*sqrt(3) cubes: less than one cube one level up.
-    step = F.greatest(F.coalesce("_found", F.lit(0)) - (LEVELS[1] - LEVELS[0]), F.lit(0))
-    if max_km is not None:
-        covering = max(v for v in LEVELS if 2.0 / 2 ** v >= min(chord(max_km), 2.0))
-        step = F.greatest(step, F.lit(covering))
-    leveled = materialize(points.join(enough, fine, "left").withColumn("_level", step).drop("_found"))
-    def up(c):
-        return F.floor(F.col(c) / F.pow(F.lit(2.0), F.lit(FINEST) - F.col("_level")))
-    probes = _touching(leveled, LEVEL_SIZE, [up(c) for c in fine]).drop(*fine)
+    stored = materialize(_placed(places, target_at).drop(*UNIT))
+    fine_counts = materialize(stored.groupBy(*FINE).agg(F.count(F.lit(1)).alias("_n")))
+    probes = _nearest_cubes(spots, fine_counts, spot, k, max_km, enough).drop("_n", *UNIT)
     # At most one row per level, so broadcasting it is safe; targets are copied only to levels in use.
-    levels_used = F.broadcast(leveled.select("_level").distinct())
-    shelves = _pyramid(targets, fine).join(levels_used, "_level", "left_semi").drop(*fine)
+    levels_used = F.broadcast(probes.select("_level").distinct())
+    shelves = _pyramid(stored).join(levels_used, "_level", "left_semi").drop(*FINE)
 
     dist = haversine_km(*[F.col(f"l.{c}") for c in point_at], *[F.col(f"r.{c}") for c in target_at])
     limit = F.lit(True) if max_km is None else dist <= max_km
-    pairs = _cell_join(probes, shelves, cell, limit, crowded(hot_rows, points, targets))
-    point_cols = [c for c in points.columns if c not in fine]
-    target_cols = [c for c in targets.columns if c not in fine]
-    pairs = pairs.select(*[F.col(f"l.{c}") for c in point_cols], *[F.col(f"r.{c}") for c in target_cols],
-                         dist.alias(distance))
-    return top_k_per(pairs, [point_key], order, k)
+    pairs = _cell_join(probes, shelves, ["_level", *CUBE], limit, crowded(hot_rows, probes, stored))
+    pairs = pairs.select(*[F.col(f"l.{c}") for c in spot], *[F.col(f"r.{c}") for c in targets.columns], dist.alias(distance))
+    return points.join(top_k_per(pairs, spot, order, k), spot)
 
 
 # --- one place ---------------------------------------------------------------------------------------
