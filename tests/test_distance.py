@@ -222,7 +222,7 @@ def test_smart_counts_lists_and_scores(spark, hot):
 def test_feed_smart_steps(spark, n, access):
     stations = spark.createDataFrame([("s", "Rapid", True, -33.0, 151.0)], "station_id string, charging_speed string, has_valid_location boolean, latitude double, longitude double").withColumns(
         {c: F.lit(None).cast("string") for c in ("operator_name", "address_line1", "suburb", "postcode", "charger_type")} | {"number_of_plugs": F.lit(1), "charging_power_kw": F.lit(50.0)})
-    rows = [(f"k{i}", -33.0 + 0.04, 151.0 - 0.04, True) for i in range(n)] * 2 + [("far", -33.05, 151.0, True), ("off", -33.0, 151.0, False), (None, -33.0, 151.0, True)]
+    rows = [(f"k{i}", -33.0 + 0.04, 151.0 - 0.04, True) for i in range(n)] * 2 + [("far", -33.0501, 151.0, True), ("off", -33.0, 151.0, False), (None, -33.0, 151.0, True)]
     hazards = spark.createDataFrame(rows, "composite_key string, latitude double, longitude double, is_active boolean")
     r = feeds.feed_smart(stations, hazards).first()
     assert (r["nearby_hazards"], r["accessibility_score"]) == (n, access)
