@@ -28,6 +28,7 @@ HOT_ROWS = 4096
 # At most this many cells per side, the fullest ones, are cut. It bounds the list that is broadcast; it does not
 # change the result, because an uncut cell is joined just the same.
 MAX_HOT = 10_000
+MAX_TASKS = 20_000
 
 
 def crowded(hot_rows: int | None, *stored: DataFrame) -> int | None:
@@ -38,30 +39,39 @@ def crowded(hot_rows: int | None, *stored: DataFrame) -> int | None:
     return hot_rows
 
 
-def _split_hot(left: DataFrame, right: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
+def _split_hot(left: DataFrame, right: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame] | None:
     """Add block columns (_bl, _br) to both sides: constant for ordinary cells, fragment-and-replicate for hot
     ones. A left row sits in one left block and is copied to all right blocks, and the other way round, so
-    every pair still meets exactly once."""
+    every pair still meets exactly once. None when no cell is hot."""
     def blocks(df, mine, other):
         counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
         return (counts.orderBy(F.desc("_n"), *keys).limit(MAX_HOT)
                 .select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias(mine), F.lit(1).alias(other)))
 
-    hot = (blocks(left, "_nl", "_nr").unionByName(blocks(right, "_nr", "_nl"))
-           .groupBy(*keys).agg(F.max("_nl").alias("_nl"), F.max("_nr").alias("_nr")))
+    hot = materialize(blocks(left, "_nl", "_nr").unionByName(blocks(right, "_nr", "_nl"))
+                      .groupBy(*keys).agg(F.max("_nl").alias("_nl"), F.max("_nr").alias("_nr")))
+    heavy = hot.agg(F.sum(F.col("_nl").cast("bigint") * F.col("_nr"))).first()[0]
+    if heavy is None:
+        return None
+    # Pairs of blocks are small in bytes and long in work, so a partition count by size would pile them up in few
+    # tasks. A count that is asked for is not merged again.
+    spark = left.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(2 * heavy, MAX_TASKS))
 
     def spread(df, own, own_n, other, other_n):
         tagged = df.join(F.broadcast(hot), list(keys), "left")
         mine = F.pmod(row_hash(df), F.coalesce(F.col(own_n), F.lit(1))).cast("int")
         copies = F.sequence(F.lit(0), F.coalesce(F.col(other_n), F.lit(1)) - 1)
-        return tagged.select(*df.columns, mine.alias(own), F.explode(copies).alias(other))
+        copied = tagged.select(*df.columns, mine.alias(own), F.explode(copies).alias(other))
+        return copied.repartition(tasks, *keys, "_bl", "_br")
 
     return spread(left, "_bl", "_nl", "_br", "_nr"), spread(right, "_br", "_nr", "_bl", "_nl")
 
 
 def _cell_join(left: DataFrame, right: DataFrame, keys: list[str], exact: Column, hot_rows: int | None) -> DataFrame:
-    if hot_rows:
-        left, right = _split_hot(left, right, keys, hot_rows)
+    split = _split_hot(left, right, keys, hot_rows) if hot_rows else None
+    if split:
+        left, right = split
         keys = keys + ["_bl", "_br"]
     l, r = left.alias("l"), right.alias("r")
     condition = exact
