@@ -163,6 +163,8 @@ def _scan(index: _Index, first: bool, last: bool):
                         both = [x + y for x, y in zip(part.column(name).to_pylist(), out[name].to_pylist(), strict=True)]
                         out[name] = pa.array(both, out[name].type)
                 keep = [c for c in part.schema.names if c not in out and not (last and c == "_text")]
+                if not last:
+                    keep = [c for c in keep if c != "_text"] + ["_text"]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + list(out.values()), names=keep + list(out))
 
     return scan
@@ -178,8 +180,8 @@ def _united(spans):
 
 
 def contamination(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-                  item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of ``docs``: its id, ``n_words``, ``spans`` (disjoint word ranges [start, stop) inside windows of the
+                  item_text: str = "text", block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: its id, a struct ``row`` of the columns of ``carry`` (if any), ``n_words``, ``spans`` (disjoint word ranges [start, stop) inside windows of the
     benchmark) and ``items`` (sorted ids, as text, of the items that occur; each id once).
 
     Null or empty texts have no words and no hits. An item without words hits nothing. An item without id marks words but
@@ -189,15 +191,16 @@ def contamination(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", tex
     items = items.filter(F.octet_length("_text") > 0)
     total = items.agg(F.sum(F.octet_length("_text"))).head()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
-    state = docs.select(F.col(doc_id).alias("_doc"), F.col(text).cast("string").alias("_text"))
-    kind = dict(state.dtypes)["_doc"]
+    state = docs.select(F.col(doc_id).alias("_doc"), F.col(text).cast("string").alias("_text"),
+                        *([F.struct(*carry).alias("_row")] if carry else []))
+    own_columns = ", ".join(f"{c} {k}" for c, k in state.dtypes if c != "_text")
     for b in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("_text", "_item"), F.lit(blocks)) == b) if blocks > 1 else items
         first, last = b == 0, b == blocks - 1
         scan = _scan(_Index(own.toArrow()), first, last)
-        state = state.mapInArrow(scan, f"_doc {kind}{'' if last else ', _text string'}, {STATE}")
+        state = state.mapInArrow(scan, f"{own_columns}{'' if last else ', _text string'}, {STATE}")
         if not last:
             state = materialize(state)
     named = F.array_sort(F.array_distinct(F.filter("items", lambda x: x.isNotNull())))
     spans = F.col("spans") if blocks == 1 else _united(F.col("spans"))
-    return state.select(F.col("_doc").alias(doc_id), "n_words", spans.alias("spans"), named.alias("items"))
+    return state.select(F.col("_doc").alias(doc_id), *([F.col("_row").alias("row")] if carry else []), "n_words", spans.alias("spans"), named.alias("items"))

@@ -10,10 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .chat import format_chats
 from .decontaminate import contamination
+from .html_extract import extract
+from .language import LanguageModels
 from .near_duplicates import near_duplicates
+from .packing import pack
 from .quality import quality_rules
+from .sharding import shard_rows
 from .substrings import substring_dedup
+from .toxicity import ToxicityModel, learning_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,6 +50,47 @@ def op3_benchmark_decontamination(spark, d):
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+@query
+def op4_toxicity(spark, d):
+    docs = tx.read(spark, d, "documents")
+    model = ToxicityModel(learning_rows(docs, tx.read(spark, d, "labels")))
+    held_out = F.coalesce(tx.fold_of("doc_id", 4) == 2, F.lit(False))
+    return model.score(docs).select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+
+
+@query
+def op5_html_extraction(spark, d):
+    return extract(tx.read(spark, d, "pages"))
+
+
+@query
+def op6_packing(spark, d):
+    return pack(tx.read(spark, d, "documents"))
+
+
+@query
+def op7_sharding(spark, d):
+    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    docs = tx.read(spark, d, "documents").select(
+        "doc_id", (F.octet_length(body) + 1).cast("bigint").alias("size"), F.crc32(body).alias("text_crc32"))
+    return shard_rows(docs, ["doc_id", "size", "text_crc32"]).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op8_language_id(spark, d):
+    docs = tx.read(spark, d, "documents")
+    fold = tx.fold_of("doc_id", 5)
+    held_out = F.coalesce(fold == 0, F.lit(False))
+    found = LanguageModels(docs.filter(fold != 0)).identify(docs)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query
+def op9_chat_formatting(spark, d):
+    return format_chats(tx.read(spark, d, "conversations"))
+
+
 @query
 def op10_quality_rules(spark, d):
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed"]
