@@ -5,7 +5,8 @@ two positions is a difference of two of them. So wherever two texts share ``WIND
 puts both on cover positions, and the ``ANCHOR`` words from there lie inside the shared part. Hashing only at cover
 positions (4 of 13) finds every long match.
 
-1. Anchors of all documents, grouped by hash: those seen twice or more are repeated.
+0. A document whose whole text has a smaller id elsewhere is a repeat as a whole.
+1. Anchors of all other documents, grouped by hash: those seen twice or more are repeated.
 2. Extension: only windows around a repeated anchor are hashed as a whole (128 bits) and grouped; in each group every
    window but the first (by document id, then start) is a repeat.
 3. Words inside repeats are cut from their documents.
@@ -107,21 +108,21 @@ def _send_anchors(routes: int):
     return send
 
 
-def _by_route(batches: Iterator[pa.RecordBatch], kinds: list, settle):
-    """Unpack the rows of one route at a time (they come sorted by route) and give out the places that ``settle`` finds,
-    with those that were known where they came from."""
+def _by_route(batches: Iterator[pa.RecordBatch], kinds: list, settle) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Unpack the rows of one route at a time (they come sorted by route) and give out the (documents, places) that
+    ``settle`` finds, with those that were known where they came from."""
     held: list[list[np.ndarray]] = []
     known: list[tuple[np.ndarray, np.ndarray]] = []
     now = None
 
-    def flush() -> Iterator[pa.RecordBatch]:
+    def flush() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         parts = list(known)
         if held:
             parts.append(settle(*(np.concatenate(c) for c in zip(*held, strict=True))))
         held.clear()
         known.clear()
         if parts:
-            yield from _place_rows(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+            yield tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
     for batch in batches:
         for route, many, n, data in zip(*(batch.column(c).to_pylist() for c in ("route", "many", "n", "data")), strict=True):
@@ -139,7 +140,32 @@ def _by_route(batches: Iterator[pa.RecordBatch], kinds: list, settle):
     yield from flush()
 
 
-def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed_places(found: Iterator[tuple[np.ndarray, np.ndarray]], routes: int) -> Iterator[pa.RecordBatch]:
+    """Send places to their documents: packed, one row per route and FLUSH places."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        doc, place = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((place, doc))
+        if len(doc):
+            yield _rows([*_pack(_spread(doc[order], routes), [doc[order], place[order]], True)])
+
+    for x in found:
+        held.append(x)
+        if sum(len(d) for d, _ in held) >= FLUSH:
+            yield from flush()
+    if held:
+        yield from flush()
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document with all its places."""
+    for doc, place in _by_route(batches, [], None):
+        yield from _place_rows(doc, place)
+
+
+def _repeated_anchors(batches: Iterator[pa.RecordBatch], routes: int) -> Iterator[pa.RecordBatch]:
     def settle(key, doc, at):
         order = np.argsort(key, kind="stable")
         key = key[order]
@@ -147,7 +173,7 @@ def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         own = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
         return doc[own], at[own]
 
-    yield from _by_route(batches, [np.uint64, np.int64, np.uint64], settle)
+    yield from _packed_places(_by_route(batches, [np.uint64, np.int64, np.uint64], settle), routes)
 
 
 def _firsts(h1, h2, doc, at) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,8 +197,9 @@ def _send_windows(routes: int):
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
             held.clear()
             order, later, twin = _firsts(*columns)
-            h1, h2, doc, at = (c[order] for c in columns)
-            out, own = ~later & ~twin, later & ~twin
+            # Sent in the order of the texts, where ids and places of neighbours are alike and compress.
+            out, own = np.sort(order[~later & ~twin]), np.sort(order[later & ~twin])
+            h1, h2, doc, at = columns
             route = (h1 >> np.uint64(48)) % np.uint64(routes)
             yield _rows([*_pack(route[out], [h1[out], h2[out], doc[out], at[out]], False),
                          *_pack(_spread(doc[own], routes), [doc[own], at[own]], True)])
@@ -184,8 +211,8 @@ def _send_windows(routes: int):
                 ids, tags, places = ([x[rows] for x in (batch.column("doc").to_numpy(), batch.column("_tag").to_numpy())]
                                      + [batch.column("places").slice(rows.start, rows.stop - rows.start).to_pylist()])
                 near = np.zeros(len(h) + 1, dtype=np.int32)
-                for d, lists in enumerate(places):
-                    anchors = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in lists]).astype(np.int64))
+                for d, packed in enumerate(places):
+                    anchors = np.unique(np.frombuffer(packed, np.uint64).astype(np.int64))
                     # A window that holds the anchor starts at most PERIOD - 1 words before it.
                     last = counts[d] - WINDOW
                     lo, hi = np.maximum(anchors - PERIOD + 1, 0), np.minimum(anchors, last)
@@ -205,13 +232,13 @@ def _send_windows(routes: int):
     return send
 
 
-def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated_windows(batches: Iterator[pa.RecordBatch], routes: int) -> Iterator[pa.RecordBatch]:
     def settle(h1, h2, doc, at):
         order, later, _ = _firsts(h1, h2, doc, at)
         own = order[later]
         return doc[own], at[own]
 
-    yield from _by_route(batches, [np.uint64, np.uint64, np.int64, np.uint64], settle)
+    yield from _packed_places(_by_route(batches, [np.uint64, np.uint64, np.int64, np.uint64], settle), routes)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,10 +252,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tags = part.column("_tag").to_numpy(zero_copy_only=False)
             touched = [d for d in range(n) if lists[d]]
             for d in touched:
-                place = np.concatenate([np.frombuffer(x, np.uint64) for x in lists[d]])
+                place = np.frombuffer(lists[d], np.uint64)
                 mine = place[(place >> TAG_SHIFT) == np.uint64(tags[d])] & POSITION
                 mark[words.first[d] + mine.astype(np.int64)] = True
             gone, owner = tx.in_windows(mark, WINDOW), words.doc_of_words()
+            counts = words.counts()
+            for d in np.flatnonzero(part.column("_whole").to_numpy(zero_copy_only=False) & (counts >= WINDOW)).tolist():
+                gone[words.first[d]:words.first[d + 1]] = True
+                touched.append(d)
             edge = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.empty(0, bool)
             before = np.concatenate([[False], gone[:-1]]) if len(gone) else gone
             after = np.concatenate([gone[1:], [False]]) if len(gone) else gone
@@ -268,22 +299,37 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     text. Windows are judged on the input. Null or short texts have no windows. Rows without id keep their text and are no
     source for others. Repeated rows are one document; texts that share an id are not earlier than each other at the same
     start. Columns that are not named may be called anything."""
-    spark = docs.sparkSession
-    routes = 4 * tx.parallelism(spark)
-    source = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).cast("string").alias("_text"))
-    anchors = (source.filter("doc is not null").withColumnRenamed("doc", "_doc").mapInArrow(_send_anchors(routes), PACKED)
-               .repartition("route").sortWithinPartitions("route").mapInArrow(_repeated_anchors, PLACES))
-
+    routes = tx.parallelism(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).cast("string").alias("_text"),
                        F.struct(F.col(doc_id), *carry).alias("_row"))
-
-    def joined(places: DataFrame, how: str) -> DataFrame:
-        # Both joins send the same columns by the same key, so Spark sends the texts once and reads them twice.
-        return (rows.join(places.groupBy("doc").agg(F.collect_list("places").alias("places")), "doc", how)
-                .withColumn("_tag", F.coalesce(F.xxhash64("_text").bitwiseAND(F.lit(0xFFFF)), F.lit(0))))
-
-    found = (joined(anchors, "inner").mapInArrow(_send_windows(routes), PACKED)
-             .repartition("route").sortWithinPartitions("route").mapInArrow(_repeated_windows, PLACES))
+    known = rows.filter("doc is not null")
+    hashed = known.select("doc", F.md5(F.coalesce("_text", F.lit("")).cast("binary")).alias("hash"))
+    first = hashed.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first <> last")
+    copies = hashed.join(first, "hash").filter("doc <> first").select("doc", "hash").distinct()
+
+    def joined(places: DataFrame) -> DataFrame:
+        """Texts with their places. All joins send the same columns of the same rows by the same key (``_row`` too, though
+        only the last one uses it), so that Spark sends the texts once and reads them again."""
+        return known.join(places, "doc", "left").withColumn("_tag", F.coalesce(F.xxhash64("_text").bitwiseAND(F.lit(0xFFFF)), F.lit(0)))
+
+    def by_route(packed: DataFrame) -> DataFrame:
+        return packed.repartition("route").sortWithinPartitions("route")
+
+    def gathered(packed: DataFrame) -> DataFrame:
+        return by_route(packed).mapInArrow(_gather, PLACES)
+
+    # A copy of a text with a smaller id repeats it whole and is no first place of any window: it need not be looked at.
+    copied = copies.groupBy("doc").agg(F.collect_list("hash").alias("copied"))
+    not_copied = ~F.coalesce(F.array_contains("copied", F.md5(F.coalesce("_text", F.lit("")).cast("binary"))), F.lit(False))
+    anchors = joined(copied).filter(not_copied).select(F.col("doc").alias("_doc"), "_text", "_row").mapInArrow(_send_anchors(routes), PACKED)
+    anchors = by_route(anchors).mapInArrow(lambda it: _repeated_anchors(it, routes), PACKED)
+    near = gathered(anchors).join(copied, "doc", "full")
+    found = (joined(near).filter(not_copied & F.col("places").isNotNull()).select("doc", "_text", "_row", "_tag", "places")
+             .mapInArrow(_send_windows(routes), PACKED))
+    found = by_route(found).mapInArrow(lambda it: _repeated_windows(it, routes), PACKED)
+    last = joined(gathered(found).join(copied, "doc", "full")).withColumn("_whole", ~not_copied)
+    last = last.select("_text", "_row", "_tag", "places", "_whole").unionByName(rows.filter("doc is null").select(
+        "_text", "_row", F.lit(0).cast("bigint").alias("_tag"), F.lit(None).cast("binary").alias("places"), F.lit(False).alias("_whole")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema["_row"].dataType.fields)
-    return joined(found, "left").mapInArrow(
+    return last.mapInArrow(
         _cut, f"{schema}, n_words bigint, n_removed bigint, removed array<struct<start:bigint,stop:bigint>>, kept_text string")
