@@ -6,11 +6,12 @@ So each chunk is filed under one key for each symbol that may be wrong, the rest
 text, and every pair within the distance shares one. At a similarity of 0.75 symbols differ with probability 0.25, and
 more than 31 of 64 with about 1 in 100,000; pairs that share a key are compared on their full sets.
 
-Pairs are not formed within a group of equal keys. Texts with the same set are one class from the start. In each group
-all classes are compared with the smallest one (a star), and what is linked becomes one component. Only groups that then
-still hold several components are looked at again: there, each class outside the largest component names its nearest
-untested classes of other components by signature, those are compared, and this repeats until no group holds an untested
-pair within the distance. The links found connect whatever all pairs would connect."""
+Pairs are not sent for a group of equal keys. Texts with the same set are one class from the start. In each group all
+classes are compared with the smallest one (a star), and what is linked becomes one component. Only groups that then
+still hold several components are looked at again: their members that have a partner of another component within the
+distance meet in cells, with their sets. There, pairs of different components are compared until they are one, each pair
+in the cell of the first key that it shares, and only the links that join components leave the cell. The links found
+connect whatever all pairs would connect."""
 
 from __future__ import annotations
 
@@ -31,8 +32,8 @@ ERRORS = 1
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: Links: PERCENT[1] * intersection >= PERCENT[0] * union.
 PERCENT = (75, 100)
-#: Rows of a group that one task compares at a time, partners a class names per group and round, texts per copy of a center.
-CELL, FAN, STAR = 4096, 4, 1024
+#: Rows of a group that one task compares at a time; texts per copy of a center.
+CELL, STAR = 4096, 1024
 
 _r = np.random.Generator(np.random.PCG64(75))
 _XOR = _r.integers(0, 2**32, SYMBOLS, dtype=np.uint32)
@@ -160,76 +161,117 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by cell (key, lo, hi). For each cell, the pairs to compare next."""
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Rows come sorted by cell (key, lo, hi): one table for each."""
     held: list[pa.RecordBatch] = []
     now = None
-
-    def settle() -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(held)
-        held.clear()
-        ids, label, size, side = (t.column(c).to_numpy() for c in ("rep", "label", "n_shingles", "side"))
-        lo_hi = now[1] != now[2]
-        if len(np.unique(label)) < 2 or (lo_hi and len(np.unique(side)) < 2):
-            return
-        sig, tested = _signatures(t.column("sig")), t.column("tested").to_pylist()
-        names, times = np.unique(label, return_counts=True)
-        pickers = np.flatnonzero(label != names[times.argmax()])
-        where: dict[int, list[int]] = {}
-        for i, x in enumerate(ids.tolist()):
-            where.setdefault(x, []).append(i)
-        back: dict[int, list[int]] = {}
-        for i, others in enumerate(tested):
-            for y in others or ():
-                for j in where.get(y, ()):
-                    back.setdefault(j, []).append(i)
-        a, b = [], []
-        for at in range(0, len(pickers), 256):
-            rows = pickers[at:at + 256]
-            far = np.zeros((len(rows), len(ids)), dtype=np.uint8)
-            for k in range(SYMBOLS):
-                far += sig[rows, k][:, None] != sig[None, :, k]
-            less, more = np.minimum(size[rows][:, None], size), np.maximum(size[rows][:, None], size)
-            far[(label[rows][:, None] == label) | (PERCENT[1] * less < PERCENT[0] * more)] = 255
-            if lo_hi:
-                far[side[rows][:, None] == side] = 255
-            for i, x in enumerate(rows.tolist()):
-                done = back.get(x, []) + [j for y in tested[x] or () for j in where.get(y, ())]
-                far[i, done] = 255
-                best = np.argsort(far[i], kind="stable")[:FAN]
-                for j in best[far[i, best] <= DISTANCE].tolist():
-                    a.append(ids[j])
-                    b.append(ids[x])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
     for batch in batches:
         keys = list(zip(*(batch.column(c).to_pylist() for c in ("key", "lo", "hi")), strict=True))
         cuts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
         for x, y in zip(cuts, [*cuts[1:], len(keys)], strict=True):
             if keys[x] != now and held:
-                yield from settle()
+                yield now, pa.Table.from_batches(held)
+                held = []
             now = keys[x]
             held.append(batch.slice(x, y - x))
     if held:
-        yield from settle()
+        yield now, pa.Table.from_batches(held)
+
+
+def _open(cell: tuple, t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows): pairs of different components within the distance whose first shared key is this cell's. One side is
+    outside the component with the most rows."""
+    key, lo, hi = cell
+    label, size, side = (t.column(c).to_numpy() for c in ("label", "n_shingles", "side"))
+    names, times = np.unique(label, return_counts=True)
+    if len(names) < 2 or (lo != hi and len(np.unique(side)) < 2):
+        return
+    sig = _signatures(t.column("sig"))
+    most = names[times.argmax()]
+    pickers = np.flatnonzero(label != most)
+    for at in range(0, len(pickers), 256):
+        rows = pickers[at:at + 256]
+        far = np.zeros((len(rows), len(label)), dtype=np.uint8)
+        for k in range(SYMBOLS):
+            far += sig[rows, k][:, None] != sig[None, :, k]
+        less, more = np.minimum(size[rows][:, None], size), np.maximum(size[rows][:, None], size)
+        ok = (far <= DISTANCE) & (label[rows][:, None] != label) & (PERCENT[1] * less >= PERCENT[0] * more)
+        # Of two rows outside the largest component, the first one names the other.
+        ok &= (label == most) | (np.arange(len(label)) > rows[:, None])
+        if lo != hi:
+            ok &= side[rows][:, None] != side
+        for i in np.flatnonzero(ok.any(axis=1)).tolist():
+            js = np.flatnonzero(ok[i])
+            same = (sig[rows[i]] == sig[js]).reshape(-1, CHUNKS, PER_CHUNK)
+            others = same.sum(axis=2, dtype=np.int64)[:, :, None] - same
+            first = (others == PER_CHUNK - 1).reshape(len(js), -1).argmax(axis=1)
+            js = js[first == key >> (BITS * (PER_CHUNK - 1))]
+            if len(js):
+                yield int(rows[i]), js
+
+
+def _active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of each cell that have an open pair there."""
+    for cell, t in _cells(batches):
+        hit = np.zeros(t.num_rows, dtype=bool)
+        for i, js in _open(cell, t):
+            hit[i] = True
+            hit[js] = True
+        yield from t.filter(pa.array(hit)).to_batches()
+
+
+def _join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that join components, found by comparing the open pairs of each cell on their full sets."""
+    for cell, t in _cells(batches):
+        ids, label = t.column("rep").to_numpy(), t.column("label").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        _, group = np.unique(label, return_inverse=True)
+        root = np.arange(group.max() + 1)
+        a, b = [], []
+        for i, js in _open(cell, t):
+            js = js[root[group[js]] != root[group[i]]]
+            if not len(js):
+                continue
+            at = np.minimum(np.searchsorted(sets[i], flat := np.concatenate([sets[j] for j in js])), sizes[i] - 1)
+            both = np.add.reduceat((sets[i][at] == flat).astype(np.int64), np.cumsum(sizes[js]) - sizes[js])
+            for j in js[PERCENT[1] * both >= PERCENT[0] * (sizes[i] + sizes[js] - both)].tolist():
+                x, y = root[group[i]], root[group[j]]
+                if x != y:
+                    root[root == y] = x
+                    a.append(ids[i])
+                    b.append(ids[j])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _open_pairs(crowds: DataFrame, classes: DataFrame, labels: DataFrame, failed: DataFrame) -> DataFrame:
-    """Untested pairs of different components within groups of three or more, nearest first. A large group is cut into
-    cells: blocks of rows against blocks of rows."""
+def _to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rows, data, offsets in tx.text_pieces(batch, "_text"):
+            part = batch.slice(rows.start, rows.stop - rows.start)
+            sets = pa.array([s.tobytes() for s in shingle_sets(data, offsets)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("rep"), sets], names=["rep", "set"])
+
+
+def _crowded_links(crowds: DataFrame, classes: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b: links between different components within groups of three or more. A large group is cut into cells: blocks
+    of rows against blocks of rows."""
     tagged = crowds.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     split = (tagged.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
              .filter("x <> y").select("key", F.ceil(F.col("n") / CELL).cast("int").alias("blocks")))
-    tested = failed.groupBy(F.col("b").alias("rep")).agg(F.collect_set("a").alias("tested"))
-    rows = (tagged.join(split, "key").join(classes.select("rep", "n_shingles", "sig"), "rep").join(tested, "rep", "left")
+    cell = ["key", "lo", "hi"]
+    rows = (tagged.join(split, "key").join(classes.select("rep", "n_shingles", "sig"), "rep")
             .withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "rep", "label",
-                    "n_shingles", "sig", "tested"))
-    found = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_pick, "a bigint, b bigint")
-    # Of (x, y) and (y, x) one is enough.
-    return found.groupBy(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).agg(
-        F.first("a").alias("a"), F.first("b").alias("b")).select("a", "b")
+                    "n_shingles", "sig"))
+    schema = "key bigint, lo int, hi int, side int, rep bigint, label bigint, n_shingles bigint, sig binary"
+    active = materialize(rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_active, schema))
+    wanted = active.select("rep").distinct()
+    # One text for each class: the rows of its smallest id that have its set size.
+    sets = (texts.withColumnRenamed("doc", "rep").join(wanted, "rep").mapInArrow(_to_sets, "rep bigint, set binary")
+            .withColumn("n_shingles", (F.octet_length("set") / 8).cast("bigint")).dropDuplicates(["rep", "n_shingles"]))
+    return (active.join(sets, ["rep", "n_shingles"]).select(*[c.split()[0] for c in schema.split(", ")], "set")
+            .repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_join_cells, "a bigint, b bigint"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,7 +280,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     Null and blank texts have no shingles and are linked with nothing. Repeated rows share their id and so their
     component. A row without id is linked with nothing: its component is null and it is kept. An empty table gives an
-    empty result. The plan runs jobs while it is built: the number of rounds depends on the data."""
+    empty result. The plan runs jobs while it is built."""
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).cast("string").alias("_text"))
     sketches = materialize(source.mapInArrow(_sketch, f"doc bigint, {SKETCH}"))
     same = ["s1", "s2", "n_shingles"]
@@ -258,26 +300,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                         .select("a", "b", "sig_a", "sig_b").mapInArrow(_near, "a bigint, b bigint"))
     texts = source
     tested = materialize(_verify(pairs, texts))
-    failed = tested.filter("not linked").select("a", "b")
-    labels = components(tested.filter("linked"))
-    while True:
-        pairs = materialize(_open_pairs(crowds, classes, labels, failed))
-        if pairs.isEmpty():
-            break
-        tested = materialize(_verify(pairs, texts))
-        failed = failed.unionByName(tested.filter("not linked").select("a", "b"))
-        known = labels.select("id", "label")
-
-        def of(column: str) -> DataFrame:
-            return known.select(F.col("id").alias(column), F.col("label").alias(f"label_{column}"))
-
-        joined = (tested.filter("linked").join(of("a"), "a", "left").join(of("b"), "b", "left")
-                  .select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")))
-        merged = components(joined).select(F.col("id").alias("label"), F.col("label").alias("to"))
-        moved = known.join(merged, "label", "left").select("id", F.coalesce("to", "label").alias("label"))
-        fresh = merged.join(known.select(F.col("id").alias("label")), "label", "left_anti").select(
-            F.col("label").alias("id"), F.col("to").alias("label"))
-        labels = materialize(moved.unionByName(fresh))
+    linked = tested.filter("linked").select("a", "b")
+    labels = components(linked)
+    more = materialize(_crowded_links(crowds, classes, labels, texts))
+    if not more.isEmpty():
+        # Labels of the first round stand for their links.
+        labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(more))
     of_class = (classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
                 .select(*same, F.coalesce("label", "rep").alias("component_id")))
     return (sketches.join(of_class, same, "left")
