@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ DISTANCE = CHUNKS * (ERRORS + 1) - 1
 PERCENT = (75, 100)
 #: Rows of a group that one task compares at a time; texts per copy of a center.
 CELL, STAR = 4096, 1024
+#: Bits of the map that keeps unconcerned texts from being sent: 4 MB.
+MAP_BITS = 25
 
 _r = np.random.Generator(np.random.PCG64(75))
 _XOR = _r.integers(0, 2**32, SYMBOLS, dtype=np.uint32)
@@ -130,6 +133,24 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array([linked[i] for i in keep], pa.bool_())], names=["a", "b", "linked"])
 
 
+def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts whose id may be in ``ids``, before they are sent to a join with it: a bit map of the ids' hashes, of a fixed
+    size, drops most of the others. When the ids outgrow the map it drops fewer; the join decides."""
+    bit = F.pmod(F.xxhash64("doc"), F.lit(1 << MAP_BITS))
+    words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toArrow()
+    table = np.zeros(1 << (MAP_BITS - 6), dtype=np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def maybe(bits: pd.Series) -> pd.Series:
+        b = bits.to_numpy(dtype=np.int64, na_value=0)
+        return pd.Series((shared.value[b >> 6] >> (b & 63)) & 1 == 1)
+
+    return texts.filter(maybe(bit))
+
+
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b, linked: the pairs, each compared on its full sets. A center with many partners is copied, once per STAR."""
     fan = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("cuts"))
@@ -137,7 +158,8 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         F.col("b").alias("doc"), "a", F.pmod(F.xxhash64("b"), F.col("cuts")).cast("int").alias("cut"), F.lit(1).alias("role"))
     centers = fan.select(F.col("a").alias("doc"), "a", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"),
                          F.lit(0).alias("role"))
-    rows = partners.unionByName(centers).join(texts, "doc").select("a", "cut", "role", F.col("doc").alias("b"), "_text")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
+    rows = partners.unionByName(centers).join(_only(texts, wanted), "doc").select("a", "cut", "role", F.col("doc").alias("b"), "_text")
     return (rows.repartition("a", "cut").sortWithinPartitions("a", "cut", "role")
             .mapInArrow(_compare, "a bigint, b bigint, linked boolean"))
 
@@ -268,7 +290,8 @@ def _crowded_links(crowds: DataFrame, classes: DataFrame, labels: DataFrame, tex
     active = materialize(rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_active, schema))
     wanted = active.select("rep").distinct()
     # One text for each class: the rows of its smallest id that have its set size.
-    sets = (texts.withColumnRenamed("doc", "rep").join(wanted, "rep").mapInArrow(_to_sets, "rep bigint, set binary")
+    near = _only(texts, wanted.select(F.col("rep").alias("doc")))
+    sets = (near.withColumnRenamed("doc", "rep").join(wanted, "rep").mapInArrow(_to_sets, "rep bigint, set binary")
             .withColumn("n_shingles", (F.octet_length("set") / 8).cast("bigint")).dropDuplicates(["rep", "n_shingles"]))
     return (active.join(sets, ["rep", "n_shingles"]).select(*[c.split()[0] for c in schema.split(", ")], "set")
             .repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_join_cells, "a bigint, b bigint"))
