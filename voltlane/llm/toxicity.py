@@ -25,9 +25,10 @@ from ..operators.storage import materialize
 from . import text as tx
 
 TERMS = 512
-#: A word enters the vocabulary if its likelihood ratio would be met by chance in this many words of the corpus.
-CHANCE = 10.0
-EXAMPLES = 3000
+#: A word enters the vocabulary if its likelihood ratio would be passed by chance by at most this many words of the corpus,
+#: and is not below a floor for corpora of few words.
+CHANCE, LEAST_RATIO = 10.0, 12.0
+EXAMPLES = 1000
 BLOCK = 64
 NEIGHBOURS = 15
 #: Weight of the base rate among the votes: few or far neighbours say little.
@@ -110,24 +111,23 @@ class _Index:
         if not self.cuts:
             return score, which
         bound = q @ self.block_max
-        # Blocks in falling order of their bound, each for the queries that it may still improve.
-        order = np.argsort(-bound, axis=1, kind="stable")
-        rows = np.arange(n)
-        for turn in range(len(self.cuts)):
-            block = order[rows, turn]
-            # A bound below the k-th cosine ends a query's search, as all later bounds are lower.
-            go = bound[rows, block] > score[rows, -1]
-            rows, block = rows[go], block[go]
-            if not len(rows):
-                break
-            for b in np.unique(block):
-                own = rows[block == b]
-                lo = self.cuts[b]
-                found = q[own] @ self.weights[:, lo:lo + BLOCK]
-                both = np.concatenate([score[own], found], axis=1)
-                names = np.concatenate([which[own], np.broadcast_to(np.arange(lo, lo + found.shape[1]), found.shape)], axis=1)
-                best = np.argsort(-both, axis=1, kind="stable")[:, :k]
-                score[own], which[own] = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
+
+        def compare(own: np.ndarray, b: int) -> None:
+            lo = self.cuts[b]
+            found = q[own] @ self.weights[:, lo:lo + BLOCK]
+            both = np.concatenate([score[own], found], axis=1)
+            names = np.concatenate([which[own], np.broadcast_to(np.arange(lo, lo + found.shape[1]), found.shape)], axis=1)
+            best = np.argsort(-both, axis=1, kind="stable")[:, :k]
+            score[own], which[own] = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
+
+        # The block with the highest bound first, for a k-th cosine that rules out most others.
+        top = np.where(bound.max(axis=1) > 0, bound.argmax(axis=1), -1)
+        for b in np.unique(top[top >= 0]):
+            compare(np.flatnonzero(top == b), b)
+        for b in np.argsort(-bound.max(axis=0), kind="stable"):
+            own = np.flatnonzero((bound[:, b] > score[:, -1]) & (top != b))
+            if len(own):
+                compare(own, b)
         return score, which
 
     def votes(self, q: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -193,14 +193,16 @@ class ToxicityModel:
         self.base = (n1 + 1) / (n0 + n1 + 2)
         words = counts.filter("term <> 0")
         # A likelihood ratio G is passed by chance with probability of about exp(-G / 2).
-        least = 2 * np.log(max(words.count(), 1) / CHANCE)
+        least = max(2 * np.log(max(words.count(), 1) / CHANCE), LEAST_RATIO)
         ratio = _likelihood_ratio(F.col("toxic"), F.col("clean"), float(n1), float(n0))
         top = words.withColumn("g", ratio).filter(F.col("g") >= float(least)).orderBy(F.desc("g"), "term").limit(terms).toArrow()
         df = (top.column("clean").to_numpy() + top.column("toxic").to_numpy()).astype(np.float64)
         vectors = _Vectors(top.column("term").to_numpy().view(np.uint64), np.log((n0 + n1 + 1) / (df + 1)) + 1)
-        # The choice by hash is a bounded sort; the vectors are small, whatever the texts' lengths.
+        # Ids are chosen by hash, a bounded sort without texts; the vectors are small, whatever the texts' lengths.
         order = F.xxhash64("doc", F.lit(3))
-        kept = [learn.filter(F.col("label") == y).orderBy(order, "doc").limit(examples) for y in (0, 1)]
+        ids = learn.select("doc", "label")
+        chosen = [ids.filter(F.col("label") == y).orderBy(order, "doc").limit(examples).select("doc") for y in (0, 1)]
+        sample = learn.join(materialize(chosen[0].unionByName(chosen[1])), "doc", "left_semi")
 
         def vectorize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -211,7 +213,7 @@ class ToxicityModel:
                                                      names=["doc", "label", "vector"])
 
         kind = dict(learn.dtypes)["doc"]
-        sample = kept[0].unionByName(kept[1]).mapInArrow(vectorize, f"doc {kind}, label int, vector array<float>").toArrow()
+        sample = sample.select("doc", "label", "_text").mapInArrow(vectorize, f"doc {kind}, label int, vector array<float>").toArrow()
         ids, y = sample.column("doc").to_numpy(), sample.column("label").to_numpy()
         m = np.array(sample.column("vector").to_pylist(), dtype=np.float32).reshape(len(ids), len(vectors.terms))
         # Both classes are sampled; weights bring the calibration back to their shares among all labelled rows.
