@@ -238,7 +238,7 @@ sql("regional_summary", _union(
     _top("least_ready", "=region", "ev_readiness_score", "reg_gold", "ev_readiness_score, region", 1)))
 _AREAS = "(VALUES " + ", ".join(f"('{n}', {a}e0, {b}e0, {c}e0, {d}e0)" for n, a, b, c, d in fixed.REGION_BOXES) + ") a(name, a1, a2, o1, o2)"
 sql("regional_density", f"""SELECT region, ev_station_count, round(ev_station_count * 1000e0 / (6371e0 * 6371e0 * radians(o2 - o1)
- * (sin(radians(a2)) - sin(radians(a1)))), 6) AS stations_per_1000_km2 FROM reg_ev JOIN {_AREAS} ON region = name""")
+ * (sin(radians(a2)) - sin(radians(a1)))), 6) AS stations_per_1000_km2 FROM reg_ev LEFT JOIN {_AREAS} ON region = name""")
 sql("ev_fuel_ratio", """SELECT ev_stations, fuel_stations, round(ev_stations * 100e0 / (ev_stations + fuel_stations), 1) AS ev_ratio_pct
  FROM (SELECT count(*) AS ev_stations FROM st_silver), (SELECT count(DISTINCT stationcode) AS fuel_stations FROM fu_silver)""")
 sql("nearest_chargers", """SELECT location_name, CAST(rank AS INTEGER) AS rank, station_name, station_address, round(latitude, 6) AS latitude,
@@ -480,19 +480,21 @@ sql("feed_smart", f"""SELECT station_id, charging_speed, charger_quality_score,
 
 sql("station_documents", f"""SELECT 'ev_station_' || objectid AS doc_id, 'Electric Vehicle Charging Station: ' || coalesce(station_name, 'Unnamed Station')
  || '. Location: ' || coalesce(station_address, 'Address not available') || ', ' || lganame || ' (Postcode: ' || pcode || '). Operator: ' || operator
- || '. Charging Type: ' || charger__type || ' with ' || number_of_plugs || ' plugs. Charging Speed: ' || charging_speed AS opening,
- '{retrieval.STATIONS_SOURCE}' AS source_table, objectid, station_name, round(latitude, 6) AS latitude, round(kw, 3) AS charger_rating_kw,
- charging_speed FROM st_silver WHERE has_valid_location AND objectid IS NOT NULL""")
+ || '. Charging Type: ' || charger__type || ' with ' || number_of_plugs || ' plugs. Charging Speed: ' || charging_speed
+ || ' (' || coalesce(CAST(CAST(kw AS DOUBLE) AS VARCHAR), 'N/A') || ' kW). Coordinates: Latitude ' || CAST(round(latitude, 6) AS VARCHAR) || ', Longitude '
+ || CAST(round(longitude, 6) AS VARCHAR) || '.' AS content, '{retrieval.STATIONS_SOURCE}' AS source_table, objectid, station_name, operator, lganame, pcode,
+ round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, round(kw, 3) AS charger_rating_kw, charging_speed FROM st_silver WHERE has_valid_location AND objectid IS NOT NULL""")
 sql("route_documents", f"""SELECT 'route_' || replace(location, ' ', '_') AS doc_id, 'Route Safety Report for ' || location || '. Overall Safety Rating: '
  || route_safety_rating || ' with a risk score of ' || route_risk_score || '. Total Hazards: ' || total_hazards || ' (' || active_hazards
  || ' currently active). Hazard Breakdown: ' || roadwork_count || ' roadwork sites, ' || incident_count || ' incidents, ' || flood_count
  || ' flood warnings, ' || event_count || ' events. Primary Hazard Type: ' || primary_hazard_type || '. Estimated Delay: ' || estimated_delay_minutes
- || ' minutes.' AS opening, '{retrieval.ROUTES_SOURCE}' AS source_table, location, route_safety_rating, route_risk_score, total_hazards,
- round(center_lat, 6) AS center_lat FROM route_gold WHERE total_hazards > 0""")
+ || ' minutes. Location Center: Latitude ' || CAST(round(center_lat, 6) AS VARCHAR) || ', Longitude ' || CAST(round(center_lon, 6) AS VARCHAR) || '.' AS content,
+ '{retrieval.ROUTES_SOURCE}' AS source_table, location, route_safety_rating, route_risk_score, total_hazards, active_hazards, primary_hazard_type,
+ estimated_delay_minutes, round(center_lat, 6) AS center_lat, round(center_lon, 6) AS center_lon FROM route_gold WHERE total_hazards > 0""")
 sql("doc_stats", """SELECT source AS source_table, count(*) AS document_count, round(avg(length(text)), 4) AS avg_content_length FROM documents GROUP BY source""")
 sql("doc_preview", "SELECT doc_id, substring(text, 1, 200) AS content_preview, source AS source_table FROM documents ORDER BY doc_id LIMIT 5")
 sql("built_document_keys", """SELECT doc_id, count(*) AS row_count FROM (SELECT 'ev_station_' || objectid AS doc_id FROM st_silver WHERE has_valid_location
- UNION ALL SELECT 'route_' || replace(location, ' ', '_') FROM route_gold WHERE total_hazards > 0) GROUP BY doc_id HAVING count(*) > 1""")
+ UNION ALL SELECT 'route_' || replace(location, ' ', '_') FROM route_gold, range(2) WHERE total_hazards > 0) GROUP BY doc_id HAVING count(*) > 1""")
 STEPS["centres"] = """
 SELECT label AS query_id, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(x) AS m FROM
  (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label"""
@@ -508,6 +510,13 @@ SELECT query_id, vec_id, score, CAST(rn AS INTEGER) AS rank FROM (
 STEPS["label_hits"] = _hits()
 sql("vector_top_k_labels", "SELECT * FROM label_hits")
 sql("vector_top_k_partitioned", "SELECT * FROM label_hits")
+sql("vector_top_k_near_copies", """
+SELECT query_id, vec_id, score, CAST(rn AS INTEGER) AS rank FROM (
+ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM (
+  SELECT q.vec_id AS query_id, t.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], t.v), 6) AS score FROM embeddings q,
+   (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    UNION ALL SELECT -1 - vec_id, list_concat([embedding[1]::DOUBLE + 5e-4], embedding[2:]::DOUBLE[]) FROM embeddings) t
+  WHERE q.vec_id % 50 = 0)) WHERE rn <= 5""")
 sql("vector_top_k_filtered", _hits(" WHERE label = 3"))
 STEPS["doc_hits"] = "SELECT h.*, d.text AS content FROM label_hits h JOIN documents d ON d.doc_id = h.vec_id"
 _open, _rest = retrieval.PROMPT.split("{context}")
@@ -601,6 +610,9 @@ sql("attach_scalars", """SELECT n_nationkey, n_name, customers, round(top_balanc
 sql("read_csv_raw", """SELECT objectid, station_name, station_address, charger__type, round(kw, 3) AS charger_rating_kw, charging_speed,
  round(latitude, 6) AS latitude, round(longitude, 6) AS longitude FROM st_silver""")
 sql("unwrap_envelope", "SELECT stationcode, fueltype, round(price, 3) AS price FROM fuel_raw")
+sql("unwrap_envelope_mixed", """SELECT stationcode, CASE WHEN tie_key % 5 <> 1 THEN fueltype END AS fueltype, round(price, 3) AS price,
+ CASE WHEN tie_key % 5 = 1 THEN fueltype END AS note, CAST(NULL AS VARCHAR) AS code
+ FROM fuel_raw, range(2) t(i) WHERE tie_key % 5 <> 3 AND (i = 0 OR tie_key % 5 = 4)""")
 sql("flatten_geojson", """SELECT hazard_id, lower(main_category) AS hazard_type, headline, location,
  strftime(date_trunc('second', start_time_ts), '%Y-%m-%dT%H:%M:%SZ') AS start_time, strftime(date_trunc('second', end_time_ts), '%Y-%m-%dT%H:%M:%SZ') AS end_time,
  is_major, impact, main_category, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, '' AS description FROM hazards_raw""")

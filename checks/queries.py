@@ -439,22 +439,23 @@ def station_docs(spark, d):
 
 @query
 def station_documents(spark, d):
-    meta = "objectid bigint, station_name string, latitude double, charger_rating_kw double, charging_speed string"
-    df = station_docs(spark, d).withColumn("m", F.from_json("metadata", meta))
-    # The kW and coordinate texts inside the content differ between engines in how doubles print; they are checked
-    # through the metadata, and the content up to the speed as text.
-    df = df.withColumn("opening", F.substring_index("content", " (", 2)).select("doc_id", "opening", "source_table", "m.*")
-    return out(df, "doc_id", "opening", "source_table", "objectid", "station_name", "latitude:6", "charger_rating_kw:3",
-               "charging_speed")
+    """Whole texts. Coordinates are rounded first, so that both engines print the same digits."""
+    rounded = stations(spark, d).withColumns({c: F.round(c, 6) for c in ("latitude", "longitude")})
+    meta = ("objectid bigint, station_name string, operator string, lganame string, pcode bigint, latitude double, longitude double, "
+            "charger_rating_kw double, charging_speed string")
+    df = retrieval.station_documents(rounded).withColumn("m", F.from_json("metadata", meta)).select("doc_id", "content", "source_table", "m.*")
+    return out(df, "doc_id", "content", "source_table", "objectid", "station_name", "operator", "lganame", "pcode:l", "latitude:6",
+               "longitude:6", "charger_rating_kw:3", "charging_speed")
 
 
 @query
 def route_documents(spark, d):
-    meta = "location string, route_safety_rating string, route_risk_score int, total_hazards bigint, center_lat double"
-    df = retrieval.route_documents(routes(spark, d)).withColumn("m", F.from_json("metadata", meta))
-    df = df.withColumn("opening", F.substring_index("content", " Location Center", 1))
-    return out(df.select("doc_id", "opening", "source_table", "m.*"), "doc_id", "opening", "source_table", "location",
-               "route_safety_rating", "route_risk_score:i", "total_hazards:l", "center_lat:6")
+    rounded = routes(spark, d).withColumns({c: F.round(c, 6) for c in ("center_lat", "center_lon")})
+    meta = ("location string, route_safety_rating string, route_risk_score int, total_hazards bigint, active_hazards bigint, "
+            "primary_hazard_type string, estimated_delay_minutes int, center_lat double, center_lon double")
+    df = retrieval.route_documents(rounded).withColumn("m", F.from_json("metadata", meta)).select("doc_id", "content", "source_table", "m.*")
+    return out(df, "doc_id", "content", "source_table", "location", "route_safety_rating", "route_risk_score:i", "total_hazards:l",
+               "active_hazards:l", "primary_hazard_type", "estimated_delay_minutes:i", "center_lat:6", "center_lon:6")
 
 
 @query
@@ -472,8 +473,10 @@ def doc_preview(spark, d):
 
 @query
 def built_document_keys(spark, d):
-    """Ids of the built documents that are not unique (none are, in this data)."""
-    docs = retrieval.build_documents(stations(spark, d), routes(spark, d))
+    """Ids of the built documents that are not unique: every location comes in a second spelling with a blank."""
+    known = routes(spark, d)
+    spelled = known.withColumn("location", F.replace("location", F.lit("_"), F.lit(" ")))
+    docs = retrieval.build_documents(stations(spark, d), known.unionByName(spelled))
     return out(rows.ensure_keyed(docs, "doc_id"), "doc_id", "row_count:l")
 
 
@@ -498,6 +501,16 @@ def vector_top_k_partitioned(spark, d):
     return out(hits, *HITS)
 
 
+@query
+def vector_top_k_near_copies(spark, d):
+    """Vectors against all vectors and a near-copy of each, whose id is lower and whose rounded score often ties."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>"))
+    moved = F.concat(F.array(F.col("embedding")[0] + 5e-4), F.slice("embedding", 2, F.size("embedding") - 1))
+    docs = vectors.unionByName(vectors.select((-1 - F.col("vec_id")).alias("vec_id"), moved.alias("embedding")))
+    questions = vectors.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return out(vector_top_k(questions, docs, 5, doc_id="vec_id", max_shipped=0), "query_id:l", "vec_id", "score:6", "rank:i")
+
+
 @query
 def vector_top_k_filtered(spark, d):
     """Only documents whose metadata equals a value."""
@@ -763,6 +776,23 @@ def unwrap_envelope(spark, d):
     return out(rows_back, "stationcode", "fueltype", "price:3")
 
 
+@query
+def unwrap_envelope_mixed(spark, d):
+    """Documents of five kinds: one record, many, an empty preferred list, other keys, and lists of two record types."""
+    path = shared_dir(spark)
+    kind = F.col("tie_key") % 5
+    record = F.struct("stationcode", "fueltype", "price")
+    other = F.array(F.struct("stationcode", F.col("price").cast("string").alias("price"), F.col("fueltype").alias("note")))
+    price_list = F.when(kind.isin(0, 2), F.array(record)).when(kind == 3, F.slice(F.array(record), 1, 0)).when(kind == 4, F.array(record, record))
+    codes = F.array(F.struct(F.col("stationcode").alias("code")))
+    view(spark, d, "fuel_raw").select(F.when(kind == 2, codes).when(kind == 1, F.slice(codes, 1, 0)).alias("stations"), price_list.alias("prices"),
+                                      F.when(kind.isin(1, 3), other).alias("items")).write.json(path)
+    schema = ("stations array<struct<code:string>>, prices array<struct<stationcode:string, fueltype:string, price:double>>, "
+              "items array<struct<stationcode:string, price:string, note:string>>")
+    rows_back = files.unwrap_envelope(spark.read.schema(schema).json(path))
+    return out(rows_back, "stationcode", "fueltype", "price:3", "note", "code")
+
+
 @query
 def flatten_geojson(spark, d):
     path = shared_dir(spark)

@@ -44,6 +44,18 @@ def test_envelopes(spark, tmp_path):
         files.unwrap_envelope(spark.read.json(str(tmp_path / "none")))
 
 
+def test_envelopes_are_judged_one_by_one(spark, tmp_path):
+    docs = [{"prices": [{"code": "a", "p": 1.5}, {"code": "b", "p": 2.5}]}, {"first": [], "second": [{"code": "c", "p": "x", "k": {"z": 1}}]},
+            {"prices": [], "second": [{"code": "d"}]}, {"first": [{"other": 3}]}]
+    schema = ("first array<struct<other:int>>, prices array<struct<code:string,p:double>>, second array<struct<code:string,p:string,k:struct<z:int>>>")
+    land(tmp_path / "mixed", "a.json", docs)
+    rows = files.unwrap_envelope(spark.read.schema(schema).json(str(tmp_path / "mixed"))).select("code", "p", "k.z", "other").collect()
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, [("a", "1.5", None, None), ("b", "2.5", None, None), ("c", "x", 1, None), (None, None, None, 3)]))
+    land(tmp_path / "one_without", "a.json", [*docs, {"first": []}])
+    with pytest.raises(Exception, match="no list of records"):
+        files.unwrap_envelope(spark.read.schema(schema).json(str(tmp_path / "one_without"))).collect()
+
+
 def test_geojson(spark, tmp_path):
     def feature(props, xy):
         return {"properties": props, "geometry": {"type": "Point", "coordinates": xy}}
@@ -65,8 +77,10 @@ def test_weather_responses_and_codes(spark, tmp_path):
     land(tmp_path / "w", "a.json", [{"station_id": "SYD001", "current_weather": {"time": "2024-01-14T10:00", "temperature": 25.5, "windspeed": 10.0, "weathercode": 61}},
                                     {"station_id": "NEW001"}, {"station_id": "nowhere", "current_weather": {"time": "x"}}])
     flat = files.flatten_weather(spark.read.schema(files.WEATHER_RESPONSE).json(str(tmp_path / "w")), files.weather_sites(spark), as_of=NOW)
-    r = flat.first()
-    assert flat.count() == 1 and (r["station_name"], r["weather_condition"], r["humidity_percent"]) == ("Sydney", "61", None)
+    got = {r["station_id"]: r for r in flat.collect()}
+    assert set(got) == {"SYD001", "nowhere"} and got["nowhere"]["station_name"] is None
+    r = got["SYD001"]
+    assert (r["station_name"], r["weather_condition"], r["humidity_percent"]) == ("Sydney", "61", None)
     assert silver.silver_weather(flat, NOW).first()["weather_category"] == "Other"
     codes = spark.createDataFrame([(61, "Slight rain")], "code int, condition string")
     assert silver.silver_weather(files.decode_weather(flat, codes), NOW).first()["weather_category"] == "Rain"

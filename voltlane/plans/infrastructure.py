@@ -84,9 +84,9 @@ def regional_infrastructure(stations: DataFrame, fuel: DataFrame, boxes=fixed.RE
 
 
 def regional_density(metrics: DataFrame, areas: DataFrame) -> DataFrame:
-    """Stations per 1000 square km; ``areas`` has region and area_km2."""
+    """Stations per 1000 square km; ``areas`` has region and area_km2. A region without an area stays, with null."""
     per = F.try_divide(F.col("ev_station_count") * 1000.0, F.col("area_km2"))
-    return metrics.join(areas, "region").withColumn("stations_per_1000_km2", per)
+    return metrics.join(areas, "region", "left").withColumn("stations_per_1000_km2", per)
 
 
 def box_areas(spark, boxes=fixed.REGION_BOXES) -> DataFrame:

@@ -63,22 +63,41 @@ def stream_landing(spark: SparkSession, path: str, schema: str | T.StructType |
 
 
 def unwrap_envelope(df: DataFrame, prefer: str = "prices") -> DataFrame:
-    """Records of a JSON document: the list under ``prefer``, else the first list that is not empty.
-
-    A document that is itself a list arrives from the JSON reader as rows already and passes through; a
-    document that has fields but no list fails."""
-    lists = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)
-             and isinstance(f.dataType.elementType, T.StructType)]
+    """Records of JSON documents, each by its own content: the list under ``prefer`` where the document has one, even
+    if it is empty, else its first list that is not empty. A document with neither fails.
+
+    Lists of different record types give the columns of all, by name; a column that two types hold differently comes
+    as text. Documents that are lists arrive from the JSON reader as rows already and pass through; read them apart
+    from documents with fields, from which their rows cannot be told."""
+    lists = {f.name: f.dataType.elementType for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)
+             and isinstance(f.dataType.elementType, T.StructType)}
     if not lists:
         if any(isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) for f in df.schema.fields):
             raise ValueError("no list of records in the document")
         return df
+    kinds: dict[str, list[T.DataType]] = {}
+    for record in lists.values():
+        for f in record.fields:
+            kinds.setdefault(f.name, []).append(f.dataType)
+
+    def value(record: Column, fields: T.StructType, name: str) -> Column:
+        one_kind = all(k == kinds[name][0] for k in kinds[name])
+        if name not in fields.fieldNames():
+            return F.lit(None).cast(kinds[name][0] if one_kind else "string")
+        found = record[name]
+        if one_kind:
+            return found
+        nested = isinstance(fields[name].dataType, (T.StructType, T.ArrayType, T.MapType))
+        return F.to_json(found) if nested else found.cast("string")
+
+    def records(name: str) -> Column:
+        return F.transform(F.col(f"`{name}`"), lambda r: F.struct(*[value(r, lists[name], n).alias(n) for n in kinds]))
+
+    choices = [F.when(F.size(F.col(f"`{n}`")) > 0, records(n)) for n in lists if n != prefer]
     if prefer in lists:
-        records = F.col(prefer)
-    else:
-        same = [c for c in lists if df.schema[c].dataType == df.schema[lists[0]].dataType]
-        records = F.coalesce(*[F.when(F.size(c) > 0, F.col(c)) for c in same])
-    return df.select(F.explode(records).alias("_r")).select("_r.*")
+        choices.insert(0, records(prefer))
+    chosen = F.coalesce(*choices, F.raise_error(F.lit("no list of records in the document")))
+    return df.select(F.explode(chosen).alias("_r")).select("_r.*")
 
 
 def flatten_geojson(df: DataFrame, hazard_type: str | None = None, source: str = "traffic-hazards",
@@ -127,10 +146,10 @@ def weather_sites(spark: SparkSession) -> DataFrame:
 
 
 def flatten_weather(df: DataFrame, sites: DataFrame, source: str = "open-meteo", as_of=None) -> DataFrame:
-    """Current-weather responses with the site they belong to. The endpoint carries neither humidity nor
+    """Current-weather responses with the site they belong to; of an unknown site only the id. The endpoint carries neither humidity nor
     precipitation, so those two stay null; the condition is the weather code as text."""
     w = "current_weather"
-    rows = (df.filter(F.col(w).isNotNull()).join(sites, "station_id")
+    rows = (df.filter(F.col(w).isNotNull()).join(sites, "station_id", "left")
             .select("station_id", "station_name", "location_lat", "location_lon",
                     F.try_to_timestamp(F.col(f"{w}.time")).alias("timestamp"),
                     F.col(f"{w}.temperature").alias("temperature_celsius"),
