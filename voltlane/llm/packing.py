@@ -26,6 +26,9 @@ END_ID = 1
 GROUP = 20_000
 #: Words whose ids a worker remembers; the memory starts anew when it is full.
 REMEMBERED = 300_000
+#: Words that are encoded in one text, and the control character between them.
+TOGETHER = 512
+MARK = "\x01"
 PIECES = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 _tokenizers: dict[int, object] = {}
@@ -38,6 +41,29 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _ids_of_words(tokenizer, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    """(word, its ids as little-endian bytes). Words without ``MARK`` are encoded together, ``TOGETHER`` in one text with
+    ``MARK`` between them, and told apart by its id, which no other character gives. Other words, and all words of a
+    tokenizer that has no id of its own for the mark, are encoded one by one."""
+    mark = tokenizer.encode(MARK, add_special_tokens=False).ids
+    plain = [w for w in words if MARK.encode() not in w] if len(mark) == 1 else []
+    for at in range(0, len(plain), TOGETHER):
+        some = plain[at:at + TOGETHER]
+        joined = f" {MARK} ".join([w.decode() for w in some])
+        ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = np.flatnonzero(ids == mark[0])
+        if len(cuts) != len(some) - 1:
+            raise ValueError("the tokenizer does not keep words apart")
+        raw = ids.tobytes()
+        begins, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]
+        yield from zip(some, [raw[lo:hi] for lo, hi in zip(begins, ends, strict=True)], strict=True)
+    alone = [w for w in words if MARK.encode() in w] if len(mark) == 1 else words
+    for at in range(0, len(alone), TOGETHER):
+        some = alone[at:at + TOGETHER]
+        for w, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+            yield w, np.array(e.ids, dtype="<u4").tobytes()
+
+
 def _encoder(spec: str):
     """Ids of a list of words, as little-endian bytes. The tokenizer parts texts at white space and looks at each part
     alone, so a word always has the same ids; ``tests/llm`` compares with whole texts."""
@@ -54,10 +80,7 @@ def _encoder(spec: str):
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             new = list(words)
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            for w, e in zip(part, tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        known.update(_ids_of_words(tokenizer, new))
 
     return known, learn
 
