@@ -17,7 +17,7 @@ from voltlane.llm.decontaminate import contamination
 from voltlane.llm.html_extract import extract, main_text
 from voltlane.llm.language import LanguageModels
 from voltlane.llm.near_duplicates import components, near_duplicates
-from voltlane.llm.packing import _ids_of_words, default_vocabulary, first_fit_decreasing, pack
+from voltlane.llm.packing import _Words, default_vocabulary, first_fit_decreasing, pack
 from voltlane.llm.quality import quality_rules
 from voltlane.llm.sharding import communication_matrix, shard_rows
 from voltlane.llm.substrings import substring_dedup
@@ -205,9 +205,9 @@ def test_words_encoded_together_have_their_own_ids():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(default_vocabulary())
-    odd = ["\x01", "a\x01b", "\x01\x01", "<|endoftext|>", "x<|startoftext|>y", "\u0301e", "e\u0301", "\u00a0", "don't,", "\x02", "12ab", "\u4f60\u597d", "\U0001f600"]
+    odd = ["\x01", "a\x01b", "\x01\x01", "<|endoftext|>", "x<|startoftext|>y", "\u0301e", "e\u0301", "\u00a0", "don't,", "DON'T", "'S", "it's's", "'", "''ll", "A-b_c:9%", "<", "|>", "\x02", "12ab", "\u4f60\u597d", "\U0001f600"]
     many = [w.encode() for w in dict.fromkeys(odd + [x for t in TEXTS for x in (t or "").split()])]
-    got = dict(_ids_of_words(tokenizer, many))
+    got = dict(_Words(tokenizer, open(default_vocabulary(), encoding="utf-8").read()).ids(many))
     assert set(got) == set(many)
     for w in many:
         assert got[w] == np.array(tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()

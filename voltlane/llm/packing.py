@@ -7,8 +7,10 @@ tournament tree whose inner nodes hold the larger room of their two halves."""
 
 from __future__ import annotations
 
+import json
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,10 +27,11 @@ LENGTH = 2048
 END_ID = 1
 GROUP = 20_000
 #: Words whose ids a worker remembers; the memory starts anew when it is full.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Words that are encoded in one text, and the control character between them.
 TOGETHER = 512
 MARK = "\x01"
+PRINTABLE = re.compile(rb"[\x21-\x7e]+").fullmatch
 PIECES = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 _tokenizers: dict[int, object] = {}
@@ -41,27 +44,62 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _ids_of_words(tokenizer, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-    """(word, its ids as little-endian bytes). Words without ``MARK`` are encoded together, ``TOGETHER`` in one text with
-    ``MARK`` between them, and told apart by its id, which no other character gives. Other words, and all words of a
-    tokenizer that has no id of its own for the mark, are encoded one by one."""
-    mark = tokenizer.encode(MARK, add_special_tokens=False).ids
-    plain = [w for w in words if MARK.encode() not in w] if len(mark) == 1 else []
-    for at in range(0, len(plain), TOGETHER):
-        some = plain[at:at + TOGETHER]
-        joined = f" {MARK} ".join([w.decode() for w in some])
-        ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
-        cuts = np.flatnonzero(ids == mark[0])
-        if len(cuts) != len(some) - 1:
-            raise ValueError("the tokenizer does not keep words apart")
+class _Words:
+    """Ids of distinct words, as little-endian bytes, many words in one call.
+
+    Words of printable ASCII stand in one text; the tokenizer's own split pattern, cut down to ASCII, tells how many parts
+    each has, and a part ends with a token that bears the word-end suffix. Other words have ``MARK`` between them, whose
+    id no other character gives. Words with the mark or a special token's opening, and all words of a tokenizer without
+    such a pattern, suffix or id, are encoded one by one."""
+
+    def __init__(self, tokenizer, spec: str):
+        self.tokenizer = tokenizer
+        mark = self._encode([MARK])[0]
+        self.mark = mark[0] if len(mark) == 1 else None
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        suffix = json.loads(spec)["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(tokenizer.get_vocab_size() + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        splits = [x for x in (json.loads(spec)["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
+        pattern = splits[0]["pattern"]["Regex"].replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9") if len(splits) == 1 else ""
+        self.parts = re.compile(pattern.encode()).findall if suffix and pattern and "\\p" not in pattern else None
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _cut(some: list[bytes], ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
         raw = ids.tobytes()
-        begins, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]
-        yield from zip(some, [raw[lo:hi] for lo, hi in zip(begins, ends, strict=True)], strict=True)
-    alone = [w for w in words if MARK.encode() in w] if len(mark) == 1 else words
-    for at in range(0, len(alone), TOGETHER):
-        some = alone[at:at + TOGETHER]
-        for w, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-            yield w, np.array(e.ids, dtype="<u4").tobytes()
+        return zip(some, [raw[lo:hi] for lo, hi in zip((4 * begins).tolist(), (4 * ends).tolist(), strict=True)], strict=True)
+
+    def ids(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        counted, marked, alone = [], [], []
+        for w in words:
+            if self.parts and PRINTABLE(w) and b"<|" not in w:
+                counted.append(w)
+            elif self.mark is not None and MARK.encode() not in w and b"<|" not in w:
+                marked.append(w)
+            else:
+                alone.append(w)
+        for at in range(0, len(counted), TOGETHER):
+            some = counted[at:at + TOGETHER]
+            ids = self._encode([b" ".join(some).decode()])[0]
+            last = np.cumsum([len(self.parts(w.lower())) for w in some])
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != last[-1] or stops[-1] != len(ids):
+                raise ValueError("the tokenizer does not keep words apart")
+            ends = stops[last - 1]
+            yield from self._cut(some, ids, np.append(0, ends[:-1]), ends)
+        for at in range(0, len(marked), TOGETHER):
+            some = marked[at:at + TOGETHER]
+            ids = self._encode([f" {MARK} ".join([w.decode() for w in some])])[0]
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) != len(some) - 1:
+                raise ValueError("the tokenizer does not keep words apart")
+            yield from self._cut(some, ids, np.append(0, cuts + 1), np.append(cuts, len(ids)))
+        for at in range(0, len(alone), TOGETHER):
+            some = alone[at:at + TOGETHER]
+            yield from zip(some, [x.tobytes() for x in self._encode([w.decode() for w in some])], strict=True)
 
 
 def _encoder(spec: str):
@@ -72,7 +110,7 @@ def _encoder(spec: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _tokenizers[key], _words[key] = Tokenizer.from_str(spec), {}
+        _tokenizers[key], _words[key] = _Words(Tokenizer.from_str(spec), spec), {}
     tokenizer, known = _tokenizers[key], _words[key]
 
     def learn(words: set[bytes]) -> None:
@@ -80,7 +118,7 @@ def _encoder(spec: str):
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             new = list(words)
-        known.update(_ids_of_words(tokenizer, new))
+        known.update(tokenizer.ids(new))
 
     return known, learn
 
