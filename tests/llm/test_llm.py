@@ -17,7 +17,7 @@ from voltlane.llm.decontaminate import contamination
 from voltlane.llm.html_extract import extract, main_text
 from voltlane.llm.language import LanguageModels
 from voltlane.llm.near_duplicates import components, near_duplicates
-from voltlane.llm.packing import _Words, default_vocabulary, first_fit_decreasing, pack
+from voltlane.llm.packing import _encoder, default_vocabulary, first_fit_decreasing, pack
 from voltlane.llm.quality import quality_rules
 from voltlane.llm.sharding import communication_matrix, shard_rows
 from voltlane.llm.substrings import substring_dedup
@@ -206,13 +206,23 @@ def test_words_encoded_together_have_their_own_ids():
 
     tokenizer = Tokenizer.from_file(default_vocabulary())
     odd = ["\x01", "a\x01b", "\x01\x01", "<|endoftext|>", "x<|startoftext|>y", "\u0301e", "e\u0301", "\u00a0", "don't,", "DON'T", "'S", "it's's", "'", "''ll", "A-b_c:9%", "<", "|>", "\x02", "12ab", "\u4f60\u597d", "\U0001f600"]
-    many = [w.encode() for w in dict.fromkeys(odd + [x for t in TEXTS for x in (t or "").split()])]
-    got = dict(_Words(tokenizer, open(default_vocabulary(), encoding="utf-8").read()).ids(many))
-    assert set(got) == set(many)
-    for w in many:
-        assert got[w] == np.array(tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-    text = " ".join(w.decode() for w in many)
-    assert b"".join(got[w] for w in many) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    r = random.Random(11)
+    letters = list("abAB'st09 _-&|<>\t\n\x01\x00\x1c\u0107\u00e9\u00c9\u00d7\u00f7\u00df\u00ff\u2003\u00aa\u00b5\u03a3\u0130\u0436\u4f60\u00b2\u2167\u0661\u0085") + odd
+    mixed = ["".join(r.choice(letters) for _ in range(r.randrange(30))) for _ in range(3000)]
+    texts = [*odd, " ".join(odd), *[t or "" for t in TEXTS], *mixed]
+    got = list(_encoder(open(default_vocabulary(), encoding="utf-8").read()).encode([t.encode() for t in texts]))
+    for t, ids in zip(texts, got, strict=True):
+        assert ids == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
+def test_a_tokenizer_without_word_ends_gets_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [t or "" for t in TEXTS]
+    got = list(_encoder(open(path, encoding="utf-8").read()).encode([t.encode() for t in texts]))
+    expected = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in expected]
 
 
 def test_first_fit_decreasing_is_first_fit():

@@ -26,16 +26,18 @@ from . import text as tx
 LENGTH = 2048
 END_ID = 1
 GROUP = 20_000
-#: Words whose ids a worker remembers; the memory starts anew when it is full.
+#: Parts of words whose ids a worker remembers; the memory starts anew when it is full.
 REMEMBERED = 600_000
-#: Words that are encoded in one text, and the control character between them.
+#: Parts or words that are encoded in one text, and the control character between words.
 TOGETHER = 512
-MARK = "\x01"
-PRINTABLE = re.compile(rb"[\x21-\x7e]+").fullmatch
+MARK = b"\x01"
+SPECIAL = b"<|"
+#: Bytes that plain words have not: any beyond ASCII but those of Latin-1 letters in UTF-8.
+NOT_PLAIN = bytes([0xC2, *range(0xC4, 0x100)])
+TIMES, DIVIDED = "\u00d7".encode(), "\u00f7".encode()
 PIECES = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
-_tokenizers: dict[int, object] = {}
-_words: dict[int, dict[bytes, bytes]] = {}
+_encoders: dict[str, _Encoder] = {}
 
 
 def default_vocabulary() -> str:
@@ -44,96 +46,93 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _Words:
-    """Ids of distinct words, as little-endian bytes, many words in one call.
+def _plain(x: bytes) -> bool:
+    return len(x.translate(None, NOT_PLAIN)) == len(x) and SPECIAL not in x and TIMES not in x and DIVIDED not in x
 
-    Words of printable ASCII stand in one text; the tokenizer's own split pattern, cut down to ASCII, tells how many parts
-    each has, and a part ends with a token that bears the word-end suffix. Other words have ``MARK`` between them, whose
-    id no other character gives. Words with the mark or a special token's opening, and all words of a tokenizer without
-    such a pattern, suffix or id, are encoded one by one."""
 
-    def __init__(self, tokenizer, spec: str):
-        self.tokenizer = tokenizer
+class _Encoder:
+    """Ids of texts as little-endian bytes, from the remembered ids of their parts.
+
+    The tokenizer's split pattern parts words, and each part is encoded alone, with a word-end suffix on its last token; so
+    many distinct parts go in one text, and the suffix tells them apart. Plain words (ASCII and Latin-1 letters) are parted
+    by the same pattern over bytes. Other words are remembered whole and encoded with ``MARK`` between them, whose id no
+    other character gives; words with the mark or a special token's opening are encoded one by one. A tokenizer without
+    such a pattern, suffix or mark gets whole texts, and nothing is remembered."""
+
+    def __init__(self, spec: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.known = Tokenizer.from_str(spec), {}
+        settings = json.loads(spec)
+        suffix = settings["model"].get("end_of_word_suffix")
+        splits = [x for x in (settings["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
+        pattern = splits[0]["pattern"].get("Regex", "") if len(splits) == 1 else ""
+        pattern = pattern.encode().replace(rb"\p{L}", rb"a-z\x80-\xff").replace(rb"\p{N}", b"0-9")
         mark = self._encode([MARK])[0]
-        self.mark = mark[0] if len(mark) == 1 else None
-        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
-        suffix = json.loads(spec)["model"].get("end_of_word_suffix")
-        self.ends = np.zeros(tokenizer.get_vocab_size() + 1, dtype=bool)
-        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
-        splits = [x for x in (json.loads(spec)["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
-        pattern = splits[0]["pattern"]["Regex"].replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9") if len(splits) == 1 else ""
-        self.parts = re.compile(pattern.encode()).findall if suffix and pattern and "\\p" not in pattern else None
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def _cut(some: list[bytes], ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+        self.mark = mark[0]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if suffix and t.endswith(suffix)]] = True
+        self.parts = re.compile(pattern).findall if suffix and pattern and rb"\p" not in pattern and len(mark) == 1 else None
+
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4") for e in found]
+
+    def _remember(self, keys: list[bytes], ids: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> None:
+        if len(begins) != len(keys) or len(stops) != len(keys) or stops[-1] != len(ids):
+            raise ValueError("the tokenizer does not keep words apart")
         raw = ids.tobytes()
-        return zip(some, [raw[lo:hi] for lo, hi in zip((4 * begins).tolist(), (4 * ends).tolist(), strict=True)], strict=True)
-
-    def ids(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        counted, marked, alone = [], [], []
-        for w in words:
-            if self.parts and PRINTABLE(w) and b"<|" not in w:
-                counted.append(w)
-            elif self.mark is not None and MARK.encode() not in w and b"<|" not in w:
-                marked.append(w)
-            else:
-                alone.append(w)
-        for at in range(0, len(counted), TOGETHER):
-            some = counted[at:at + TOGETHER]
-            ids = self._encode([b" ".join(some).decode()])[0]
-            last = np.cumsum([len(self.parts(w.lower())) for w in some])
+        self.known.update(zip(keys, [raw[lo:hi] for lo, hi in zip((4 * begins).tolist(), (4 * stops).tolist(), strict=True)], strict=True))
+
+    def _learn(self, keys: set[bytes]) -> None:
+        new = keys.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = keys
+        plain, marked, alone = [], [], []
+        for x in new:
+            (plain if _plain(x) else alone if MARK in x or SPECIAL in x else marked).append(x)
+        for some in (plain[at:at + TOGETHER] for at in range(0, len(plain), TOGETHER)):
+            ids = self._encode([b" ".join(some)])[0]
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != last[-1] or stops[-1] != len(ids):
-                raise ValueError("the tokenizer does not keep words apart")
-            ends = stops[last - 1]
-            yield from self._cut(some, ids, np.append(0, ends[:-1]), ends)
-        for at in range(0, len(marked), TOGETHER):
-            some = marked[at:at + TOGETHER]
-            ids = self._encode([f" {MARK} ".join([w.decode() for w in some])])[0]
+            self._remember(some, ids, np.append(0, stops[:-1]), stops)
+        for some in (marked[at:at + TOGETHER] for at in range(0, len(marked), TOGETHER)):
+            ids = self._encode([(b" " + MARK + b" ").join(some)])[0]
             cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) != len(some) - 1:
-                raise ValueError("the tokenizer does not keep words apart")
-            yield from self._cut(some, ids, np.append(0, cuts + 1), np.append(cuts, len(ids)))
-        for at in range(0, len(alone), TOGETHER):
-            some = alone[at:at + TOGETHER]
-            yield from zip(some, [x.tobytes() for x in self._encode([w.decode() for w in some])], strict=True)
-
-
-def _encoder(spec: str):
-    """Ids of a list of words, as little-endian bytes. The tokenizer parts texts at white space and looks at each part
-    alone, so a word always has the same ids; ``tests/llm`` compares with whole texts."""
-    key = hash(spec)
-    if key not in _tokenizers:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+            self._remember(some, ids, np.append(0, cuts + 1), np.append(cuts, len(ids)))
+        for some in (alone[at:at + TOGETHER] for at in range(0, len(alone), TOGETHER)):
+            self.known.update(zip(some, [x.tobytes() for x in self._encode(some)], strict=True))
 
-        _tokenizers[key], _words[key] = _Words(Tokenizer.from_str(spec), spec), {}
-    tokenizer, known = _tokenizers[key], _words[key]
+    def _keys(self, text: bytes) -> list[bytes]:
+        if _plain(text):
+            return self.parts(text.lower())
+        return [k for w in text.split() for k in (self.parts(w.lower()) if _plain(w) else [w])]
 
-    def learn(words: set[bytes]) -> None:
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(words)
-        known.update(tokenizer.ids(new))
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        if not self.parts:
+            return (x.tobytes() for x in self._encode(texts))
+        keys = [self._keys(t) for t in texts]
+        self._learn(set().union(*keys))
+        return (b"".join(map(self.known.__getitem__, k)) for k in keys)
 
-    return known, learn
+
+def _encoder(spec: str) -> _Encoder:
+    if spec not in _encoders:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        _encoders[spec] = _Encoder(spec)
+    return _encoders[spec]
 
 
 def _pieces(spec: str, length: int, end_id: int, with_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, learn = _encoder(spec)
+        encoder = _encoder(spec)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for rows, data, offsets in tx.text_pieces(batch, "_text", tx.BLOCK):
-                texts = [data[a:b].tobytes().split() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                learn(set().union(*texts))
+                texts = [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 doc, start, size, crc, total, ids = [], [], [], [], [], []
-                for d, words in enumerate(texts):
-                    packed = b"".join(map(known.__getitem__, words)) + end
+                for d, body in enumerate(encoder.encode(texts)):
+                    packed = body + end
                     n = len(packed) // 4
                     for at in range(0, n, length):
                         piece = packed[4 * at:4 * (at + length)]
