@@ -141,10 +141,18 @@ def windows(h: np.ndarray, size: int, which: int = 0) -> np.ndarray:
 def text_pieces(batch: pa.RecordBatch, column: str, limit: int = 4 * BLOCK) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) of a string column in runs of rows of about ``limit`` bytes. Null counts as empty."""
     a = batch.column(column)
-    a = a.cast(pa.large_string()).fill_null("")
-    buffers = a.buffers()
+    a = a.cast(pa.large_string())
     n = len(a)
-    offsets = np.frombuffer(buffers[1], dtype=np.int64, count=a.offset + n + 1)[a.offset:]
+
+    def ends(a: pa.Array) -> np.ndarray:
+        return np.frombuffer(a.buffers()[1], dtype=np.int64, count=a.offset + n + 1)[a.offset:]
+
+    offsets = ends(a)
+    # Nulls have no bytes as Spark writes them; other writers' batches are copied.
+    if a.null_count and np.diff(offsets)[a.is_null().to_numpy(zero_copy_only=False)].any():
+        a = a.fill_null("")
+        offsets = ends(a)
+    buffers = a.buffers()
     data = np.frombuffer(buffers[2], dtype=np.uint8) if buffers[2] is not None and buffers[2].size else np.empty(0, np.uint8)
     row = 0
     while row < n:

@@ -235,7 +235,9 @@ class ToxicityModel:
 
         Null, empty and wordless texts get the score of a text without evidence. Repeated rows each get their row."""
         shared = self.shared
-        source = docs.select(F.struct(F.col(doc_id), *carry).alias("_row"), F.col(text).cast("string").alias("_text"))
+        # A text that is carried goes to the tasks once.
+        carried = text in carry and dict(docs.dtypes)[text] == "string"
+        source = docs.select(F.struct(F.col(doc_id), *carry).alias("_row"), *([] if carried else [F.col(text).cast("string").alias("_text")]))
         names = [f.name for f in source.schema["_row"].dataType.fields]
         kinds = [f.dataType.simpleString() for f in source.schema["_row"].dataType.fields]
         near = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
@@ -243,6 +245,8 @@ class ToxicityModel:
         def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index, base, fit = shared.value
             for batch in batches:
+                if carried:
+                    batch = batch.append_column("_text", batch.column("_row").field(names.index(text)))
                 for rows, data, offsets in tx.text_pieces(batch, "_text", tx.BLOCK):
                     share, weight, cosines, which = index.votes(index.vectors.of(data, offsets), base)
                     p = 1 / (1 + np.exp(-np.clip(_features(share, weight) @ fit, -30, 30)))
