@@ -278,6 +278,41 @@ def test_language(spark, docs, empty):
     assert {x.lang_pred for x in LanguageModels(empty).identify(docs).collect()} == {"und"}
 
 
+def test_language_models_keep_all_grams_in_slices(spark):
+    r = random.Random(6)
+    letters = {"aa": "abcde", "bb": "cdefg"}
+    rows = [(i, " ".join("".join(r.choice(letters[x]) for _ in range(5)) for _ in range(30)), x) for i in range(60) for x in letters]
+    rows += [(500, "vwxyz zyxwv", "cc"), (500, "vwxyz zyxwv", "cc")]
+    learn = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    whole, cut = LanguageModels(learn), LanguageModels(learn, slice_grams=300)
+    assert len(whole.slices) == 1 and len(cut.slices) > 2 and whole.languages == cut.languages == ["aa", "bb", "cc"]
+    asked = learn.unionByName(learn.limit(3)).select("doc_id", "text").union(spark.createDataFrame([(900, "vwx abq"), (901, None)], "a bigint, b string"))
+    want, got = (sorted(m.identify(asked).collect(), key=str) for m in (whole, cut))
+    assert len(want) == len(got) == len(rows) + 5
+    for a, b in zip(want, got, strict=True):
+        assert (a.doc_id, a.lang_pred, a.accepted) == (b.doc_id, b.lang_pred, b.accepted)
+        assert np.isclose(a.score, b.score) and (a.bits is None or np.isclose(a.bits, b.bits))
+    assert {x.lang_pred for x in got if x.doc_id == 500} == {"cc"}
+    # Against Kneser-Ney by dictionaries.
+    levels = [Counter(), None, None, None]
+    for text in (x for _, x, lang in rows if lang == "aa"):
+        padded = "   " + text
+        levels[0].update(padded[i:i + 4] for i in range(len(text)))
+    for k in (1, 2, 3):
+        levels[k] = Counter(g[1:] for g in levels[k - 1])
+    def discount(n):
+        once, twice = sum(v == 1 for v in n.values()), sum(v == 2 for v in n.values())
+        return once / (once + 2 * twice) if once and twice else 0.75
+    def p(g):
+        n = levels[4 - len(g)]
+        own = {k: v for k, v in n.items() if k[:-1] == g[:-1]}
+        lower = p(g[1:]) if len(g) > 1 else 1 / (len(n) + 1)
+        return (max(n[g] - discount(n), 0) + discount(n) * len(own) * lower) / sum(own.values()) if own else lower
+    text = rows[0][1]
+    bits = -np.mean([np.log2(p(("   " + text)[i:i + 4])) for i in range(len(text))])
+    assert all(np.isclose(x.bits, bits) for x in got if x.doc_id == 0 and x.lang_pred == "aa")
+
+
 def test_html(spark):
     page = ("<html><head><title>t</title></head><body><nav><ul><li>menu</ul></nav><div class='ad'>buy</div><article><h1>T &amp; U</h1>"
             "<p>One  <b>two</b>\n three<p>four<aside>no</aside><div class=comments><p>me</div><form>f</form></article><footer>&copy;</footer>")

@@ -5,6 +5,11 @@ all learning texts are gathered by Spark; they settle the lower orders too, whic
 probabilities of each order are kept in sorted arrays of packed 4-gram keys (16 bits a character, so the key is its own
 hash), and looked up by binary search, once per distinct 4-gram of a batch.
 
+No count is dropped. The table of counts stays in Spark, cut into slices by the two middle characters of the 4-gram: all
+that a 4-gram's probability needs (its context, its shorter forms and their contexts) is in its own slice, but for the
+single characters and one discount per order, which are totals of the whole table. Slices are collected, sent out and
+applied to the texts one after the other, and the sums of a text are added up; up to ``SLICE_GRAMS`` there is one slice.
+
 A text goes to the language with the lowest cross-entropy per character. The rejection is calibrated on the learning
 texts: from the mean and spread of each language's own cross-entropy, a text that fits its best language worse than
 ``SPREADS`` standard deviations above the mean is marked as not accepted."""
@@ -25,9 +30,8 @@ ORDER = 4
 BITS = 16
 SPREADS = 4.0
 SHARPNESS = 20.0
-#: Most 4-grams that the models together may hold, and most languages. Rarer 4-grams beyond it are left to the lower
-#: orders: the least count that is kept rises until the rest fits (16 bytes each).
-MAX_GRAMS = 4_000_000
+#: About how many 4-grams (of all languages, 16 bytes each) are held in memory at a time, and most languages.
+SLICE_GRAMS = 4_000_000
 MAX_LANGUAGES = 500
 FLUSH = 1 << 21
 BLANK = 0x20
@@ -100,27 +104,33 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def _middle(grams: np.ndarray) -> np.ndarray:
+    """Third character, then the second: 4-grams between two of these numbers are a slice."""
+    low = np.uint64((1 << BITS) - 1)
+    return ((grams >> np.uint64(BITS)) & low) << np.uint64(BITS) | ((grams >> np.uint64(2 * BITS)) & low)
+
+
+def _discount(once: int, twice: int) -> float:
+    return float(once / (once + 2 * twice)) if once and twice else 0.75
+
+
 class KneserNey:
-    """One language: for each order sorted keys, probabilities of seen n-grams, and weights of seen contexts."""
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
-        order = np.argsort(grams)
-        keys, n = grams[order], counts[order].astype(np.float64)
-        levels = [(keys, n)]
-        for k in range(ORDER - 1, 0, -1):
-            # Kneser-Ney: a shorter n-gram counts the distinct characters seen before it.
-            keys, n = np.unique(levels[-1][0] & np.uint64((1 << (BITS * k)) - 1), return_counts=True)
-            levels.append((keys, n.astype(np.float64)))
-        levels.reverse()
+    """A slice of one language: for each order sorted keys, probabilities of seen n-grams, and weights of seen contexts."""
+
+    def __init__(self, singles: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray],
+                 grams: tuple[np.ndarray, np.ndarray], discounts: list[float]):
+        """Keys and counts of the slice's 4-grams, of all pairs that begin with a third character in it, and of all single
+        characters; the language's discounts from order 1 to 4."""
+        levels = [(keys[order], n[order].astype(np.float64)) for keys, n in (singles, pairs, grams) for order in [np.argsort(keys)]]
+        # Kneser-Ney: a shorter n-gram counts the distinct characters seen before it.
+        keys, n = np.unique(levels[2][0] & np.uint64((1 << (BITS * 3)) - 1), return_counts=True)
+        levels.insert(2, (keys, n.astype(np.float64)))
         self.levels = []
         keys, n = levels[0]
-        vocabulary = len(keys) + 1
-        d = self._discount(n)
-        total = n.sum()
+        vocabulary, d, total = len(keys) + 1, discounts[0], n.sum()
         self.unknown = d * len(n) / total / vocabulary if total else 1.0 / vocabulary
         self.levels.append((keys, np.maximum(n - d, 0) / max(total, 1) + self.unknown, None, None))
-        for keys, n in levels[1:]:
-            d = self._discount(n)
+        for (keys, n), d in zip(levels[1:], discounts[1:], strict=True):
             contexts, first, types = np.unique(keys >> np.uint64(BITS), return_index=True, return_counts=True)
             totals = np.add.reduceat(n, first) if len(n) else n
             weight = d * types / totals
@@ -128,11 +138,6 @@ class KneserNey:
             lower = self.probability(keys & np.uint64((1 << (BITS * len(self.levels))) - 1), len(self.levels))
             self.levels.append((keys, np.maximum(n - d, 0) / totals[which] + weight[which] * lower, contexts, weight))
 
-    @staticmethod
-    def _discount(n: np.ndarray) -> float:
-        once, twice = (n == 1).sum(), (n == 2).sum()
-        return float(once / (once + 2 * twice)) if once and twice else 0.75
-
     def probability(self, grams: np.ndarray, order: int = ORDER) -> np.ndarray:
         """Of the last character of each n-gram, given the others."""
         if order == 0:
@@ -179,55 +184,66 @@ def _distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, places[small]
 
 
-def _entropies(models):
-    """Cross-entropy per character of each text under each language, in the order of the languages' names."""
+def _losses(shared):
+    """Sums of the bits of each text's characters under each language, in the order of the languages' names, over the
+    characters whose 4-grams lie in the slice."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = models.value
+        table, lo, hi = shared.value
         for batch in batches:
             for rows, data, offsets in tx.text_pieces(batch, "_text"):
                 n = rows.stop - rows.start
                 grams, doc, letters = char_grams(data, offsets)
                 keys, place = _distinct(grams)
                 length = np.bincount(doc, minlength=n)
+                middle = _middle(keys)
+                own = (middle >= lo) & (middle < hi)
                 out = np.empty((n, len(table)))
                 for i, model in enumerate(table):
-                    loss = -np.log2(model.probability(keys))
-                    out[:, i] = np.bincount(doc, weights=loss[place], minlength=n) / np.maximum(length, 1)
+                    loss = np.zeros(len(keys))
+                    loss[own] = -np.log2(model.probability(keys[own]))
+                    out[:, i] = np.bincount(doc, weights=loss[place], minlength=n)
                 part = batch.slice(rows.start, n)
                 at = np.arange(n + 1, dtype=np.int32) * len(table)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc"), part.column("lang"), pa.array(letters, pa.int64()),
-                     pa.ListArray.from_arrays(at, pa.array(out.ravel()))], names=["doc", "lang", "n_letters", "bits"])
+                    [*(part.column(c) for c in part.schema.names[:-1]), pa.array(letters, pa.int64()), pa.array(length, pa.int64()),
+                     pa.ListArray.from_arrays(at, pa.array(out.ravel()))], names=[*part.schema.names[:-1], "n_letters", "n_chars", "loss"])
 
     return score
 
 
 class LanguageModels:
-    """Learned models of several languages, on the driver; sent to tasks when they score."""
+    """Learned models of several languages: counts in a stored table, slices of the models sent to tasks when they score."""
 
-    def __init__(self, learn: DataFrame, lang: str = "lang", text: str = "text", max_grams: int = MAX_GRAMS):
+    def __init__(self, learn: DataFrame, lang: str = "lang", text: str = "text", slice_grams: int = SLICE_GRAMS):
         """From all rows of ``learn`` with a language and a text."""
         self.spark = learn.sparkSession
         source = learn.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("_text"), F.lit(0).alias("doc"))
         source = source.filter("lang is not null and _text is not null")
-        grams = materialize(source.mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-        sizes = grams.groupBy(F.least("n", F.lit(64)).alias("n")).agg(F.count(F.lit(1)).alias("grams"), F.max("lang")).collect()
-        least, held = 1, sum(r["grams"] for r in sizes)
-        for r in sorted(sizes, key=lambda r: r["n"]):
-            if held <= max_grams:
-                break
-            least, held = r["n"] + 1, held - r["grams"]
-        if held > max_grams:
-            raise ValueError(f"{held} 4-grams occur often; the models may hold {max_grams}")
-        table = grams.filter(F.col("n") >= least).toArrow()
-        names = np.array(table.column("lang").to_pylist(), dtype=object)
-        keys, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
-        self.languages = sorted(set(names.tolist()))
+        self.grams = materialize(source.mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+        orders = [None, None, None, self.grams]
+        for k in (3, 2, 1):
+            shorter = F.col("gram").bitwiseAND(F.lit((1 << (BITS * k)) - 1))
+            orders[k - 1] = materialize(orders[k].groupBy("lang", shorter.alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+        tallies = [{r["lang"]: r for r in t.groupBy("lang").agg(F.count(F.lit(1)).alias("grams"), F.count_if(F.col("n") == 1).alias("once"),
+                                                              F.count_if(F.col("n") == 2).alias("twice")).collect()} for t in orders]
+        self.languages = sorted(tallies[3])
         if len(self.languages) > MAX_LANGUAGES:
             raise ValueError(f"{len(self.languages)} languages; {MAX_LANGUAGES} at most")
-        self.models = self.spark.sparkContext.broadcast([KneserNey(keys[names == x], n[names == x]) for x in self.languages])
+        self.discounts = [[_discount(t[x]["once"], t[x]["twice"]) for t in tallies] for x in self.languages]
+        self.pairs = orders[1]
+        self.singles = self._arrays(orders[0])
+        held = sum(r["grams"] for r in tallies[3].values())
+        slices = -(-held // slice_grams)
+        cuts = []
         self.limits = [float("inf")] * len(self.languages)
+        if slices > 1:
+            # Quantiles of the middle characters, each the first number of a slice.
+            cuts = self.grams.select(self._middle().cast("double").alias("m")).approxQuantile(
+                "m", [i / slices for i in range(1, slices)], 0.1 / slices)
+        edges = [0, *sorted({int(c) for c in cuts} - {0}), 1 << (2 * BITS)]
+        self.slices = list(zip(edges[:-1], edges[1:], strict=True))
+        self.only = self._slice(*self.slices[0]) if len(self.slices) == 1 and self.languages else None
         if self.languages:
             own = self._scores(source).withColumn("own", F.element_at("bits", F.array_position(self._names(), F.col("lang")).cast("int")))
             fit = {r["lang"]: r for r in own.filter("n_letters > 0").groupBy("lang").agg(
@@ -237,10 +253,50 @@ class LanguageModels:
     def _names(self):
         return F.array(*[F.lit(x) for x in self.languages])
 
+    @staticmethod
+    def _middle():
+        low = F.lit((1 << BITS) - 1)
+        third, second = (F.shiftrightunsigned("gram", BITS * k).bitwiseAND(low) for k in (1, 2))
+        return F.shiftleft(third, BITS).bitwiseOR(second)
+
+    def _arrays(self, grams: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Keys and counts of each language."""
+        if not self.languages:
+            return []
+        table = grams.select((F.array_position(self._names(), F.col("lang")) - 1).cast("int").alias("lang"), "gram", "n").toArrow()
+        code, keys, n = (table.column(c).to_numpy() for c in ("lang", "gram", "n"))
+        return [(keys[code == i].view(np.uint64), n[code == i]) for i in range(len(self.languages))]
+
+    def _slice(self, lo: int, hi: int):
+        """The models of one slice, sent out."""
+        m, third = self._middle(), F.shiftrightunsigned("gram", BITS)
+        grams = self._arrays(self.grams.filter((m >= lo) & (m < hi)))
+        pairs = self._arrays(self.pairs.filter((third >= lo >> BITS) & (third <= (hi - 1) >> BITS)))
+        models = [KneserNey(*parts) for parts in zip(self.singles, pairs, grams, self.discounts, strict=True)]
+        return self.spark.sparkContext.broadcast((models, np.uint64(lo), np.uint64(hi)))
+
     def _scores(self, source: DataFrame) -> DataFrame:
-        kind = dict(source.dtypes)["doc"]
-        return source.select("doc", "lang", "_text").mapInArrow(
-            _entropies(self.models), f"doc {kind}, lang string, n_letters bigint, bits array<double>")
+        """doc, lang, n_letters, bits: cross-entropy per character under each language. With several slices the texts are
+        read once for each, and only sums per distinct row are shuffled."""
+        kinds = f"doc {dict(source.dtypes)['doc']}, lang string"
+        sums = "n_letters bigint, n_chars bigint, loss array<double>"
+        bits = F.transform("loss", lambda x: x / F.greatest("n_chars", F.lit(1))).alias("bits")
+        if self.only:
+            return source.select("doc", "lang", "_text").mapInArrow(_losses(self.only), f"{kinds}, {sums}").select("doc", "lang", "n_letters", bits)
+        keyed = source.select("doc", "lang", F.xxhash64("_text").alias("_a"), F.xxhash64(F.lit(1), "_text").alias("_b"), "_text")
+        parts = None
+        for lo, hi in self.slices:
+            shared = self._slice(lo, hi)
+            part = materialize(keyed.mapInArrow(_losses(shared), f"{kinds}, _a bigint, _b bigint, {sums}"))
+            shared.destroy()
+            parts = part if parts is None else parts.unionByName(part)
+        # Equal rows are summed together and divided again.
+        total = [F.sum(F.col("loss")[i]) for i in range(len(self.languages))]
+        added = parts.groupBy("doc", "lang", "_a", "_b").agg(
+            F.max("n_letters").alias("n_letters"), F.max("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("_rows"), F.array(*total).alias("loss"))
+        copies = (F.col("_rows") / len(self.slices)).cast("bigint")
+        added = added.withColumn("loss", F.transform("loss", lambda x: x / copies))
+        return added.select(F.explode(F.array_repeat(F.struct("doc", "lang", "n_letters", bits), copies.cast("int"))).alias("r")).select("r.*")
 
     def identify(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """One row per row of ``docs``: id, ``lang_pred``, ``score`` (share of the best language, from the differences in
