@@ -313,6 +313,19 @@ def test_language_models_keep_all_grams_in_slices(spark):
     assert all(np.isclose(x.bits, bits) for x in got if x.doc_id == 0 and x.lang_pred == "aa")
 
 
+def test_language_beyond_the_basic_plane(spark):
+    def text(first, seed):
+        r = random.Random(seed)
+        return " ".join("".join(chr(first + r.randrange(12)) for _ in range(5)) for _ in range(12))
+    # Adlam and Gothic share no letter; emoji and private characters are not letters.
+    rows = [(i, text(first, i), lang) for i in range(20) for first, lang in ((0x1E900, "adl"), (0x10330, "got"))]
+    model = LanguageModels(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    asked = [(1, text(0x1E922, 99)), (2, text(0x10330, 98)), (3, "\U0001f600\U0001f680 \U000f0000\U0010ffff"), (4, "\U00020000\U00020001")]
+    got = {x.doc_id: x for x in model.identify(spark.createDataFrame(asked, "doc_id bigint, text string")).collect()}
+    assert [got[i].lang_pred for i in (1, 2, 3)] == ["adl", "got", "und"] and got[3].score == 0 and not got[3].accepted
+    assert got[2].bits < 6 and got[4].lang_pred in ("adl", "got")
+
+
 def test_html(spark):
     page = ("<html><head><title>t</title></head><body><nav><ul><li>menu</ul></nav><div class='ad'>buy</div><article><h1>T &amp; U</h1>"
             "<p>One  <b>two</b>\n three<p>four<aside>no</aside><div class=comments><p>me</div><form>f</form></article><footer>&copy;</footer>")

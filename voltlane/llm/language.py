@@ -3,7 +3,7 @@
 Texts are read as streams of lower-case letters with one blank between runs of them. Counts of all character 4-grams of
 all learning texts are gathered by Spark; they settle the lower orders too, which count distinct left neighbours. The
 probabilities of each order are kept in sorted arrays of packed 4-gram keys (16 bits a character, so the key is its own
-hash), and looked up by binary search, once per distinct 4-gram of a batch.
+hash; the bits are a letter's number in the alphabet of the learning texts, so letters beyond U+FFFF are told apart too), and looked up by binary search, once per distinct 4-gram of a batch.
 
 No count is dropped. The table of counts stays in Spark, cut into slices by the two middle characters of the 4-gram: all
 that a 4-gram's probability needs (its context, its shorter forms and their contexts) is in its own slice, but for the
@@ -36,72 +36,103 @@ MAX_LANGUAGES = 500
 FLUSH = 1 << 21
 BLANK = 0x20
 
+#: Beyond these planes Unicode has no letters.
+CODES = 0x40000
+
 _tables: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
-    """For each code up to 0xFFFF its lower-case letter, or a blank. Characters beyond stand for one letter."""
+    """For each code below CODES its lower-case letter, or a blank; the last entry, a blank, stands for all codes beyond."""
     if not _tables:
-        table = np.full(1 << BITS, BLANK, dtype=np.uint16)
-        for c in range(1 << BITS):
+        table = np.full(CODES + 1, BLANK, dtype=np.uint32)
+        for c in range(CODES):
             if chr(c).isalpha():
                 low = chr(c).lower()
                 table[c] = ord(low) if len(low) == 1 else c
-        table[0xFFFF] = 0xFFFF
         _tables.append(table)
     return _tables[0]
 
 
-def char_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _characters(data: np.ndarray) -> np.ndarray:
+    codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
+    return _letters()[np.minimum(codes, CODES)]
+
+
+def _alphabet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct letters of the texts."""
+    seen = np.zeros(CODES, dtype=bool)
+    for batch in batches:
+        for _, data, offsets in tx.text_pieces(batch, "_text"):
+            seen[_characters(data[offsets[0]:offsets[-1]])] = True
+    seen[BLANK] = False
+    yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen), pa.int32())], names=["code"])
+
+
+def numbers(alphabet: np.ndarray) -> np.ndarray:
+    """A table from characters to 16 bits: 0 for a blank, 1 for all letters that no learning text has (no model tells them
+    apart), then the alphabet."""
+    if len(alphabet) > (1 << BITS) - 2:
+        raise ValueError(f"{len(alphabet)} distinct letters; {(1 << BITS) - 2} at most")
+    table = np.ones(CODES, dtype=np.uint16)
+    table[alphabet] = np.arange(2, 2 + len(alphabet))
+    table[BLANK] = 0
+    return table
+
+
+def char_grams(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(packed 4-grams in text order, text of each, letters per text). Each text is led by blanks, so it has as many
     4-grams as characters."""
     lo, hi = int(offsets[0]), int(offsets[-1])
     data = data[lo:hi]
     heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)])[offsets - lo]
-    codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
-    c = _letters()[np.minimum(codes, 0xFFFF)]
+    c = table[_characters(data)]
     n_docs = len(offsets) - 1
     doc = np.repeat(np.arange(n_docs), np.diff(heads))
-    blank = c == BLANK
+    blank = c == 0
     keep = np.ones(len(c), dtype=bool)
     keep[1:] = ~(blank[1:] & blank[:-1] & (doc[1:] == doc[:-1]))
     firsts = heads[:-1][np.diff(heads) > 0]
     keep[firsts] &= ~blank[firsts]
     c, doc = c[keep], doc[keep]
-    padded = np.full(len(c) + (ORDER - 1) * n_docs, BLANK, dtype=np.uint64)
+    padded = np.zeros(len(c) + (ORDER - 1) * n_docs, dtype=np.uint64)
     at = np.arange(len(c)) + (ORDER - 1) * (doc + 1)
     padded[at] = c
     grams = padded[at]
     for k in range(1, ORDER):
         grams = grams | (padded[at - k] << np.uint64(BITS * k))
-    return grams, doc, np.bincount(doc[c != BLANK], minlength=n_docs)
+    return grams, doc, np.bincount(doc[c != 0], minlength=n_docs)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-    size = 0
+def _count(alphabet):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = numbers(alphabet.value)
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        for lang, parts in held.items():
-            keys, which = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            n = np.bincount(which, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)],
-                                             names=["lang", "gram", "n"])
-        held.clear()
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                keys, which = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+                n = np.bincount(which, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)],
+                                                 names=["lang", "gram", "n"])
+            held.clear()
 
-    for batch in batches:
-        for rows, data, offsets in tx.text_pieces(batch, "_text"):
-            langs = np.array(batch.column("lang").slice(rows.start, rows.stop - rows.start).to_pylist(), dtype=object)
-            grams, doc, _ = char_grams(data, offsets)
-            names, code = np.unique(langs.astype(str), return_inverse=True)
-            for i, lang in enumerate(names):
-                keys, n = np.unique(grams[code[doc] == i], return_counts=True)
-                held.setdefault(str(lang), []).append((keys, n))
-                size += len(keys)
-        if size >= FLUSH:
-            yield from flush()
-            size = 0
-    yield from flush()
+        for batch in batches:
+            for rows, data, offsets in tx.text_pieces(batch, "_text"):
+                langs = np.array(batch.column("lang").slice(rows.start, rows.stop - rows.start).to_pylist(), dtype=object)
+                grams, doc, _ = char_grams(data, offsets, table)
+                names, code = np.unique(langs.astype(str), return_inverse=True)
+                for i, lang in enumerate(names):
+                    keys, n = np.unique(grams[code[doc] == i], return_counts=True)
+                    held.setdefault(str(lang), []).append((keys, n))
+                    size += len(keys)
+            if size >= FLUSH:
+                yield from flush()
+                size = 0
+        yield from flush()
+
+    return count
 
 
 def _middle(grams: np.ndarray) -> np.ndarray:
@@ -184,27 +215,28 @@ def _distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, places[small]
 
 
-def _losses(shared):
+def _losses(shared, alphabet):
     """Sums of the bits of each text's characters under each language, in the order of the languages' names, over the
     characters whose 4-grams lie in the slice."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, lo, hi = shared.value
+        models, lo, hi = shared.value
+        table = numbers(alphabet.value)
         for batch in batches:
             for rows, data, offsets in tx.text_pieces(batch, "_text"):
                 n = rows.stop - rows.start
-                grams, doc, letters = char_grams(data, offsets)
+                grams, doc, letters = char_grams(data, offsets, table)
                 keys, place = _distinct(grams)
                 length = np.bincount(doc, minlength=n)
                 middle = _middle(keys)
                 own = (middle >= lo) & (middle < hi)
-                out = np.empty((n, len(table)))
-                for i, model in enumerate(table):
+                out = np.empty((n, len(models)))
+                for i, model in enumerate(models):
                     loss = np.zeros(len(keys))
                     loss[own] = -np.log2(model.probability(keys[own]))
                     out[:, i] = np.bincount(doc, weights=loss[place], minlength=n)
                 part = batch.slice(rows.start, n)
-                at = np.arange(n + 1, dtype=np.int32) * len(table)
+                at = np.arange(n + 1, dtype=np.int32) * len(models)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in part.schema.names[:-1]), pa.array(letters, pa.int64()), pa.array(length, pa.int64()),
                      pa.ListArray.from_arrays(at, pa.array(out.ravel()))], names=[*part.schema.names[:-1], "n_letters", "n_chars", "loss"])
@@ -220,7 +252,10 @@ class LanguageModels:
         self.spark = learn.sparkSession
         source = learn.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("_text"), F.lit(0).alias("doc"))
         source = source.filter("lang is not null and _text is not null")
-        self.grams = materialize(source.mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+        found = source.select("_text").mapInArrow(_alphabet, "code int").distinct().toArrow().column("code").to_numpy()
+        self.alphabet = self.spark.sparkContext.broadcast(np.sort(found))
+        numbers(self.alphabet.value)
+        self.grams = materialize(source.mapInArrow(_count(self.alphabet), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
         orders = [None, None, None, self.grams]
         for k in (3, 2, 1):
             shorter = F.col("gram").bitwiseAND(F.lit((1 << (BITS * k)) - 1))
@@ -282,12 +317,12 @@ class LanguageModels:
         sums = "n_letters bigint, n_chars bigint, loss array<double>"
         bits = F.transform("loss", lambda x: x / F.greatest("n_chars", F.lit(1))).alias("bits")
         if self.only:
-            return source.select("doc", "lang", "_text").mapInArrow(_losses(self.only), f"{kinds}, {sums}").select("doc", "lang", "n_letters", bits)
+            return source.select("doc", "lang", "_text").mapInArrow(_losses(self.only, self.alphabet), f"{kinds}, {sums}").select("doc", "lang", "n_letters", bits)
         keyed = source.select("doc", "lang", F.xxhash64("_text").alias("_a"), F.xxhash64(F.lit(1), "_text").alias("_b"), "_text")
         parts = None
         for lo, hi in self.slices:
             shared = self._slice(lo, hi)
-            part = materialize(keyed.mapInArrow(_losses(shared), f"{kinds}, _a bigint, _b bigint, {sums}"))
+            part = materialize(keyed.mapInArrow(_losses(shared, self.alphabet), f"{kinds}, _a bigint, _b bigint, {sums}"))
             shared.destroy()
             parts = part if parts is None else parts.unionByName(part)
         # Equal rows are summed together and divided again.
