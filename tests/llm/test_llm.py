@@ -266,6 +266,31 @@ def test_toxicity(spark, docs, empty):
     assert {x.predicted for x in none.score(docs).collect()} == {1} or {x.predicted for x in none.score(docs).collect()} == {0}
 
 
+def test_toxicity_knows_more_words_than_one_matrix_had(spark):
+    # 700 toxic words, each in two learning texts: more than the 512 words that were looked at before.
+    r = random.Random(12)
+    bad = [f"q{i}x" for i in range(700)]
+    rows = [(i, " ".join(r.choice(WORDS) for _ in range(20)) + (f" {bad[i // 4 % 700]} {bad[(i // 4 + 1) % 700]}" * 3 if i % 4 == 0 else ""), int(i % 4 == 0))
+            for i in range(2800)]
+    learn = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    extra = learn.select("doc_id", "text").union(spark.createDataFrame([(10**6 + i, "the q5x") for i in range(50)], "a bigint, b string"))
+    model = ToxicityModel(learning_rows(learn.drop("toxic"), learn.select("doc_id", "toxic")), docs=extra)
+    index, used = model.index, {w for i, x, _ in rows if i % 4 == 0 and zlib.crc32(str(i).encode()) % 4 != 2 for w in x.split() if w.startswith("q")}
+    assert len(used) > 512 and (index.vectors.weight > 0).sum() >= len(used)
+    # Frequencies are counted over all documents: q5x has more of them than q6x, so less weight in the same learning texts.
+    hashed = {w: tx.split_words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]), tx.MARKS, tx.LOWER).hashes()[0] for w in ("q5x", "q6x")}
+    df, n = {w: sum(w in x.split() for _, x, _ in rows) + 50 * (w == "q5x") for w in hashed}, len(rows) + 50
+    known = [(i, x, y) for i, x, y in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    n1, n0 = sum(y for *_, y in known), sum(1 - y for *_, y in known)
+    for w, h in hashed.items():
+        a = sum(w in x.split() for _, x, _ in known)
+        g = 2 * (a * np.log((n1 + n0) / n1) + (n1 - a) * np.log((n1 - a) / ((n1 + n0 - a) * n1 / (n1 + n0))) + n0 * np.log((n1 + n0) / (n1 + n0 - a)))
+        want = (np.log((n + 1) / (df[w] + 1)) + 1) * np.sqrt(g)
+        assert np.isclose(index.vectors.weight[np.searchsorted(index.vectors.terms, h)], want, rtol=1e-4)
+    q = np.abs(np.random.default_rng(1).normal(size=(20, len(index.vectors.terms)))).astype(np.float32)
+    assert np.allclose(index.nearest(q, 15)[0], -np.sort(-(q @ index.weights), axis=1)[:, :15], rtol=1e-3)
+
+
 def test_language(spark, docs, empty):
     letters = {"aa": "abcde", "bb": "cdefg"}
     r = random.Random(4)

@@ -53,7 +53,7 @@ def op3_benchmark_decontamination(spark, d):
 @query
 def op4_toxicity(spark, d):
     docs = tx.read(spark, d, "documents")
-    model = ToxicityModel(learning_rows(docs, tx.read(spark, d, "labels")))
+    model = ToxicityModel(learning_rows(docs, tx.read(spark, d, "labels")), docs=docs)
     held_out = F.coalesce(tx.fold_of("doc_id", 4) == 2, F.lit(False))
     return model.score(docs).select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
 

@@ -1,16 +1,17 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-1. Over all labelled learning texts, copies of a text once, document frequencies of every word are counted by class. The
-   words whose frequencies differ most between the classes (likelihood ratio, ``TERMS`` at most) are the vocabulary; their idf
-   comes from the same counts.
-2. Labelled examples (``EXAMPLES`` at most per class, chosen by a hash of the id) become unit TF-IDF vectors over the
-   vocabulary, ordered so that alike ones stand together, and are indexed in blocks with each term's largest weight.
-3. Of each text, block bounds (sums of query weight times block maximum) rule out blocks that cannot hold one of the
-   ``NEIGHBOURS`` nearest examples; the others are compared exactly. Neighbours vote with their cosine as weight.
+1. Labelled examples (``EXAMPLES`` at most per class, chosen by a hash of the id) give the vocabulary: every word of theirs.
+2. Document frequencies of these words are counted over all documents, and by class over all labelled learning texts, copies
+   of a text once. A word's weight is its idf times the root of its likelihood ratio between the classes, so words that say
+   nothing about the label, as most frequent ones, hardly count, but none is dropped. Words of no example are not counted in
+   a text's length; no example could share them.
+3. The examples become unit vectors, held as inverted lists: those of words that many examples have as rows of a matrix, the
+   others as (example, weight) pairs. Each text is compared with all examples; the ``NEIGHBOURS`` nearest vote with their
+   cosine as weight.
 4. Votes are calibrated by a logistic fit on examples that are not in the index.
 
-The index is bounded by TERMS and EXAMPLES whatever the tables' sizes, and is the only thing sent to the tasks; scoring
-neither shuffles texts nor looks at more than one batch."""
+The index is bounded by the words of the examples whatever the tables' sizes, and is the only thing sent to the tasks;
+scoring neither shuffles texts nor looks at more than one batch."""
 
 from __future__ import annotations
 
@@ -18,22 +19,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.storage import materialize
 from . import text as tx
 
-TERMS = 512
-#: A word enters the vocabulary if its likelihood ratio would be passed by chance by at most this many words of the corpus,
-#: and is not below a floor for corpora of few words.
-CHANCE, LEAST_RATIO = 10.0, 12.0
 EXAMPLES = 1000
-BLOCK = 64
 NEIGHBOURS = 15
 #: Weight of the base rate among the votes: few or far neighbours say little.
 PRIOR = 0.5
-FLUSH = 1 << 20
+#: A word that more than one in so many examples have is a row of the matrix.
+OFTEN = 16
+#: Cosines held at a time.
+CELLS = 1 << 21
 CALIBRATION_SHARE = 4
 
 
@@ -42,95 +41,159 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, tx.Words]
     return words.hashes(), words
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """term, texts of either class that hold it; term 0 counts the texts."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def _term_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, occurrences) in the order of the texts."""
+    h, words = _terms(data, offsets)
+    doc = words.doc_of_words()
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])) if len(h) else np.empty(0, np.int64)
+    return doc[first], h[first], np.diff(np.append(first, len(h)))
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        keys, which = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-        toxic = np.concatenate([t for _, t in held])
-        held.clear()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.view(np.int64)), pa.array(np.bincount(which, weights=toxic == 0).astype(np.int64)),
-             pa.array(np.bincount(which, weights=toxic == 1).astype(np.int64))], names=["term", "clean", "toxic"])
 
-    for batch in batches:
-        for rows, data, offsets in tx.text_pieces(batch, "_text"):
-            h, words = _terms(data, offsets)
-            label = batch.column("label").slice(rows.start, rows.stop - rows.start).to_numpy()
-            for d, (lo, hi) in enumerate(zip(words.first[:-1], words.first[1:], strict=True)):
-                own = np.append(np.unique(h[lo:hi]), np.uint64(0))
-                held.append((own, np.full(len(own), label[d], dtype=np.int8)))
-        if sum(len(k) for k, _ in held) >= FLUSH:
-            yield from flush()
-    if held:
-        yield from flush()
+class _Vocabulary:
+    """Sorted terms, and a sieve that keeps most other words from the search."""
 
+    def __init__(self, terms: np.ndarray):
+        self.terms = terms
+        self.sieve = np.zeros(1 << 22, dtype=bool)
+        self.sieve[terms >> np.uint64(42)] = True
 
-class _Vectors:
-    """Unit TF-IDF vectors over the vocabulary."""
-
-    def __init__(self, terms: np.ndarray, idf: np.ndarray):
-        order = np.argsort(terms)
-        self.terms, self.idf = terms[order], idf[order].astype(np.float32)
-
-    def of(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        h, words = _terms(data, offsets)
-        n, v = len(words.first) - 1, len(self.terms)
-        if not v:
-            return np.zeros((n, 0), dtype=np.float32)
-        sieve = np.zeros(1 << 16, dtype=bool)
-        sieve[self.terms >> np.uint64(48)] = True
-        maybe = np.flatnonzero(sieve[h >> np.uint64(48)])
-        at = np.minimum(np.searchsorted(self.terms, h[maybe]), v - 1)
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in ``h``, terms' numbers) of the words that are terms."""
+        maybe = np.flatnonzero(self.sieve[h >> np.uint64(42)])
+        if not len(self.terms):
+            return maybe, maybe
+        at = np.minimum(np.searchsorted(self.terms, h[maybe]), len(self.terms) - 1)
         hit = self.terms[at] == h[maybe]
-        doc = words.doc_of_words()[maybe[hit]]
-        tf = np.bincount(doc * v + at[hit], minlength=n * v).reshape(n, v).astype(np.float32)
-        w = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0) * self.idf
-        norm = np.sqrt((w * w).sum(axis=1, keepdims=True))
-        return np.divide(w, norm, out=np.zeros_like(w), where=norm > 0).astype(np.float32)
+        return maybe[hit], at[hit]
 
 
-class _Index:
-    """Block-max inverted index of the examples. A block's part of the inverted lists is held densely by term."""
+def _frequencies(terms):
+    """label, number of the term, texts that hold it; term -1 counts the texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _Vocabulary(terms.value)
+        v = len(terms.value) + 1
+        total = np.zeros((2, v), dtype=np.int64)
+        for batch in batches:
+            for rows, data, offsets in tx.text_pieces(batch, "_text"):
+                label = batch.column("label").slice(rows.start, rows.stop - rows.start).to_numpy()
+                h, words = _terms(data, offsets)
+                where, at = vocabulary.find(h)
+                own = np.unique(words.doc_of_words()[where] * v + at)
+                total += np.bincount(label[own // v] * v + own % v, minlength=2 * v).reshape(2, v)
+                total[:, -1] += np.bincount(label, minlength=2)
+        for y in (0, 1):
+            some = np.flatnonzero(total[y])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), y), pa.int32()), pa.array(np.where(some == v - 1, -1, some), pa.int32()),
+                                              pa.array(total[y][some])], names=["label", "term", "n"])
+
+    return count
+
+
+class _Vectors:
+    """Unit vectors over the vocabulary."""
+
+    def __init__(self, terms: np.ndarray, weight: np.ndarray):
+        self.terms, self.weight, self._vocabulary = terms, weight.astype(np.float32), None
+
+    def __getstate__(self):
+        return {**self.__dict__, "_vocabulary": None}
 
-    def __init__(self, vectors: _Vectors, matrix: np.ndarray, labels: np.ndarray, ids: np.ndarray):
-        some = matrix.any(axis=1)
-        matrix, labels, ids = matrix[some], labels[some], ids[some]
-        order = np.lexsort((ids, labels, matrix.argmax(axis=1))) if len(ids) and matrix.shape[1] else np.arange(len(ids))
+    def unit(self, n: int, doc: np.ndarray, h: np.ndarray, tf: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """(texts, text, term's number, weight), from the terms' hashes and occurrences."""
+        if self._vocabulary is None:
+            self._vocabulary = _Vocabulary(self.terms)
+        where, at = self._vocabulary.find(h)
+        doc, w = doc[where], (1 + np.log(tf[where])) * self.weight[at]
+        norm = np.sqrt(np.bincount(doc, weights=w * w, minlength=n))
+        some = w > 0
+        doc, at, w = doc[some], at[some], w[some]
+        return n, doc, at, (w / norm[doc]).astype(np.float32)
+
+    def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        return self.unit(len(offsets) - 1, *_term_counts(data, offsets))
+
+
+class _Index:
+    """Inverted lists of the examples."""
+
+    def __init__(self, vectors: _Vectors, sparse: tuple[int, np.ndarray, np.ndarray, np.ndarray], labels: np.ndarray, ids: np.ndarray):
+        n, doc, term, w = sparse
+        order = np.lexsort((ids, labels))
+        order = order[np.isin(order, doc)]
+        place = np.full(n, -1)
+        place[order] = np.arange(len(order))
         self.vectors, self.labels, self.ids = vectors, labels[order], ids[order]
-        self.weights = np.ascontiguousarray(matrix[order].T)
-        self.cuts = list(range(0, len(ids), BLOCK))
-        self.block_max = (np.stack([self.weights[:, c:c + BLOCK].max(axis=1) for c in self.cuts], axis=1)
-                          if self.cuts else np.zeros((matrix.shape[1], 0), np.float32))
-
-    def nearest(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(cosine, example) of the k nearest examples of each query, exact; cosine 0 where there are fewer."""
-        n = len(q)
+        m, v = len(order), len(vectors.terms)
+        df = np.bincount(term, minlength=v)
+        self.row = np.full(v, -1, dtype=np.int32)
+        often = np.flatnonzero(df * OFTEN > m)
+        self.row[often] = np.arange(len(often))
+        self.matrix = np.zeros((len(often), m), dtype=np.float32)
+        dense = self.row[term] >= 0
+        self.matrix[self.row[term[dense]], place[doc[dense]]] = w[dense]
+        doc, term, w = place[doc[~dense]], term[~dense], w[~dense]
+        by_term = np.lexsort((doc, term))
+        self.example, self.part = doc[by_term].astype(np.int32), w[by_term]
+        self.start = np.searchsorted(term[by_term], np.arange(v + 1))
+
+    @property
+    def weights(self) -> np.ndarray:
+        """All weights as one matrix, terms by examples."""
+        full = np.zeros((len(self.row), len(self.ids)), dtype=np.float32)
+        full[self.row >= 0] = self.matrix
+        full[np.repeat(np.arange(len(self.row)), np.diff(self.start)), self.example] = self.part
+        return full
+
+    def _cosines(self, n: int, doc: np.ndarray, term: np.ndarray, w: np.ndarray) -> np.ndarray:
+        m = len(self.ids)
+        dense = self.row[term] >= 0
+        q = np.zeros((n, len(self.matrix)), dtype=np.float32)
+        q[doc[dense], self.row[term[dense]]] = w[dense]
+        out = q @ self.matrix
+        doc, term, w = doc[~dense], term[~dense], w[~dense]
+        long = self.start[term + 1] - self.start[term]
+        # Lists are joined in stretches of about CELLS pairs.
+        cuts = np.searchsorted(np.cumsum(long), np.arange(CELLS, int(long.sum()) + CELLS, CELLS), side="left") + 1
+        lo = 0
+        for hi in np.minimum(cuts, len(term)):
+            size = long[lo:hi]
+            at = np.arange(int(size.sum())) + np.repeat(self.start[term[lo:hi]] - np.cumsum(size) + size, size)
+            cell = np.repeat(doc[lo:hi], size) * m + self.example[at]
+            out += np.bincount(cell, weights=np.repeat(w[lo:hi], size) * self.part[at], minlength=n * m).reshape(n, m).astype(np.float32)
+            lo = hi
+        return out
+
+    def nearest(self, q, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(cosine, example) of the k nearest examples of each query, exact; cosine 0 where there are fewer. Queries are
+        (number, query, term's number, weight) in the order of the queries, or a matrix."""
+        if isinstance(q, np.ndarray):
+            q = (len(q), *np.nonzero(q), q[np.nonzero(q)])
+        n, doc, term, w = q
+        m = len(self.ids)
         score, which = np.zeros((n, k), dtype=np.float32), np.full((n, k), -1)
-        if not self.cuts:
-            return score, which
-        bound = q @ self.block_max
-
-        def compare(own: np.ndarray, b: int) -> None:
-            lo = self.cuts[b]
-            found = q[own] @ self.weights[:, lo:lo + BLOCK]
-            both = np.concatenate([score[own], found], axis=1)
-            names = np.concatenate([which[own], np.broadcast_to(np.arange(lo, lo + found.shape[1]), found.shape)], axis=1)
-            best = np.argsort(-both, axis=1, kind="stable")[:, :k]
-            score[own], which[own] = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
-
-        # The block with the highest bound first, for a k-th cosine that rules out most others.
-        top = np.where(bound.max(axis=1) > 0, bound.argmax(axis=1), -1)
-        for b in np.unique(top[top >= 0]):
-            compare(np.flatnonzero(top == b), b)
-        for b in np.argsort(-bound.max(axis=0), kind="stable"):
-            own = np.flatnonzero((bound[:, b] > score[:, -1]) & (top != b))
-            if len(own):
-                compare(own, b)
+        step = max(CELLS // max(m, 1), 1)
+        for lo in range(0, n if m else 0, step):
+            hi = min(lo + step, n)
+            own = slice(*np.searchsorted(doc, [lo, hi]))
+            found = self._cosines(hi - lo, doc[own] - lo, term[own], w[own])
+            few = min(k, m)
+            best = np.sort(np.argpartition(-found, few - 1, axis=1)[:, :few], axis=1)
+            # Of equal cosines the first examples count.
+            least = np.take_along_axis(found, best, 1).min(axis=1)
+            tied = np.flatnonzero((least > 0) & ((found >= least[:, None]).sum(axis=1) > few))
+            if len(tied):
+                best[tied] = np.sort(np.argsort(-found[tied], axis=1, kind="stable")[:, :few], axis=1)
+            value = np.take_along_axis(found, best, 1)
+            order = np.argsort(-value, axis=1, kind="stable")
+            value = np.take_along_axis(value, order, 1)
+            score[lo:hi, :few] = value
+            which[lo:hi, :few] = np.where(value > 0, np.take_along_axis(best, order, 1), -1)
         return score, which
 
-    def votes(self, q: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def votes(self, q, base: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(share of toxic votes, weight of all votes, cosines, examples)."""
         score, which = self.nearest(q, NEIGHBOURS)
         toxic = np.where(which >= 0, np.append(self.labels, 0)[which], 0) * score
@@ -168,58 +231,65 @@ def learning_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     return docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("_text")).join(once, "doc")
 
 
-def _likelihood_ratio(a: Column, b: Column, n1: float, n0: float) -> Column:
+def _likelihood_ratio(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
     """G of the table of texts with the word in either class (a of n1, b of n0) against texts without it."""
     def part(x, expected):
-        return F.when(x > 0, x * F.log(x / expected)).otherwise(0.0)
+        return x * np.log(np.where(x > 0, x, 1) / np.where(x > 0, expected, 1))
 
-    n = max(n1 + n0, 1.0)
-    has = (a + b).cast("double")
-    hasnot = F.lit(n) - has
-    return 2 * (part(a, has * (n1 / n)) + part(b, has * (n0 / n)) + part(F.lit(n1) - a, hasnot * (n1 / n))
-                + part(F.lit(n0) - b, hasnot * (n0 / n)))
+    n, has = max(n1 + n0, 1), (a + b).astype(np.float64)
+    g = 2 * (part(a, has * (n1 / n)) + part(b, has * (n0 / n)) + part(n1 - a, (n - has) * (n1 / n)) + part(n0 - b, (n - has) * (n0 / n)))
+    return np.maximum(g, 0)
 
 
 class ToxicityModel:
     """Learned index and calibration, on the driver."""
 
-    def __init__(self, learn: DataFrame, terms: int = TERMS, examples: int = EXAMPLES):
-        """``learn``: doc, _text, label, see ``learning_rows``."""
+    def __init__(self, learn: DataFrame, examples: int = EXAMPLES, docs: DataFrame | None = None, text: str = "text"):
+        """``learn``: doc, _text, label, see ``learning_rows``. ``docs``: all documents, whose texts give the document
+        frequencies; without them the learning texts do."""
         spark = learn.sparkSession
-        counts = materialize(learn.mapInArrow(_frequencies, "term bigint, clean bigint, toxic bigint").groupBy("term").agg(
-            F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
-        total = counts.filter("term = 0").head()
-        n0, n1 = (total["clean"], total["toxic"]) if total else (0, 0)
-        self.base = (n1 + 1) / (n0 + n1 + 2)
-        words = counts.filter("term <> 0")
-        # A likelihood ratio G is passed by chance with probability of about exp(-G / 2).
-        least = max(2 * np.log(max(words.count(), 1) / CHANCE), LEAST_RATIO)
-        ratio = _likelihood_ratio(F.col("toxic"), F.col("clean"), float(n1), float(n0))
-        top = words.withColumn("g", ratio).filter(F.col("g") >= float(least)).orderBy(F.desc("g"), "term").limit(terms).toArrow()
-        df = (top.column("clean").to_numpy() + top.column("toxic").to_numpy()).astype(np.float64)
-        vectors = _Vectors(top.column("term").to_numpy().view(np.uint64), np.log((n0 + n1 + 1) / (df + 1)) + 1)
-        # Ids are chosen by hash, a bounded sort without texts; the vectors are small, whatever the texts' lengths.
+        # Ids are chosen by hash, a bounded sort without texts.
         order = F.xxhash64("doc", F.lit(3))
-        ids = learn.select("doc", "label")
-        chosen = [ids.filter(F.col("label") == y).orderBy(order, "doc").limit(examples).select("doc") for y in (0, 1)]
+        known = learn.select("doc", "label")
+        chosen = [known.filter(F.col("label") == y).orderBy(order, "doc").limit(examples).select("doc") for y in (0, 1)]
         sample = learn.join(materialize(chosen[0].unionByName(chosen[1])), "doc", "left_semi")
 
-        def vectorize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for rows, data, offsets in tx.text_pieces(batch, "_text"):
-                    m = vectors.of(data, offsets)
-                    part = batch.slice(rows.start, len(m))
-                    yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("label"), pa.array(list(m), pa.list_(pa.float32()))],
-                                                     names=["doc", "label", "vector"])
+                    n = rows.stop - rows.start
+                    doc, h, tf = _term_counts(data, offsets)
+                    ends = pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32())
+                    part = batch.slice(rows.start, n)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("doc"), part.column("label"), pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64))),
+                         pa.ListArray.from_arrays(ends, pa.array(tf, pa.int64()))], names=["doc", "label", "terms", "tf"])
 
         kind = dict(learn.dtypes)["doc"]
-        sample = sample.select("doc", "label", "_text").mapInArrow(vectorize, f"doc {kind}, label int, vector array<float>").toArrow()
+        sample = sample.select("doc", "label", "_text").mapInArrow(
+            terms_of, f"doc {kind}, label int, terms array<bigint>, tf array<bigint>").toArrow().combine_chunks()
         ids, y = sample.column("doc").to_numpy(), sample.column("label").to_numpy()
-        m = np.array(sample.column("vector").to_pylist(), dtype=np.float32).reshape(len(ids), len(vectors.terms))
+        lists = sample.column("terms")
+        size = lists.combine_chunks().value_lengths().to_numpy() if len(ids) else np.empty(0, np.int64)
+        h = lists.combine_chunks().flatten().to_numpy().view(np.uint64) if len(ids) else np.empty(0, np.uint64)
+        tf = sample.column("tf").combine_chunks().flatten().to_numpy() if len(ids) else np.empty(0, np.int64)
+        terms = np.unique(h)
+        shared = spark.sparkContext.broadcast(terms)
+        n0, n1, b, a = self._counts(learn.select("label", "_text"), shared)
+        total, df = n0 + n1, a + b
+        if docs is not None:
+            total, _, df, _ = self._counts(docs.select(F.lit(0).alias("label"), F.col(text).cast("string").alias("_text")), shared)
+        self.base = n1 / (n0 + n1 + 1) if n0 and n1 else 0.0
+        vectors = _Vectors(terms, (np.log((total + 1) / (df + 1)) + 1) * np.sqrt(_likelihood_ratio(a, b, n1, n0)))
         # Both classes are sampled; weights bring the calibration back to their shares among all labelled rows.
         held = tx.mix(ids.astype(np.uint64)) % np.uint64(CALIBRATION_SHARE) == 0
-        self.index = _Index(vectors, m[~held], y[~held], ids[~held])
-        share, weight, _, _ = self.index.votes(m[held], self.base)
+
+        def part(own):
+            inside = np.repeat(own, size)
+            return vectors.unit(int(own.sum()), np.repeat(np.arange(own.sum()), size[own]), h[inside], tf[inside])
+
+        self.index = _Index(vectors, part(~held), y[~held], ids[~held])
+        share, weight, _, _ = self.index.votes(part(held), self.base)
         x = _features(share, weight)
         self.fit = np.array([0.0, 1.0, 0.0])
         if len(set(y[held].tolist())) == 2:
@@ -228,6 +298,16 @@ class ToxicityModel:
             self.fit[0] += np.log(self.base / (1 - self.base)) - np.log(drawn / (1 - drawn))
         self.shared = spark.sparkContext.broadcast((self.index, self.base, self.fit))
 
+    @staticmethod
+    def _counts(texts: DataFrame, terms) -> tuple[int, int, np.ndarray, np.ndarray]:
+        """(texts of label 0, of label 1, those with each term of label 0, of label 1)."""
+        found = (texts.mapInArrow(_frequencies(terms), "label int, term int, n bigint").groupBy("label", "term")
+                 .agg(F.sum("n").alias("n")).toArrow())
+        label, term, n = (found.column(c).to_numpy() for c in ("label", "term", "n"))
+        total = np.zeros((2, len(terms.value) + 1), dtype=np.int64)
+        total[label, term] = n
+        return int(total[0, -1]), int(total[1, -1]), total[0, :-1], total[1, :-1]
+
     def score(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3,
               carry: tuple[str, ...] = ()) -> DataFrame:
         """One row per row of ``docs``: id, columns of ``carry``, ``score`` (0 to 1), ``predicted`` (1 from ``threshold``)
