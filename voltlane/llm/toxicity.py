@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..operators.storage import materialize
 from . import text as tx
 
-EXAMPLES = 1000
+EXAMPLES = 3000
 NEIGHBOURS = 15
 #: Weight of the base rate among the votes: few or far neighbours say little.
 PRIOR = 0.5
