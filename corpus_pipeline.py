@@ -25,7 +25,8 @@ ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic. The model learns from the labelled rows of its own input."""
+    """Documents that are not predicted toxic. The model learns from the labelled rows of its own input; without toxic or
+    without clean ones among them all documents stay."""
     docs = docs.select(*COLUMNS)
     model = ToxicityModel(learning_rows(docs, tx.read(spark, sf_dir, "labels")), docs=docs)
     return model.score(docs, carry=COLUMNS[1:]).filter("predicted = 0").select(*COLUMNS)

@@ -408,3 +408,71 @@ def test_pipeline_against_brute_force(spark, docs, tmp_path):
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "minhash_near_dedup", "substring_dedup", "benchmark_decontamination", "packing"]
     assert hashlib and html
     assert {r.doc_id for r in pipeline.run(spark, str(tmp_path)).collect()} in (kept - {25}, set())
+
+
+def test_pipeline_keeps_documents_without_labels_of_both_classes(spark, docs, tmp_path):
+    import corpus_pipeline as pipeline
+
+    table = docs.drop("places", "doc")
+    for i, labels in enumerate(([], [(6, 1, 0)], [(j, 1, 0) for j in range(40)], [(10**6, 1, 1)], [(j, 1, 1) for j in range(40)])):
+        spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/{i}/labels.parquet")
+        assert pipeline.toxicity(spark, table, f"{tmp_path}/{i}").count() == len(TEXTS) + 2
+
+
+def test_pipeline_run_against_plain_python(spark, tmp_path):
+    import corpus_pipeline as pipeline
+    from tokenizers import Tokenizer
+
+    bad, r = ["trashy", "vile", "scummy"], random.Random(21)
+    passage, leak = prose(25, 900), prose(30, 901)
+    texts = {i: prose(40, 1000 + i) + (f" {r.choice(bad)} {r.choice(bad)}" * 2 if i % 4 == 0 else "") for i in range(400)}
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(320)]
+    texts |= {500: None, 501: "", 502: BASE, 503: BASE, 504: BASE.replace("the", "thy", 1), 505: prose(40, 902) + " " + passage,
+              506: prose(40, 903) + " " + passage, 507: prose(20, 904) + " " + leak + " " + prose(20, 905), 508: prose(5000, 906)}
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()],
+                          "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, leak)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    # Toxicity: the planted words are the rule.
+    left = {i: t for i, t in texts.items() if not set(words(t)) & set(bad)}
+    # Near-duplicates: shingles of 5 words, similarity 0.75, least id of a component.
+    sets = {i: {tuple(w[j:j + 5]) for j in range(len(w) - 4)} for i, t in left.items() for w in [words((t or "").lower())]}
+    label = {i: i for i in left}
+    for _ in range(3):
+        for i, j in itertools.combinations(left, 2):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                label[i] = label[j] = min(label[i], label[j])
+    left = {i: t for i, t in left.items() if label[i] == i}
+    # Passages of 20 words that an earlier text has; here they end their text.
+    seen = set()
+    for i in sorted(left):
+        w = words(left[i])
+        own = [tuple(w[j:j + 20]) for j in range(len(w) - 19)]
+        gone = {x for j, k in enumerate(own) if k in seen for x in range(j, j + 20)}
+        seen |= set(own)
+        if gone:
+            assert gone == set(range(min(gone), len(w)))
+            left[i] = " ".join(w[:min(gone)])
+    # Windows of 10 words of the benchmark.
+    b = marks(leak)
+    windows = {tuple(b[j:j + 10]) for j in range(len(b) - 9)}
+    left = {i: t for i, t in left.items() if not windows & {tuple(w[j:j + 10]) for w in [marks(t)] for j in range(len(w) - 9)}}
+    assert 503 not in left and 504 not in left and 507 not in left and 506 in left and len(left) == 306
+    tokenizer = Tokenizer.from_file(default_vocabulary())
+    want = []
+    for i, t in left.items():
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
+        want += [(i, s, len(c), zlib.crc32(np.array(c, "<u4").tobytes()), len(ids)) for s in range(0, len(ids), 2048) for c in [ids[s:s + 2048]]]
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    odd = {x[0] for x in set(want) ^ {(p.doc_id, p.start, p.length, p.ids_crc32, p.doc_tokens) for p in got}}
+    assert not odd and len(got) == len(want), [(i, texts[i] and texts[i][-60:]) for i in sorted(odd)[:5]]
+    room = []
+    for size in sorted((x[2] for x in want), reverse=True):
+        k = next((k for k, free in enumerate(room) if free >= size), len(room))
+        room[k:k + 1] = [(room[k] if k < len(room) else 2048) - size]
+    sequences = {}
+    for p in sorted(got, key=lambda p: (p.sequence_id, p.offset)):
+        assert p.offset == sequences.get(p.sequence_id, 0)
+        sequences[p.sequence_id] = p.offset + p.length
+    assert sorted(sequences.values()) == sorted(2048 - free for free in room)

@@ -8,7 +8,9 @@
 3. The examples become unit vectors, held as inverted lists: those of words that many examples have as rows of a matrix, the
    others as (example, weight) pairs. Each text is compared with all examples; the ``NEIGHBOURS`` nearest vote with their
    cosine as weight.
-4. Votes are calibrated by a logistic fit on examples that are not in the index.
+4. Votes are calibrated by a logistic fit on examples that are not in the index. If these are not of both classes, the share
+   of toxic votes is the score. A model that learned no toxic or no clean text has nothing to tell them apart by: all its
+   texts score 0 and are predicted clean.
 
 The index is bounded by the words of the examples whatever the tables' sizes, and is the only thing sent to the tasks;
 scoring neither shuffles texts nor looks at more than one batch."""
@@ -291,7 +293,7 @@ class ToxicityModel:
         self.index = _Index(vectors, part(~held), y[~held], ids[~held])
         share, weight, _, _ = self.index.votes(part(held), self.base)
         x = _features(share, weight)
-        self.fit = np.array([0.0, 1.0, 0.0])
+        self.fit = None
         if len(set(y[held].tolist())) == 2:
             self.fit = _logistic(x, y[held])
             drawn = y[held].mean()
@@ -313,7 +315,7 @@ class ToxicityModel:
         """One row per row of ``docs``: id, columns of ``carry``, ``score`` (0 to 1), ``predicted`` (1 from ``threshold``)
         and ``evidence``: ids, labels and cosines of up to three nearest examples.
 
-        Null, empty and wordless texts get the score of a text without evidence. Repeated rows each get their row."""
+        Null, empty and wordless texts get the score of a text without evidence; without labels of both classes that is 0. Repeated rows each get their row."""
         shared = self.shared
         # A text that is carried goes to the tasks once.
         carried = text in carry and dict(docs.dtypes)[text] == "string"
@@ -329,7 +331,7 @@ class ToxicityModel:
                     batch = batch.append_column("_text", batch.column("_row").field(names.index(text)))
                 for rows, data, offsets in tx.text_pieces(batch, "_text", tx.BLOCK):
                     share, weight, cosines, which = index.votes(index.vectors.of(data, offsets), base)
-                    p = 1 / (1 + np.exp(-np.clip(_features(share, weight) @ fit, -30, 30)))
+                    p = share if fit is None else 1 / (1 + np.exp(-np.clip(_features(share, weight) @ fit, -30, 30)))
                     row = batch.column("_row").slice(rows.start, len(p))
                     evidence = [[{"id": int(index.ids[j]), "label": int(index.labels[j]), "cosine": float(c)}
                                  for c, j in zip(cs[:3], js[:3], strict=True) if c > 0] for cs, js in zip(cosines, which, strict=True)]
