@@ -1,6 +1,7 @@
 """One query per operator, with production parameters, over its whole table; digests are derived here.
 
-No SQL is given for these: word windows, components and learned scores are compared with brute force in ``tests/llm``."""
+Where SQL can say the same, ``sql`` has it; word windows, components and learned scores are compared with brute force in
+``tests/llm``."""
 
 from __future__ import annotations
 
@@ -12,17 +13,19 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .chat import format_chats
 from .decontaminate import contamination
+from .fill_middle import fill_in_middle, restored
 from .html_extract import extract
 from .language import LanguageModels
+from .lines import drop_lines, line_dedup
 from .near_duplicates import near_duplicates
 from .packing import pack
 from .quality import quality_rules
 from .sharding import shard_rows
+from .sql import SQL as SQL  # noqa: PLC0414
 from .substrings import substring_dedup
 from .toxicity import ToxicityModel, learning_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 
 def query(fn):
@@ -95,3 +98,17 @@ def op9_chat_formatting(spark, d):
 def op10_quality_rules(spark, d):
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed"]
     return quality_rules(tx.read(spark, d, "documents")).select(*base)
+
+
+@query
+def op11_fill_in_middle(spark, d):
+    done = fill_in_middle(tx.read(spark, d, "documents"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@query
+def op13_line_dedup(spark, d):
+    docs = tx.read(spark, d, "documents")
+    return drop_lines(docs, line_dedup(docs)).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
