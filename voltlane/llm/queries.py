@@ -19,6 +19,7 @@ from .language import LanguageModels
 from .lines import drop_lines, line_dedup
 from .near_duplicates import near_duplicates
 from .packing import pack
+from .phrases import collocations
 from .quality import quality_rules
 from .sharding import shard_rows
 from .sql import SQL as SQL  # noqa: PLC0414
@@ -107,6 +108,11 @@ def op11_fill_in_middle(spark, d):
                        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+@query
+def op12_phrase_collocations(spark, d):
+    return collocations(tx.read(spark, d, "documents"))
+
+
 @query
 def op13_line_dedup(spark, d):
     docs = tx.read(spark, d, "documents")

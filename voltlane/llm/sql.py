@@ -38,3 +38,33 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+_grams = " UNION ALL ".join(
+    f"SELECT lang, w[i:i + {k - 1}] AS p FROM (SELECT lang, w, unnest(range(1, len(w) - {k - 2})) AS i FROM pieces WHERE len(w) >= {k})"
+    for k in range(1, 6))
+SQL["op12_phrase_collocations"] = f"""
+WITH cut AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+pieces AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM cut),
+size AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM pieces GROUP BY lang),
+counted AS (SELECT lang, p, count(*)::HUGEINT AS f FROM ({_grams}) GROUP BY lang, p HAVING count(*) >= 100),
+cuts AS (SELECT lang, p, f AS a, unnest(range(1, len(p))) AS k FROM counted WHERE len(p) > 1),
+scored AS (
+  SELECT c.lang, c.p, c.a, k, x.f AS l, y.f AS r, n, (1000 * a * n) // (x.f * y.f) AS score
+  FROM cuts c JOIN counted x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN counted y ON y.lang = c.lang AND y.p = c.p[k + 1:]
+  JOIN size s ON s.lang = c.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inside AS (
+  SELECT DISTINCT lang, q FROM (
+    SELECT lang, p[1:len(p) - 1] AS q, f FROM counted WHERE len(p) > 2
+    UNION ALL SELECT lang, p[2:] AS q, f FROM counted WHERE len(p) > 2) u
+  WHERE EXISTS (SELECT 1 FROM counted c WHERE c.lang = u.lang AND c.p = u.q AND 100 * u.f >= 100 * c.f)),
+named AS (
+  SELECT l.*, array_to_string(p, ' ') AS phrase FROM lowest l
+  WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = l.lang AND i.q = l.p)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM named)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= 2000
+"""
