@@ -239,7 +239,7 @@ def count_phrases(docs: DataFrame, words: DataFrame, least: int = 100, budget: i
     hot_rows = []
     first = words.filter(F.col("f") > budget).select("h").toArrow().column("h").to_numpy().astype(np.int64)
     extended = [np.sort(_prefix(None, first.view(U64)))]
-    while len(extended[-1]) and len(extended) < LONGEST:
+    while len(extended[-1]) and len(extended) < LONGEST - 1:
         level = len(extended) + 1
         hot = _extensions(docs, bits, extended).filter(F.col("f") > budget).toArrow()
         columns = [hot.column(c).to_numpy().astype(np.int64) for c in names[:level]]
@@ -247,9 +247,8 @@ def count_phrases(docs: DataFrame, words: DataFrame, least: int = 100, budget: i
         for c in columns:
             key = _prefix(key, c.view(U64))
         extended.append(np.sort(key))
-        if level < LONGEST:
-            # These nodes stand above their groups, so their counts are taken from here.
-            hot_rows += [([int(c[i]) for c in columns], f) for i, f in enumerate(hot.column("f").to_pylist()) if columns[-1][i] != 0]
+        # These nodes stand above their groups, so their counts are taken from here.
+        hot_rows += [([int(c[i]) for c in columns], f) for i, f in enumerate(hot.column("f").to_pylist()) if columns[-1][i] != 0]
     shared = spark.sparkContext.broadcast(extended)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
