@@ -518,6 +518,19 @@ SELECT query_id, vec_id, score, CAST(rn AS INTEGER) AS rank FROM (
     UNION ALL SELECT -1 - vec_id, list_concat([embedding[1]::DOUBLE + 5e-4], embedding[2:]::DOUBLE[]) FROM embeddings) t
   WHERE q.vec_id % 50 = 0)) WHERE rn <= 5""")
 sql("vector_top_k_filtered", _hits(" WHERE label = 3"))
+_words = "SELECT {key} AS k, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')) AS term FROM {table}"
+sql("text_retrieval", f"""
+WITH doc_words AS (SELECT k, term, count(*) AS n FROM ({_words.format(key="doc_id", text="text", table="documents")}) GROUP BY ALL),
+idf AS (SELECT term, ln(((SELECT count(*) FROM documents WHERE text IS NOT NULL) + 1.0e0) / (count(*) + 1.0e0)) AS idf FROM doc_words GROUP BY term),
+doc_weights AS (SELECT k, term, n * idf AS w FROM doc_words JOIN idf USING (term) WHERE idf > 0),
+doc_units AS (SELECT k, term, w / sqrt(sum(w * w) OVER (PARTITION BY k)) AS w FROM doc_weights),
+turn_words AS (
+  SELECT k, term, count(*) AS n FROM ({_words.format(key="concat_ws('-', conv_id, turn)", text="text", table="conversations")}) GROUP BY ALL),
+turn_weights AS (SELECT k, term, n * idf AS w FROM turn_words JOIN idf USING (term) WHERE idf > 0),
+turn_units AS (SELECT k, term, w / sqrt(sum(w * w) OVER (PARTITION BY k)) AS w FROM turn_weights),
+scores AS (SELECT q.k AS question_id, d.k AS doc_id, round(sum(q.w * d.w), 6) AS score FROM turn_units q JOIN doc_units d USING (term) GROUP BY ALL)
+SELECT question_id, doc_id, score, CAST(rn AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rn FROM scores WHERE score > 0) WHERE rn <= 5""")
 STEPS["doc_hits"] = "SELECT h.*, d.text AS content FROM label_hits h JOIN documents d ON d.doc_id = h.vec_id"
 _open, _rest = retrieval.PROMPT.split("{context}")
 _middle, _close = _rest.split("{question}")

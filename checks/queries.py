@@ -496,8 +496,11 @@ def vector_top_k_labels(spark, d):
 
 @query
 def vector_top_k_partitioned(spark, d):
-    """The same question by the path for query batches too large to ship."""
-    hits = vector_top_k(label_centres(spark, d), table(spark, d, "embeddings"), 5, doc_id="vec_id", max_shipped=0)
+    """The same question in several chunks, as batches too large to ship at once are answered."""
+    centres = label_centres(spark, d)
+    width = F.size(F.first("embedding"))
+    chunk = 4 * (centres.agg(width).head()[0] or 1)
+    hits = vector_top_k(centres, table(spark, d, "embeddings"), 5, doc_id="vec_id", max_shipped=chunk)
     return out(hits, *HITS)
 
 
@@ -508,7 +511,7 @@ def vector_top_k_near_copies(spark, d):
     moved = F.concat(F.array(F.col("embedding")[0] + 5e-4), F.slice("embedding", 2, F.size("embedding") - 1))
     docs = vectors.unionByName(vectors.select((-1 - F.col("vec_id")).alias("vec_id"), moved.alias("embedding")))
     questions = vectors.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
-    return out(vector_top_k(questions, docs, 5, doc_id="vec_id", max_shipped=0), "query_id:l", "vec_id", "score:6", "rank:i")
+    return out(vector_top_k(questions, docs, 5, doc_id="vec_id"), "query_id:l", "vec_id", "score:6", "rank:i")
 
 
 @query
@@ -542,12 +545,11 @@ def citations(spark, d):
 
 @query
 def text_retrieval(spark, d):
-    """Questions of users against all documents, by TF-IDF. Hashed terms have no counterpart in SQL; the unit tests
-    compare this with brute force."""
-    questions = table(spark, d, "conversations").filter("role = 'user'").select(
+    """All turns of all conversations against all documents, by TF-IDF over whole words."""
+    questions = table(spark, d, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.col("text").alias("question"))
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
-    return retrieval.retrieve(questions, docs, 5)
+    return out(retrieval.retrieve(questions, docs, 5), "question_id", "doc_id:l", "score:6", "rank:i")
 
 
 # --- reports ----------------------------------------------------------------------------------------------
