@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from voltlane.functions import fixed
 from voltlane.functions.sphere import haversine_km, search_box
 from voltlane.operators import distance as D
+from voltlane.operators.reach import P_CUBE, T_CUBE, _at_level, cube_pairs, totals_within_km
 from voltlane.plans import feeds, infrastructure
 
 
@@ -198,13 +199,13 @@ def hazard_rows(spark, rows):
     return spark.createDataFrame(rows, "hazard_id string, latitude double, longitude double, main_category string, severity string, is_active boolean")
 
 
-@pytest.mark.parametrize("hot", [None, 2])
-def test_smart_counts_lists_and_scores(spark, hot):
+@pytest.mark.parametrize("few", [4096, 1])
+def test_smart_counts_lists_and_scores(spark, few):
     stations = station_rows(spark, [(1, "a", -33.0, 151.0, "Ultra-Rapid"), (2, None, -33.0, 151.0, "Rapid"), (3, "c", -30.0, 151.0, "Slow"),
                                     (4, "d", None, 151.0, "Unknown"), (5, "e", -33.001, 151.0, "Fast")])
     near = [(f"h{i}", -33.0 - (i % 3) / 1000, 151.0, "Hazard" if i % 2 else "Flooding", "Minor", True) for i in range(11)]
     hazards = hazard_rows(spark, near + [("m", -33.0, 151.0, None, "Major", True), ("x", -33.0, 151.0, "Hazard", "Minor", False)])
-    got = {r["objectid"]: r for r in infrastructure.smart_recommendations(stations, hazards, hot_rows=hot).collect()}
+    got = {r["objectid"]: r for r in infrastructure.smart_recommendations(stations, hazards, few=few).collect()}
     a = got[1]
     assert a["nearby_hazards_count"] == 12 and a["max_hazard_severity"] == 3
     assert a["hazard_types"] == ["Flooding"] * 6 + ["Hazard"] * 5
@@ -212,9 +213,9 @@ def test_smart_counts_lists_and_scores(spark, hot):
     assert (got[2]["nearby_hazards_count"], got[2]["accessibility_score"], got[2]["recommendation_score"]) == (0, 100, 95)
     assert got[3]["recommendation_score"] == 75 and got[3]["hazard_types"] is None and got[4]["recommendation_score"] == 70
     assert got[5]["nearby_hazards_count"] == 12
-    safe = {r["objectid"]: r for r in infrastructure.smart_recommendations(stations, hazards, null_safe=True, hot_rows=hot).collect()}
+    safe = {r["objectid"]: r for r in infrastructure.smart_recommendations(stations, hazards, null_safe=True, few=few).collect()}
     assert safe[2]["nearby_hazards_count"] == 12
-    summary = infrastructure.hazard_summary(stations, hazards, hot_rows=hot)
+    summary = infrastructure.hazard_summary(stations, hazards, few=few)
     assert sorted(r["objectid"] for r in summary.collect()) == [1, 2, 5]
 
 
@@ -227,3 +228,53 @@ def test_feed_smart_steps(spark, n, access):
     r = feeds.feed_smart(stations, hazards).first()
     assert (r["nearby_hazards"], r["accessibility_score"]) == (n, access)
     assert r["recommendation_score"] == pytest.approx(80 * 0.4 + access * 0.6)
+
+
+@pytest.mark.parametrize("radius", [0.5, 5, 800, 30000])
+@pytest.mark.parametrize("few", [4096, 1])
+def test_totals_within_km(spark, sides, radius, few):
+    a, b, left, right = sides
+    tagged = right.withColumn("kind", F.when(F.col("rid") % 5 > 0, F.col("rid") % 5)).withColumns({"n": F.col("rid") + 1, "worst": F.col("rid") % 17})
+    want = {}
+    for p in {p for p in a if None not in p}:
+        for i, q in enumerate(b):
+            if None not in q and km(p, q) <= radius:
+                n, worst = want.get((*p, i % 5 or None), (0, -1))
+                want[(*p, i % 5 or None)] = (n + i + 1, max(worst, i % 17))
+    got = totals_within_km(left, tagged, radius, ["kind"], ["n"], ["worst"], few=few).collect()
+    assert len(got) == len(want)
+    assert {(r["latitude"], r["longitude"], r["kind"]): (r["n"], r["worst"]) for r in got} == want
+
+
+def test_totals_of_empty_tables(spark, sides):
+    _, _, left, right = sides
+    assert totals_within_km(left.limit(0), right, 5, [], most=["rid"]).count() == 0
+    assert totals_within_km(left, right.limit(0), 5, [], most=["rid"]).count() == 0
+
+
+def test_work_in_a_crowd_grows_like_its_border(spark):
+    """Within a crowd four times as large, pairs of cubes to compare grow far less than the pairs of points."""
+    def compared(side):
+        grid = spark.range(side * side).select((-33.0 + (F.col("id") % side) * 0.1 / side).alias("latitude"),
+                                               (151.0 + F.floor(F.col("id") / side) * 0.1 / side).alias("longitude"))
+        placed = D._placed(grid, ("latitude", "longitude"))
+        within, border = cube_pairs(placed, placed, 4, few=64)
+        points = {}
+        for level, pairs in border:
+            n = _at_level(placed, level, P_CUBE).groupBy(*P_CUBE).count()
+            both = pairs.join(n, P_CUBE).join(n.toDF(*T_CUBE, "other"), T_CUBE)
+            points[level] = both.agg(F.sum(F.col("count") * F.col("other"))).first()[0] or 0
+        return sum(points.values())
+    small, large = compared(24), compared(48)
+    assert large < 11 * small                 # all pairs: 16 times
+    assert large < 0.5 * 48 ** 4
+
+
+def test_crowd_of_places_and_targets(spark):
+    """A third of all rows in one small area, totals against sums over all pairs."""
+    r = random.Random(9)
+    spots = [(-33.0 + r.random() * 0.05, 151.0 + r.random() * 0.05) for _ in range(300)] + [(r.uniform(-80, 80), r.uniform(-179, 179)) for _ in range(600)]
+    df = spark.createDataFrame(spots, "latitude double, longitude double")
+    other = df.select(F.col("latitude").alias("hazard_lat"), F.col("longitude").alias("hazard_lon"), F.lit(1).cast("bigint").alias("n"))
+    got = {(x["latitude"], x["longitude"]): x["n"] for x in totals_within_km(df, other, 2, [], ["n"], few=16).collect()}
+    assert got == {p: sum(km(p, q) <= 2 for q in spots) for p in spots}

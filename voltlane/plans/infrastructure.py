@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.columns import (avg_where, band, centroid, clamp, count_where, display_name, lookup, sum_where)
-from ..operators.distance import HOT_ROWS, crowded, nearby, nearest_k, within_km
+from ..operators.distance import nearby, nearest_k
+from ..operators.reach import FEW_PAIRS, totals_within_km
 from ..operators.rows import arg_best, attach_scalars, top_n
 from ..operators.shape import assign_region, stamp
 from ..operators.storage import materialize
@@ -121,24 +122,16 @@ def gap_analysis(stations: DataFrame, as_of=None) -> DataFrame:
     return stamp(df, "analyzed_at", as_of)
 
 
-def _hazards_by_point(stations: DataFrame, hazards: DataFrame, km: float, hot_rows: int | None) -> DataFrame:
+def _hazards_by_point(stations: DataFrame, hazards: DataFrame, km: float, few: int) -> DataFrame:
     """Hazards around each distinct station location.
 
-    Copies are collapsed on both sides before the distance join: stations to locations, hazards to counts per
-    location, category and severity. The category list is rebuilt from counts at the end, so no task ever
-    gathers one row per hazard."""
-    points = stations.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(
-        "latitude", "longitude").distinct()
-    rank = lookup("severity", fixed.SEVERITY_RANK, 1)
-    active = (hazards.filter("is_active")
-              .groupBy(F.col("latitude").alias("hazard_lat"), F.col("longitude").alias("hazard_lon"),
-                       "main_category", rank.alias("_severity"))
-              .agg(F.count(F.lit(1)).alias("_n")))
-    # Both are small beside their sources and used twice by the join, so they are stored first.
-    points, active = materialize(points), materialize(active)
-    pairs = within_km(points, active, km, hot_rows=crowded(hot_rows, points, active))
-    by_category = (pairs.groupBy("latitude", "longitude", "main_category")
-                   .agg(F.sum("_n").alias("_n"), F.max("_severity").alias("_severity")))
+    Hazards become counts per location, category and severity, and are totalled around the locations by cubes, so
+    there is a row per location and category, never one per location and hazard."""
+    points = stations.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select("latitude", "longitude")
+    active = hazards.filter("is_active").select(
+        F.col("latitude").alias("hazard_lat"), F.col("longitude").alias("hazard_lon"), "main_category",
+        lookup("severity", fixed.SEVERITY_RANK, 1).alias("_severity"), F.lit(1).cast("bigint").alias("_n"))
+    by_category = totals_within_km(points, active, km, ["main_category"], sums=["_n"], most=["_severity"], few=few)
     # _lone is 0 on every row, but computed, so that it stays a key of the join in _join_points.
     # One entry per category, not per hazard.
     entries = F.array_sort(F.collect_list(F.when(F.col("main_category").isNotNull(), F.struct("main_category", "_n"))))
@@ -157,20 +150,20 @@ def _join_points(stations: DataFrame, by_point: DataFrame, how: str) -> DataFram
             .select(*stations.columns, "nearby_hazards_count", "hazard_types", "max_hazard_severity"))
 
 
-def hazard_summary(stations: DataFrame, hazards: DataFrame, km: float = 5, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def hazard_summary(stations: DataFrame, hazards: DataFrame, km: float = 5, few: int = FEW_PAIRS) -> DataFrame:
     """Active hazards within ``km`` of each station: count, categories, worst severity. Stations without any are
     left out. Stations are unique by id, name and coordinates, as the silver table makes them."""
     keys = stations.select("objectid", "station_name", "latitude", "longitude")
-    return _join_points(keys, _hazards_by_point(stations, hazards, km, hot_rows), "inner")
+    return _join_points(keys, _hazards_by_point(stations, hazards, km, few), "inner")
 
 
 def smart_recommendations(stations: DataFrame, hazards: DataFrame, km: float = 5, null_safe: bool = False,
-                          as_of=None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+                          as_of=None, few: int = FEW_PAIRS) -> DataFrame:
     """Accessibility, score and tier of every station.
 
     A station without a name or id finds no hazards unless ``null_safe``: its keys are null, and null keys match
     nothing."""
-    df = _join_points(stations, _hazards_by_point(stations, hazards, km, hot_rows), "left")
+    df = _join_points(stations, _hazards_by_point(stations, hazards, km, few), "left")
     if not null_safe:
         keyed = F.col("station_name").isNotNull() & F.col("objectid").isNotNull()
         df = df.withColumns({c: F.when(keyed, F.col(c)) for c in
