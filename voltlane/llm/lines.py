@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.storage import materialize
+
 #: Parts into which one key's documents are dealt for sorting, and for the join with the key's verdict (64 bits of a mask).
 SALTS, SLOTS = 4096, 64
 #: What is stripped from the ends of a line, and the letters that are lower-cased.
@@ -41,14 +43,15 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     from 0; words after the last one that drops a line are left out and keep everything. Keys are compared by 128-bit
     hashes. Repeated rows of one id count as one document and lose or keep the same lines; rows of one id with different
     texts are told apart by ``body``. Rows without id are neither counted nor cut. Null and empty texts have no key.
-    An empty table gives no rows; other columns of ``docs`` do not matter."""
+    An empty table gives no rows; other columns of ``docs`` do not matter. Runs a job while the plan is built."""
     source = docs.select(F.col(doc_id).alias("doc"), _body(F.col(text)).alias("body"), F.col(text).alias("_text"))
     found = (source.filter(F.col("doc").isNotNull() & (F.octet_length("_text") >= min_chars))
              .select("doc", "body", F.posexplode(split_lines(F.col("_text"))).alias("pos", "line"))
              .filter(F.octet_length("line") >= min_chars)
              .select("doc", "body", "pos", line_key(F.col("line")).alias("key")).filter(F.char_length("key") >= min_chars))
-    rows = found.select("doc", "body", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"),
-                        F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"))
+    # Stored, as sorting by range reads its input twice: once for the bounds.
+    rows = materialize(found.select("doc", "body", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"),
+                                    F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt")))
     ranged = rows.repartitionByRange("h1", "h2", "salt")
     order = Window.partitionBy("h1", "h2", "salt").orderBy(F.desc("doc"), "body", "pos")
     marked = ranged.withColumn("first", F.coalesce(F.lag("doc").over(order) != F.col("doc"), F.lit(True)))
