@@ -3,12 +3,14 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from voltlane.functions import fixed
 from voltlane.functions.sphere import haversine_km, search_box
 from voltlane.operators import distance as D
+from voltlane.operators.boxes import box_edges, corner_union, keys_in_box
 from voltlane.operators.reach import P_CUBE, T_CUBE, _at_level, cube_pairs, totals_within_km
 from voltlane.plans import feeds, infrastructure
 
@@ -278,3 +280,52 @@ def test_crowd_of_places_and_targets(spark):
     other = df.select(F.col("latitude").alias("hazard_lat"), F.col("longitude").alias("hazard_lon"), F.lit(1).cast("bigint").alias("n"))
     got = {(x["latitude"], x["longitude"]): x["n"] for x in totals_within_km(df, other, 2, [], ["n"], few=16).collect()}
     assert got == {p: sum(km(p, q) <= 2 for q in spots) for p in spots}
+
+
+@pytest.mark.parametrize("few", [64, 1])
+def test_keys_in_box(spark, few):
+    """Keys with one mark and with many, copies, and marks whose distance is the limit up to rounding."""
+    r = random.Random(4)
+    def spot():
+        return (round(-33.5 + r.randrange(400) / 1000, 3), round(151 + r.randrange(400) / 1000, 3))
+    marks = [(f"k{r.randrange(40)}", *spot()) for _ in range(300)] + [(f"one{i}", *spot()) for i in range(60)] + [(None, *spot()), ("gone", None, 151.1)]
+    marks += marks[:20] + [("twin", *marks[0][1:])]
+    spots = [spot() for _ in range(250)] + [(None, 151.0), (80.0, 0.0)]
+    want = {}
+    for p in spots:
+        if None not in p:
+            n = len({k for k, *m in marks if k and None not in m and abs(p[0] - m[0]) < 0.05 and abs(p[1] - m[1]) < 0.05})
+            if n:
+                want[p] = n
+    got = keys_in_box(spark.createDataFrame(spots, "latitude double, longitude double"),
+                      spark.createDataFrame(marks, "name string, latitude double, longitude double"), 0.05, "name", few=few).collect()
+    assert {(x["latitude"], x["longitude"]): x["n_keys"] for x in got} == want and len(got) == len(want)
+
+
+def test_edges_of_boxes_are_where_the_comparison_changes():
+    r = np.random.default_rng(2)
+    c = np.concatenate([np.round(r.uniform(-180, 180, 3000), 3), [0.0, 0.05, -0.05, 180.0]])
+    low, high = box_edges(c, 0.05)
+    def near(p):
+        return np.abs(c - p) < 0.05
+    assert near(low).all() and not near(np.nextafter(low, -np.inf)).any()
+    assert not near(high).any() and near(np.nextafter(high, -np.inf)).all()
+
+
+def test_corner_union_is_disjoint_and_whole():
+    r = np.random.default_rng(3)
+    for _ in range(40):
+        centre = r.uniform(-1, 2, (r.integers(1, 9), 2))
+        boxes = np.column_stack([centre[:, 0] - 0.51, centre[:, 0] + 0.51, centre[:, 1] - 0.51, centre[:, 1] + 0.51])
+        found = corner_union(boxes, (0.0, 1.0, 0.0, 1.0))
+        p = r.uniform(0, 1, (400, 2))
+        def over(b):
+            return ((p[:, :1] >= b[:, 0]) & (p[:, :1] < b[:, 1]) & (p[:, 1:] >= b[:, 2]) & (p[:, 1:] < b[:, 3])).sum(axis=1)
+        assert (over(found) == (over(boxes) > 0)).all()
+
+
+def test_keys_in_box_of_empty_tables(spark):
+    some = spark.createDataFrame([("a", -33.0, 151.0), ("a", -33.01, 151.0)], "name string, latitude double, longitude double")
+    assert keys_in_box(some, some.limit(0), 0.05, "name").count() == 0
+    assert keys_in_box(some.limit(0), some, 0.05, "name").count() == 0
+    assert [x["n_keys"] for x in keys_in_box(some, some, 0.05, "name").collect()] == [1, 1]

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,10 +26,8 @@ from .rows import row_hash, top_k_per
 from .storage import materialize
 
 HOT_ROWS = 4096
-# At most this many cells per side, the fullest ones, are cut. It bounds the list that is broadcast; it does not
-# change the result, because an uncut cell is joined just the same.
-MAX_HOT = 10_000
-MAX_TASKS = 20_000
+# Tasks for pairs of blocks, as a multiple of spark.sql.shuffle.partitions: pairs are long in work and small in bytes.
+TASKS_PER_PARTITION = 64
 
 
 def crowded(hot_rows: int | None, *stored: DataFrame) -> int | None:
@@ -45,8 +44,7 @@ def _split_hot(left: DataFrame, right: DataFrame, keys: Sequence[str], hot_rows:
     every pair still meets exactly once. None when no cell is hot."""
     def blocks(df, mine, other):
         counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-        return (counts.orderBy(F.desc("_n"), *keys).limit(MAX_HOT)
-                .select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias(mine), F.lit(1).alias(other)))
+        return counts.select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias(mine), F.lit(1).alias(other))
 
     hot = materialize(blocks(left, "_nl", "_nr").unionByName(blocks(right, "_nr", "_nl"))
                       .groupBy(*keys).agg(F.max("_nl").alias("_nl"), F.max("_nr").alias("_nr")))
@@ -56,10 +54,12 @@ def _split_hot(left: DataFrame, right: DataFrame, keys: Sequence[str], hot_rows:
     # Pairs of blocks are small in bytes and long in work, so a partition count by size would pile them up in few
     # tasks. A count that is asked for is not merged again.
     spark = left.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(2 * heavy, MAX_TASKS))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(partitions, min(2 * heavy, TASKS_PER_PARTITION * partitions))
 
     def spread(df, own, own_n, other, other_n):
-        tagged = df.join(F.broadcast(hot), list(keys), "left")
+        # All hot cells are cut; their list is sent whole only where adaptive execution finds it small.
+        tagged = df.join(hot, list(keys), "left")
         mine = F.pmod(row_hash(df), F.coalesce(F.col(own_n), F.lit(1))).cast("int")
         copies = F.sequence(F.lit(0), F.coalesce(F.col(other_n), F.lit(1)) - 1)
         copied = tagged.select(*df.columns, mine.alias(own), F.explode(copies).alias(other))
@@ -153,6 +153,8 @@ FINEST = LEVELS[-1]
 LEVEL_SIZE = "pow(2D, 1 - _level)"
 FINE = ["_fx", "_fy", "_fz"]
 UNIT = ["_px", "_py", "_pz"]
+# Up to so many places of targets, every point is compared with all of them.
+FEW_TARGETS = 256
 # A point whose candidate cubes hold more targets than this gets smaller cubes.
 ENOUGH = 512
 
@@ -190,32 +192,51 @@ def _in_reach(cubes: DataFrame, spot: Sequence[str], k: int, max_chord: float |
     return out.drop("_near", "_far", "_held", "_bound")
 
 
+def _first_level(fine_counts: DataFrame, k: int) -> int:
+    """The finest level on which a cube that is not empty holds a quarter of ``k`` targets on average, by sketches."""
+    cubes = [F.approx_count_distinct(F.struct(*[F.shiftright(f, FINEST - v) for f in FINE])).alias(f"l{v}") for v in LEVELS]
+    row = fine_counts.agg(F.sum("_n").alias("n"), *cubes).head()
+    return max((v for v in LEVELS if (row["n"] or 0) >= row[f"l{v}"] * max(k / 4, 1)), default=0)
+
+
 def _nearest_cubes(spots: DataFrame, fine_counts: DataFrame, spot: Sequence[str], k: int, max_km: float | None,
                    enough: int) -> DataFrame:
     """For every spot, cubes that are certain to hold its ``k`` nearest targets and hold few others."""
     cell = ["_level", *CUBE]
     max_chord = None if max_km is None else chord(max_km)
 
-    def counts(levels: DataFrame | None = None) -> DataFrame:
-        cubes = _pyramid(fine_counts)
-        if levels is not None:
+    def counts(levels: DataFrame | int) -> DataFrame:
+        if isinstance(levels, int):
+            cubes = _lifted(fine_counts.withColumn("_level", F.lit(levels)))
+        else:
             # One row per level at most.
-            cubes = cubes.join(F.broadcast(levels), "_level", "left_semi")
+            cubes = _pyramid(fine_counts).join(F.broadcast(levels), "_level", "left_semi")
         return cubes.groupBy(*cell).agg(F.sum("_n").alias("_n"))
 
-    # The finest level on which the block of touching cubes around a spot holds k targets. Touching works both
-    # ways, so the side with fewer cubes is the one that is copied to its neighbours.
-    levels = _pyramid(spots.select(*FINE).distinct())
-    home = [c + "0" for c in CUBE]
-    if fine_counts.count() <= spots.count():
-        around = counts().withColumnsRenamed(dict(zip(CUBE, home)))
-        totals = _touching(around, LEVEL_SIZE, [F.col(h) for h in home]).groupBy(*cell).agg(F.sum("_n").alias("_n"))
-    else:
-        around = levels.select("_level", *[F.col(c).alias(h) for c, h in zip(CUBE, home)]).distinct()
-        totals = (_touching(around, LEVEL_SIZE, [F.col(h) for h in home]).join(counts(), cell)
-                  .groupBy("_level", *home).agg(F.sum("_n").alias("_n")).withColumnsRenamed(dict(zip(home, CUBE))))
-    blocks = totals.filter(F.col("_n") >= k).select(*cell)
-    found = levels.join(blocks, cell, "left_semi").groupBy(*FINE).agg(F.max("_level").alias("_found"))
+    # The finest level on which the block of touching cubes around a spot holds k targets: begin where a cube holds some
+    # on average, and go up with the spots whose block holds fewer.
+    level, top = _first_level(fine_counts, k), 0
+    if max_chord is not None:
+        top = max(v for v in LEVELS if 2.0 / 2 ** v >= min(max_chord, 2.0))
+        level = max(level, top)
+    open_, found = spots.select(*FINE).distinct(), []
+    while True:
+        homes = _lifted(open_.withColumn("_level", F.lit(level)))
+        home = [c + "0" for c in CUBE]
+        around = homes.select("_level", *[F.col(c).alias(h) for c, h in zip(CUBE, home)]).distinct()
+        blocks = (_touching(around, LEVEL_SIZE, [F.col(h) for h in home]).join(counts(level), cell)
+                  .groupBy("_level", *home).agg(F.sum("_n").alias("_n")).filter(F.col("_n") >= k)
+                  .select("_level", *[F.col(h).alias(c) for c, h in zip(CUBE, home)]))
+        if level <= top:
+            found.append(open_.withColumn("_found", F.lit(level)))
+            break
+        judged = materialize(homes.join(blocks.withColumn("_full", F.lit(True)), cell, "left").select(*FINE, "_full"))
+        found.append(judged.filter("_full").select(*FINE, F.lit(level).alias("_found")))
+        open_ = judged.filter("_full is null").select(*FINE)
+        if open_.isEmpty():
+            break
+        level -= LEVELS[1] - LEVELS[0]
+    found = reduce(DataFrame.unionByName, found)
     # The k-th distance is at most the diagonal of that block, 2*sqrt(3) cubes: less than one cube a level up.
     start = F.greatest(F.coalesce("_found", F.lit(0)) - (LEVELS[1] - LEVELS[0]), F.lit(0))
     if max_chord is not None:
@@ -236,6 +257,7 @@ def _nearest_cubes(spots: DataFrame, fine_counts: DataFrame, spot: Sequence[str]
         step = LEVELS[1] - LEVELS[0]
         parents = (cubes.join(busy, list(spot), "left_semi").drop("_n").withColumn("_level", F.col("_level") + step)
                    .withColumnsRenamed({c: c + "0" for c in CUBE}))
+        home = [c + "0" for c in CUBE]
         parts = counts(parents.select("_level").distinct()).withColumns({h: F.shiftright(c, step) for h, c in zip(home, CUBE)})
         smaller = parents.join(parts, ["_level", *home]).select(*cubes.columns)
         cubes = materialize(cubes.join(busy, list(spot), "left_anti").unionByName(_in_reach(smaller, spot, k, max_chord)))
@@ -271,7 +293,8 @@ def nearest_k(points: DataFrame | Sequence[tuple], targets: DataFrame, k: int,
     ``points`` as a short Python list of (key, lat, lon) is folded into the scan of the targets; a first pass over
     their coordinates bounds the k-th distance, so hardly more than ``k`` rows per point are sorted. As a DataFrame,
     cube counts on a pyramid of sizes narrow the search of each place down to cubes that hold its ``k`` nearest and
-    few others (``enough``, more only where targets crowd inside 20 centimetres); only targets in them are compared."""
+    few others (``enough``, more only where targets crowd inside 20 centimetres); only targets in them are compared, by
+    coordinates alone. Jobs run while this form is built."""
     order = [F.col(distance), *[as_col(t) for t in tiebreak]]
     targets = targets.filter(F.col(target_at[0]).isNotNull() & F.col(target_at[1]).isNotNull())
     if isinstance(points, (list, tuple)):
@@ -283,22 +306,44 @@ def nearest_k(points: DataFrame | Sequence[tuple], targets: DataFrame, k: int,
             pairs = pairs.filter(F.col(distance) <= max_km)
         return top_k_per(_within_kth(pairs, point_key, distance, k), [point_key], order, k)
 
-    # Points at one place share one search; of the targets at one place only k can be among anyone's k nearest.
-    spot = list(point_at)
+    # Points at one place share one search; of the targets at one place only k can be among anyone's k nearest. The search
+    # knows coordinates only: what else targets have joins the winners last.
+    spot, goal = list(point_at), list(target_at)
     spots = materialize(_placed(points.select(*spot).distinct(), point_at))
-    places = top_k_per(targets, list(target_at), [as_col(t) for t in tiebreak], k, "_copy").drop("_copy")
-    stored = materialize(_placed(places, target_at).drop(*UNIT))
-    fine_counts = materialize(stored.groupBy(*FINE).agg(F.count(F.lit(1)).alias("_n")))
-    probes = _nearest_cubes(spots, fine_counts, spot, k, max_km, enough).drop("_n", *UNIT)
-    # At most one row per level, so broadcasting it is safe; targets are copied only to levels in use.
-    levels_used = F.broadcast(probes.select("_level").distinct())
-    shelves = _pyramid(stored).join(levels_used, "_level", "left_semi").drop(*FINE)
-
+    places = top_k_per(targets, goal, [as_col(t) for t in tiebreak], k, "_copy").drop("_copy")
+    stored = materialize(_placed(targets.groupBy(*goal).agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("_n")), target_at))
     dist = haversine_km(*[F.col(f"l.{c}") for c in point_at], *[F.col(f"r.{c}") for c in target_at])
-    limit = F.lit(True) if max_km is None else dist <= max_km
-    pairs = _cell_join(probes, shelves, ["_level", *CUBE], limit, crowded(hot_rows, probes, stored))
-    pairs = pairs.select(*[F.col(f"l.{c}") for c in spot], *[F.col(f"r.{c}") for c in targets.columns], dist.alias(distance))
-    return points.join(top_k_per(pairs, spot, order, k), spot)
+    few = stored.limit(FEW_TARGETS + 1).select(*goal).collect()
+    if len(few) <= FEW_TARGETS:
+        pairs = _among_few(spots.select(*spot), [tuple(map(float, r)) for r in few], spot, goal, distance, k)
+        pairs = pairs if max_km is None else pairs.filter(F.col(distance) <= max_km)
+    else:
+        fine_counts = materialize(stored.groupBy(*FINE).agg(F.sum("_n").alias("_n")))
+        probes = _nearest_cubes(spots, fine_counts, spot, k, max_km, enough).drop("_n", *UNIT)
+        # At most one row per level, so broadcasting it is safe; targets are copied only to levels in use.
+        levels_used = F.broadcast(probes.select("_level").distinct())
+        shelves = _pyramid(stored.drop("_n", *UNIT)).join(levels_used, "_level", "left_semi").drop(*FINE)
+        limit = F.lit(True) if max_km is None else dist <= max_km
+        pairs = _cell_join(probes, shelves, ["_level", *CUBE], limit, crowded(hot_rows, probes, stored))
+        pairs = pairs.select(*[F.col(f"l.{c}") for c in spot], *[F.col(f"r.{c}") for c in goal], dist.alias(distance))
+    # Places at one distance stay together until their ties can be told.
+    nearest = Window.partitionBy(*spot).orderBy(distance)
+    winners = pairs.withColumn("_rank", F.rank().over(nearest)).filter(F.col("_rank") <= k).drop("_rank")
+    full = winners.join(places, goal).select(*spot, *targets.columns, distance)
+    return points.join(top_k_per(full, spot, order, k), spot)
+
+
+def _among_few(spots: DataFrame, places: list[tuple[float, float]], spot: Sequence[str], goal: Sequence[str], distance: str, k: int) -> DataFrame:
+    """Each spot with the ``k`` nearest of a few places, and those as far as the k-th; no shuffle."""
+    if not places:
+        return spots.limit(0).select(*spot, *[F.lit(0.0).alias(g) for g in goal], F.lit(0.0).alias(distance))
+    listed = F.array(*[F.struct(F.lit(a).alias(goal[0]), F.lit(b).alias(goal[1])) for a, b in places])
+    far = F.transform(listed, lambda p: F.struct(haversine_km(*spot, p[goal[0]], p[goal[1]]).alias(distance), *[p[g].alias(g) for g in goal]))
+    # The lists are columns of their own, so that they are not computed again for each of their elements.
+    ranked = spots.withColumn("_all", F.array_sort(far))
+    kth = F.get(F.col("_all"), F.lit(min(k, len(places)) - 1))[distance]
+    return (ranked.select(*spot, F.posexplode("_all").alias("_i", "_p"), kth.alias("_kth")).filter(F.col(f"_p.{distance}") <= F.col("_kth"))
+            .select(*spot, *[F.col(f"_p.{g}") for g in goal], F.col(f"_p.{distance}")))
 
 
 # --- one place ---------------------------------------------------------------------------------------

@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.columns import band, composite_key, first_match, inside, lookup, now_col, parse_ts
-from ..operators.distance import HOT_ROWS, crowded, within_box
+from ..operators.boxes import FEW_PLACES, keys_in_box
 from ..operators.quality import expect_all_or_drop
 from ..operators.rows import keep_latest
 from ..operators.shape import region_of, rename
-from ..operators.storage import materialize
 from .silver import charging_speed, hazard_severity
 
 LABEL = "feed"
@@ -116,20 +115,13 @@ def feed_regional(stations: DataFrame, as_of=None) -> DataFrame:
 
 
 def feed_smart(stations: DataFrame, hazards: DataFrame, deg: float = 0.05, as_of=None,
-               hot_rows: int | None = HOT_ROWS) -> DataFrame:
+               few: int = FEW_PLACES) -> DataFrame:
     """Score and tier per station from its speed and the distinct hazards in a box around it."""
     base = stations.filter("has_valid_location").select(
         "station_id", "operator_name", "address_line1", "suburb", "postcode", "latitude", "longitude",
         "number_of_plugs", "charger_type", "charging_power_kw", "charging_speed",
         lookup("charging_speed", fixed.FEED_SPEED_POINTS, 20).alias("charger_quality_score"))
-    # Copies of a location, and of a hazard at a location, take part in the join once.
-    points = base.select("latitude", "longitude").distinct()
-    keys = (hazards.filter(F.col("is_active") & F.col("composite_key").isNotNull())
-            .select("composite_key", F.col("latitude").alias("hazard_lat"), F.col("longitude").alias("hazard_lon"))
-            .distinct())
-    points, keys = materialize(points), materialize(keys)
-    near = (within_box(points, keys, deg, hot_rows=crowded(hot_rows, points, keys)).groupBy("latitude", "longitude")
-            .agg(F.count_distinct("composite_key").alias("nearby_hazards")))
+    near = keys_in_box(base, hazards.filter("is_active"), deg, "composite_key", name="nearby_hazards", few=few)
     df = base.join(near, ["latitude", "longitude"], "left").select(
         *base.columns, F.coalesce("nearby_hazards", F.lit(0)).cast("bigint").alias("nearby_hazards"))
     n = F.col("nearby_hazards")
