@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from voltlane.functions import fixed
-from voltlane.plans import retrieval, silver
+from voltlane.plans import silver
 
 from .views import AS_OF, VIEWS, view_sql
 
@@ -482,14 +482,14 @@ sql("station_documents", f"""SELECT 'ev_station_' || objectid AS doc_id, 'Electr
  || '. Location: ' || coalesce(station_address, 'Address not available') || ', ' || lganame || ' (Postcode: ' || pcode || '). Operator: ' || operator
  || '. Charging Type: ' || charger__type || ' with ' || number_of_plugs || ' plugs. Charging Speed: ' || charging_speed
  || ' (' || coalesce(CAST(CAST(kw AS DOUBLE) AS VARCHAR), 'N/A') || ' kW). Coordinates: Latitude ' || CAST(round(latitude, 6) AS VARCHAR) || ', Longitude '
- || CAST(round(longitude, 6) AS VARCHAR) || '.' AS content, '{retrieval.STATIONS_SOURCE}' AS source_table, objectid, station_name, operator, lganame, pcode,
+ || CAST(round(longitude, 6) AS VARCHAR) || '.' AS content, 'silver.ev_charging_stations' AS source_table, objectid, station_name, operator, lganame, pcode,
  round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, round(kw, 3) AS charger_rating_kw, charging_speed FROM st_silver WHERE has_valid_location AND objectid IS NOT NULL""")
 sql("route_documents", f"""SELECT 'route_' || replace(location, ' ', '_') AS doc_id, 'Route Safety Report for ' || location || '. Overall Safety Rating: '
  || route_safety_rating || ' with a risk score of ' || route_risk_score || '. Total Hazards: ' || total_hazards || ' (' || active_hazards
  || ' currently active). Hazard Breakdown: ' || roadwork_count || ' roadwork sites, ' || incident_count || ' incidents, ' || flood_count
  || ' flood warnings, ' || event_count || ' events. Primary Hazard Type: ' || primary_hazard_type || '. Estimated Delay: ' || estimated_delay_minutes
  || ' minutes. Location Center: Latitude ' || CAST(round(center_lat, 6) AS VARCHAR) || ', Longitude ' || CAST(round(center_lon, 6) AS VARCHAR) || '.' AS content,
- '{retrieval.ROUTES_SOURCE}' AS source_table, location, route_safety_rating, route_risk_score, total_hazards, active_hazards, primary_hazard_type,
+ 'gold.trip_routes_optimal' AS source_table, location, route_safety_rating, route_risk_score, total_hazards, active_hazards, primary_hazard_type,
  estimated_delay_minutes, round(center_lat, 6) AS center_lat, round(center_lon, 6) AS center_lon FROM route_gold WHERE total_hazards > 0""")
 sql("doc_stats", """SELECT source AS source_table, count(*) AS document_count, round(avg(length(text)), 4) AS avg_content_length FROM documents GROUP BY source""")
 sql("doc_preview", "SELECT doc_id, substring(text, 1, 200) AS content_preview, source AS source_table FROM documents ORDER BY doc_id LIMIT 5")
@@ -532,11 +532,10 @@ scores AS (SELECT q.k AS question_id, d.k AS doc_id, round(sum(q.w * d.w), 6) AS
 SELECT question_id, doc_id, score, CAST(rn AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rn FROM scores WHERE score > 0) WHERE rn <= 5""")
 STEPS["doc_hits"] = "SELECT h.*, d.text AS content FROM label_hits h JOIN documents d ON d.doc_id = h.vec_id"
-_open, _rest = retrieval.PROMPT.split("{context}")
-_middle, _close = _rest.split("{question}")
-_none, _ = retrieval.NO_CONTEXT.split("{question}")
-sql("prompts", f"""SELECT q.question_id, question, CASE WHEN context IS NULL THEN {_text(_none)} || question
-  ELSE {_text(_open)} || context || {_text(_middle)} || question || {_text(_close)} END AS prompt
+sql("prompts", """SELECT q.question_id, question, CASE WHEN context IS NULL
+  THEN 'No passage on chargers or roads matches what was asked: ' || question
+  ELSE 'Passages on chargers and roads, best match first:' || chr(10) || chr(10) || context || chr(10) || chr(10)
+    || 'Answer from these passages alone, and say so where they do not tell.' || chr(10) || 'Asked: ' || question || chr(10) || 'Reply:' END AS prompt
  FROM (SELECT n_nationkey AS question_id, 'What is known about ' || n_name || '?' AS question FROM nation) q
  LEFT JOIN (SELECT query_id, string_agg('Document ' || rank || ' (Score: ' || printf('%.3f', round(score, 3)) || '):' || chr(10) || content,
                                         chr(10) || chr(10) ORDER BY rank) AS context FROM doc_hits GROUP BY query_id) h

@@ -242,3 +242,25 @@ WEATHER_RULES = {
     "valid_temperature": "temperature_c BETWEEN -50 AND 60",
     "valid_humidity": "humidity_percent BETWEEN 0 AND 100",
 }
+
+# --- documents (fixed values: ids, texts and metadata that readers of the documents know) -----------------------------
+
+STATION_DOC_ID = "ev_station_{objectid}"
+STATION_TEXT = (
+    "Electric Vehicle Charging Station: {station_name}. Location: {station_address}, {lganame} (Postcode: {pcode}). "
+    "Operator: {operator}. Charging Type: {charger__type} with {number_of_plugs} plugs. "
+    "Charging Speed: {charging_speed} ({charger_rating_kw} kW). Coordinates: Latitude {latitude}, Longitude {longitude}.")
+STATION_TEXT_DEFAULTS = {
+    "station_name": "Unnamed Station", "station_address": "Address not available", "lganame": "Unknown LGA", "pcode": "N/A",
+    "operator": "Unknown operator", "charger__type": "Not specified", "number_of_plugs": "0", "charging_speed": "Unknown",
+    "charger_rating_kw": "N/A"}
+STATION_METADATA = ["objectid", "station_name", "operator", "lganame", "pcode", "latitude", "longitude", "charger_rating_kw",
+                    "charging_speed"]
+ROUTE_DOC_ID = "route_{place}"
+ROUTE_TEXT = (
+    "Route Safety Report for {location}. Overall Safety Rating: {route_safety_rating} with a risk score of {route_risk_score}. "
+    "Total Hazards: {total_hazards} ({active_hazards} currently active). Hazard Breakdown: {roadwork_count} roadwork sites, "
+    "{incident_count} incidents, {flood_count} flood warnings, {event_count} events. Primary Hazard Type: {primary_hazard_type}. "
+    "Estimated Delay: {estimated_delay_minutes} minutes. Location Center: Latitude {center_lat}, Longitude {center_lon}.")
+ROUTE_METADATA = ["location", "route_safety_rating", "route_risk_score", "total_hazards", "active_hazards", "primary_hazard_type",
+                  "estimated_delay_minutes", "center_lat", "center_lon"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,11 +11,24 @@ from pyspark.sql import types as T
 from ..functions.columns import ColumnLike, as_col, hour_and_day, is_true, now_col
 
 
+LOWER = frozenset("abcdefghijklmnopqrstuvwxyz")
+UPPER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
 def snake_case(name: str) -> str:
-    """"Charger Type" becomes "charger__type": the blank and the capital each give an underscore."""
-    split_words = re.sub(r"(.)([A-Z][a-z]+)", r"\1_\2", name)
-    split_caps = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", split_words)
-    return re.sub(r"[\s-]+", "_", split_caps).lower()
+    """Words in small letters with underscores between them. A word starts at a capital that follows a small letter or a
+    digit, or that a small letter follows; a run of blanks and hyphens is an underscore of its own, so "Charger Type"
+    becomes "charger__type"."""
+    out = []
+    for before, c, after in zip(" " + name, name, name[1:] + " ", strict=False):
+        gap = c.isspace() or c == "-"
+        if c in UPPER and out and (before in LOWER or before.isdigit() or after in LOWER):
+            out.append("_")
+        if not gap:
+            out.append(c.lower())
+        elif not out or not (before.isspace() or before == "-"):
+            out.append("_")
+    return "".join(out)
 
 
 def snake_case_columns(df: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 # Time zone decides hour-of-day and weekday, so it is pinned rather than inherited from the machine.
@@ -29,3 +33,25 @@ def build_session(app: str = "voltlane", master: str | None = None, **extra: str
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of a session, once. Needed where it is not installed on the executors
+    (see ``pyproject.toml`` for installing it): Spark hands the archive to every executor, whatever their folders."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    # Only the driver reads this file; it is sent from there.
+    path = os.path.join(tempfile.mkdtemp(prefix="voltlane-"), "voltlane.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(package)))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
