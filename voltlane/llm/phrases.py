@@ -27,6 +27,8 @@ U64 = np.uint64
 LONGEST = 5
 #: Suffixes that a group should hold, and the most prefixes that a level may extend: with more text the budget grows.
 BUDGET, MOST_PREFIXES = 1 << 19, 100_000
+#: Suffixes in one row on their way to their group: small rows keep the batches that Python gets small.
+ROW_SUFFIXES = 64
 #: The map of frequent words has 2**MAP_BITS bits.
 MAP_BITS = 26
 #: Bytes that end a piece and bytes that end a word; letters A-Z are lower-cased.
@@ -260,7 +262,9 @@ def count_phrases(docs: DataFrame, words: DataFrame, least: int = 100, budget: i
                 order = np.argsort(group, kind="stable")
                 table = np.vstack([depth[None].astype(U64), found, f[None].astype(U64)])[:, order]
                 group = group[order]
-                at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.empty(0, np.int64)
+                new = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.empty(0, np.int64)
+                inside = np.arange(len(group)) - np.repeat(new, np.diff(np.append(new, len(group))))
+                at = np.flatnonzero(inside % ROW_SUFFIXES == 0)
                 stop = np.append(at[1:], len(group))
                 # Columns of zeros and of small numbers are what the shuffle's compression is good at.
                 packed = [np.ascontiguousarray(table[:, i:j]).tobytes() for i, j in zip(at, stop, strict=True)]
