@@ -3,9 +3,9 @@
 Counts come from suffix trees cut off at the longest phrase, built by vertical partitioning. Word prefixes whose suffixes
 would not fit a memory budget are extended by a word, level by level, until each prefix fits (or has full depth); prefixes
 are dealt into groups of about one budget. Each group sorts its own suffixes, forms the nodes of its subtrees and reads a
-node's count from the total of the leaves under it. Words below the least count cannot be part of a phrase, so they end a
-suffix; a bit map of fixed size tells most of them apart while texts are read, and what it lets through is counted too
-and falls at the end.
+node's count from the total of the leaves under it. Words, and pairs of neighbours, below the least count cannot be part
+of a phrase, so they end a suffix. Bit maps of fixed size tell most of them apart while texts are read: one of the words'
+hashes, one of buckets that pairs are counted in. What the maps let through is counted too and falls at the end.
 
 A word is a 64-bit hash of the word and its language, so suffixes of different languages never meet."""
 
@@ -29,8 +29,10 @@ LONGEST = 5
 BUDGET, MOST_PREFIXES = 1 << 19, 100_000
 #: Suffixes in one row on their way to their group: small rows keep the batches that Python gets small.
 ROW_SUFFIXES = 64
-#: The map of frequent words has 2**MAP_BITS bits.
-MAP_BITS = 26
+#: The map of frequent words has 2**MAP_BITS bits, that of frequent pairs 2**PAIR_BITS, in ranges of 2**RANGE_BITS.
+MAP_BITS, PAIR_BITS, RANGE_BITS = 26, 28, 20
+#: Buckets of pairs in one row.
+ROW_PAIRS = 512
 #: Bytes that end a piece and bytes that end a word; letters A-Z are lower-cased.
 PIECE_ENDS = np.zeros(256, dtype=bool)
 PIECE_ENDS[list(b".,;:!?\x0a\x0b\x0c\x0d")] = True
@@ -92,17 +94,90 @@ def word_map(frequent: DataFrame) -> Broadcast:
     return frequent.sparkSession.sparkContext.broadcast(table)
 
 
-def _suffixes(h: np.ndarray, last: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Suffixes of two words or more that start at each word, cut at LONGEST words, at the end of a piece and before a
-    word that is not frequent; one row each, zeros behind the last word."""
-    n = len(h)
+def _prefix(before: np.ndarray | None, word: np.ndarray) -> np.ndarray:
+    """Hash of a prefix from that of the one before and its last word."""
+    with np.errstate(over="ignore"):
+        return tx.mix(word if before is None else tx.mix(before * U64(0x9E3779B97F4A7C15)) + word)
+
+
+def _goes_on(h: np.ndarray, last: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether each word and the next one stand in one piece and are both frequent, as far as the map tells."""
     at = h >> U64(64 - MAP_BITS)
     keep = (bits[(at >> U64(6)).astype(np.int64)] >> (at & U64(63)).astype(np.int64)) & 1 == 1
-    # goes[i]: word i and word i + 1 are in one suffix.
     goes = keep & ~last
     goes[:-1] &= keep[1:]
     goes[-1:] = False
+    return goes
+
+
+def _buckets(h: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Buckets of the pairs that start at these words."""
+    return (_prefix(_prefix(None, h[start]), h[start + 1]) >> U64(64 - PAIR_BITS)).astype(np.int64)
+
+
+def _cut(groups: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of equal numbers, cut at ``most``."""
+    new = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if len(groups) else np.empty(0, np.int64)
+    inside = np.arange(len(groups)) - np.repeat(new, np.diff(np.append(new, len(groups))))
+    at = np.flatnonzero(inside % most == 0)
+    return at, np.append(at, len(groups))[1:]
+
+
+def pair_map(docs: DataFrame, bits: Broadcast, least: int) -> Broadcast:
+    """Bits of the buckets that at least ``least`` pairs of frequent neighbours fall into: 2**PAIR_BITS bits whatever the
+    text. Counts of a task's pieces are merged by ranges of buckets, each a dense array of fixed size."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, h, _, last in _read(batch):
+                bucket, f = np.unique(_buckets(h, np.flatnonzero(_goes_on(h, last, bits.value))), return_counts=True)
+                at, stop = _cut(bucket >> RANGE_BITS, ROW_PAIRS)
+                low = (bucket & ((1 << RANGE_BITS) - 1)).astype(np.uint32)
+                step = np.diff(low, prepend=np.uint32(0))
+                step[at] = low[at]
+                packed = [tx.planes(step[i:j]) + tx.planes(f[i:j].astype(np.uint32)) for i, j in zip(at, stop, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array((bucket[at] >> RANGE_BITS).astype(np.int32)), pa.array(packed, pa.binary())],
+                                                 names=["range", "packed"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(1 << RANGE_BITS, dtype=np.int64)
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())],
+                                              names=["range", "bits"])
+
+        for batch in batches:
+            for r, packed in zip(batch.column("range").to_pylist(), batch.column("packed"), strict=True):
+                if r != now:
+                    if now is not None:
+                        yield done()
+                    now = r
+                    total[:] = 0
+                raw = packed.as_buffer()
+                n = raw.size // 8
+                # Buckets of one row differ.
+                total[np.cumsum(tx.from_planes(raw[:4 * n], np.uint32, n).astype(np.int64))] += tx.from_planes(raw[4 * n:], np.uint32, n)
+        if now is not None:
+            yield done()
+
+    counted = docs.mapInArrow(count, "range int, packed binary")
+    found = counted.repartition("range").sortWithinPartitions("range").mapInArrow(merge, "range int, bits binary").toArrow()
+    size = 1 << (RANGE_BITS - 3)
+    table = np.zeros(1 << (PAIR_BITS - 3), dtype=np.uint8)
+    for r, part in zip(found.column("range").to_pylist(), found.column("bits").to_pylist(), strict=True):
+        table[r * size:(r + 1) * size] = np.frombuffer(part, dtype=np.uint8)
+    return docs.sparkSession.sparkContext.broadcast(table)
+
+
+def _suffixes(h: np.ndarray, last: np.ndarray, bits: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Suffixes of two words or more that start at each word, cut at LONGEST words, at the end of a piece and where a word
+    or a pair is not frequent; one row each, zeros behind the last word."""
+    n = len(h)
+    goes = _goes_on(h, last, bits)
     start = np.flatnonzero(goes)
+    bucket = _buckets(h, start)
+    often = (pairs[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1 == 1
+    goes[start[~often]] = False
+    start = start[often]
     out = np.zeros((LONGEST, len(start)), dtype=U64)
     out[0], out[1] = h[start], h[start + 1]
     alive = np.arange(len(start))
@@ -112,12 +187,6 @@ def _suffixes(h: np.ndarray, last: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return out
 
 
-def _prefix(before: np.ndarray | None, word: np.ndarray) -> np.ndarray:
-    """Hash of a prefix from that of the one before and its last word."""
-    with np.errstate(over="ignore"):
-        return tx.mix(word if before is None else tx.mix(before * U64(0x9E3779B97F4A7C15)) + word)
-
-
 def _in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     if not len(sorted_values):
         return np.zeros(len(x), dtype=bool)
@@ -160,7 +229,7 @@ def _combine(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return columns[:, at], np.diff(np.append(at, columns.shape[1]))
 
 
-def _extensions(docs: DataFrame, bits: Broadcast, extended: list[np.ndarray]) -> DataFrame:
+def _extensions(docs: DataFrame, bits: Broadcast, pairs: Broadcast, extended: list[np.ndarray]) -> DataFrame:
     """w1.., f: counts of the prefixes one word longer than the extended ones of the last level."""
     level = len(extended) + 1
     names = [f"w{k}" for k in range(1, level + 1)]
@@ -169,7 +238,7 @@ def _extensions(docs: DataFrame, bits: Broadcast, extended: list[np.ndarray]) ->
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, h, _, last in _read(batch):
-                found = _suffixes(h, last, bits.value)
+                found = _suffixes(h, last, bits.value, pairs.value)
                 _, depth = _group_prefix(found, hot.value)
                 found, f = _combine(found[:level, depth == level])
                 yield pa.RecordBatch.from_arrays([*(pa.array(w.view(np.int64)) for w in found), pa.array(f, pa.int64())], names=[*names, "f"])
@@ -233,6 +302,7 @@ def count_phrases(docs: DataFrame, words: DataFrame, least: int = 100, budget: i
     ``words`` are those of ``count_words``, stored."""
     spark = docs.sparkSession
     bits = word_map(words.filter(F.col("f") >= least))
+    pairs = pair_map(docs, bits, least)
     total = words.agg(F.sum("f")).head()[0] or 0
     # Prefixes of more than a budget are at most MOST_PREFIXES a level, so what is sent to tasks has a bound.
     budget = max(budget, -(-total // MOST_PREFIXES))
@@ -243,7 +313,7 @@ def count_phrases(docs: DataFrame, words: DataFrame, least: int = 100, budget: i
     extended = [np.sort(_prefix(None, first.view(U64)))]
     while len(extended[-1]) and len(extended) < LONGEST - 1:
         level = len(extended) + 1
-        hot = _extensions(docs, bits, extended).filter(F.col("f") > budget).toArrow()
+        hot = _extensions(docs, bits, pairs, extended).filter(F.col("f") > budget).toArrow()
         columns = [hot.column(c).to_numpy().astype(np.int64) for c in names[:level]]
         key = None
         for c in columns:
@@ -256,16 +326,13 @@ def count_phrases(docs: DataFrame, words: DataFrame, least: int = 100, budget: i
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, h, _, last in _read(batch):
-                found, f = _combine(_suffixes(h, last, bits.value))
+                found, f = _combine(_suffixes(h, last, bits.value, pairs.value))
                 key, depth = _group_prefix(found, shared.value)
                 group = ((key >> U64(32)) * U64(groups) >> U64(32)).astype(np.int64)
                 order = np.argsort(group, kind="stable")
                 table = np.vstack([depth[None].astype(U64), found, f[None].astype(U64)])[:, order]
                 group = group[order]
-                new = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.empty(0, np.int64)
-                inside = np.arange(len(group)) - np.repeat(new, np.diff(np.append(new, len(group))))
-                at = np.flatnonzero(inside % ROW_SUFFIXES == 0)
-                stop = np.append(at[1:], len(group))
+                at, stop = _cut(group, ROW_SUFFIXES)
                 # Columns of zeros and of small numbers are what the shuffle's compression is good at.
                 packed = [np.ascontiguousarray(table[:, i:j]).tobytes() for i, j in zip(at, stop, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(group[at], pa.int64()), pa.array(stop - at, pa.int32()), pa.array(packed, pa.binary())],
@@ -273,7 +340,9 @@ def count_phrases(docs: DataFrame, words: DataFrame, least: int = 100, budget: i
 
     build, schema = _subtrees(least)
     dealt = docs.mapInArrow(deal, "grp bigint, n int, packed binary")
-    nodes = dealt.repartition("grp").sortWithinPartitions("grp").mapInArrow(build, schema)
+    # A few groups a task, however many there are; a number that is asked for is not merged again.
+    tasks = max(tx.parallelism(spark), -(-groups // 2))
+    nodes = dealt.repartition(tasks, "grp").sortWithinPartitions("grp").mapInArrow(build, schema)
     # Words that passed the map by chance are in nodes too; their nodes are below the least count and gone already.
     counted = nodes.select(F.filter(F.array(*names), lambda x: x != 0).alias("w"), "f")
     return counted.unionByName(spark.createDataFrame(hot_rows, "w array<bigint>, f bigint")) if hot_rows else counted
