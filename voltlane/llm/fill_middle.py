@@ -118,7 +118,7 @@ def fill_in_middle(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             while start < len(keys):
                 rows, held, stop = [], 0, start
                 while stop < len(keys) and held < 1 << 22:
-                    # Bytes that are no UTF-8 become single code points and come back as they were.
+                    # Bytes that are no UTF-8 count as single code points.
                     body = (bodies[stop].as_py() or b"").decode("utf-8", "surrogateescape")
                     rows.append(cut(body, keys[stop], pattern, plain, spm))
                     held += len(body)
@@ -141,7 +141,10 @@ def fill_in_middle(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def restored(output: Column, form: Column) -> Column:
     """The text again, from an output and its form. Parts hold no marks, so the first of each mark is the one put in."""
-    parts = F.split(output, f"{PREFIX}|{SUFFIX}|{MIDDLE}", -1)
-    part = lambda i: F.get(parts, F.lit(i))
-    return (F.when(form == "psm", F.concat(part(1), part(3), part(2)))
-            .when(form == "spm", F.concat(part(2), part(3), part(1))).otherwise(output))
+    def part(source: Column, mark: str, number: int) -> Column:
+        return F.split_part(source, F.lit(mark), F.lit(number))  # compares bytes, unlike a pattern
+
+    middle = part(output, MIDDLE, 2)
+    psm = F.concat(part(part(output, PREFIX, 2), SUFFIX, 1), middle, part(part(output, SUFFIX, 2), MIDDLE, 1))
+    spm = F.concat(part(part(output, PREFIX, 2), MIDDLE, 1), middle, part(part(output, PREFIX, 1), SUFFIX, 2))
+    return F.when(form == "psm", psm).when(form == "spm", spm).otherwise(output)

@@ -235,13 +235,22 @@ def _extensions(docs: DataFrame, bits: Broadcast, pairs: Broadcast, extended: li
     names = [f"w{k}" for k in range(1, level + 1)]
     hot = docs.sparkSession.sparkContext.broadcast(extended)
 
+    def rows_of(found: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(w.view(np.int64)) for w in found), pa.array(f, pa.int64())], names=[*names, "f"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.empty((level, 0), U64), np.empty(0, np.int64))
         for batch in batches:
             for _, h, _, last in _read(batch):
                 found = _suffixes(h, last, bits.value, pairs.value)
                 _, depth = _group_prefix(found, hot.value)
                 found, f = _combine(found[:level, depth == level])
-                yield pa.RecordBatch.from_arrays([*(pa.array(w.view(np.int64)) for w in found), pa.array(f, pa.int64())], names=[*names, "f"])
+                held = _merge(np.concatenate([held[0], found], axis=1), np.concatenate([held[1], f]))
+                # A task hands out what it has counted when that outgrows a budget, and at its end.
+                if len(held[1]) > BUDGET:
+                    yield rows_of(*held)
+                    held = (held[0][:, :0], held[1][:0])
+        yield rows_of(*held)
 
     rows = docs.mapInArrow(count, ", ".join(f"{c} bigint" for c in [*names, "f"]))
     return rows.groupBy(*names).agg(F.sum("f").alias("f"))
