@@ -636,3 +636,18 @@ sql("stream_dedup", _FS)
 sql("stream_silver_fuel", f"""SELECT stationcode, fueltype AS fuel_type, round(price, 3) AS price, fuel_category,
  {_ts('last_updated_ts')} AS price_updated_timestamp {_FF}""")
 sql("stream_silver_weather", _FW)
+sql("stream_with_stops", _FS)
+SQL["stream_gold_regional"] = SQL["feed_regional"]
+SQL["stream_rule_counts"] = SQL["expectations"]
+sql("stream_landing_fields", """SELECT CASE WHEN broken THEN NULL ELSE event_id END AS event_id, CASE WHEN NOT broken THEN headline END AS headline,
+ CASE WHEN broken OR is_major IS NULL THEN NULL WHEN is_major THEN 'true' ELSE 'false' END AS is_major,
+ CASE WHEN NOT broken THEN round(latitude, 6) END AS latitude,
+ CASE WHEN NOT broken AND event_id % 2 = 1 THEN '{"location":"' || location || '","impact":"' || CASE WHEN impact THEN 'true' ELSE 'false' END || '"}' END AS _rescued_data,
+ CASE WHEN broken THEN '{"event_id": ' || event_id END AS _corrupt_record, true AS has_file
+ FROM (SELECT *, event_id % 50 = 7 AS broken FROM hazards_raw)""")
+sql("keyed_append", """SELECT o_custkey, o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM (
+ SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY second DESC, o_orderkey DESC) AS rn FROM (
+  SELECT o_custkey, o_orderkey, o_totalprice, 0 AS second FROM orders WHERE o_orderkey % 3 < 2
+  UNION ALL SELECT o_custkey, o_orderkey, o_totalprice, 1 FROM orders WHERE o_orderkey % 3 > 0 AND o_custkey % 5 = 1)) WHERE rn = 1""")
+sql("layout_tables", f"""SELECT n_nationkey, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS name,
+ 'lake' AS source_system, strftime({NOW}, '%Y-%m-%d %H:%M:%S') AS ingestion_timestamp FROM nation""")

@@ -20,7 +20,9 @@ from voltlane.operators.storage import shared_dir
 from voltlane.operators.vectors import vector_top_k
 from voltlane.plans import feeds, infrastructure, reports, retrieval, silver, traffic, trips
 from voltlane.sources import files
-from voltlane.streaming import flows
+from voltlane.sources.layout import KeyedTable, Layout
+from voltlane.streaming import batches, flows
+from voltlane.streaming import landing as landings
 
 from .views import AS_OF, table, view
 
@@ -862,3 +864,96 @@ def stream_silver_fuel(spark, d):
 def stream_silver_weather(spark, d):
     return out(_run(spark, "weather", view(spark, d, "weather_landing")),
                "station_id", "weather", "weather_category", "temperature_c:8", "humidity_percent:2", "latitude:4", "longitude:4")
+
+
+def _three_landings(spark, d, run) -> str:
+    """Stations land in three parts; ``run(base, schema)`` is called after each. Returns the base folder."""
+    base = shared_dir(spark)
+    landed = view(spark, d, "stations_landing")
+    part = F.pmod(F.xxhash64("StationID", "Latitude", "Longitude"), F.lit(3))
+    for i in range(3):
+        landed.filter(part == i).write.mode("append").json(f"{base}/landing")
+        run(base, landed.schema)
+    return base
+
+
+@query
+def stream_gold_regional(spark, d):
+    """Regional totals folded batch by batch from the silver stream over three landings."""
+    def run(base, _):
+        flows.run_bronze(spark, "stations", f"{base}/landing", f"{base}/bronze", f"{base}/cp_bronze", as_of=AS_OF).awaitTermination()
+        bronze = spark.readStream.schema(spark.read.parquet(f"{base}/bronze").schema).parquet(f"{base}/bronze")
+        batches.start_regional(flows.silver_stations_stream(bronze, as_of=AS_OF), f"{base}/gold", f"{base}/cp_gold").awaitTermination()
+    base = _three_landings(spark, d, run)
+    return out(batches.read_regional(spark, f"{base}/gold", AS_OF), "region", "total_stations:l", "total_plugs:l", "total_capacity_kw:2",
+               "avg_capacity_kw:2", "fast_charger_count:l", "ev_readiness_score:0")
+
+
+@query
+def stream_with_stops(spark, d):
+    """Cleaned stations through a sink by batch id; after each landing the last batch is forgotten and comes again."""
+    def run(base, schema):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{base}/landing")
+        clean = feeds.feed_station_columns(stream, AS_OF)
+        for _ in range(2):
+            batches.start(clean, f"{base}/silver", f"{base}/cp").awaitTermination()
+            last = batches._batches(spark, f"{base}/silver")[-1]
+            batches._remove(spark, f"{base}/cp/commits/{last}")
+    base = _three_landings(spark, d, run)
+    return out(batches.read(spark, f"{base}/silver"), *FEED_STATION)
+
+
+@query
+def stream_rule_counts(spark, d):
+    """Rule counts observed per batch, added up."""
+    def run(base, schema):
+        stream = shape.rename(spark.readStream.schema(schema).json(f"{base}/landing"), fixed.STATION_FEED_NAMES)
+        batches.start_checked(stream, fixed.STATION_RULES, f"{base}/silver", f"{base}/counts", f"{base}/cp").awaitTermination()
+    base = _three_landings(spark, d, run)
+    return out(batches.rule_counts(spark, f"{base}/counts"), "rule", "passed:l", "dropped:l")
+
+
+@query
+def stream_landing_fields(spark, d):
+    """A field that appears after the first start, a hinted type, and lines that do not parse."""
+    base = shared_dir(spark)
+    raw = view(spark, d, "hazards_raw")
+    known = ["event_id", "headline", "is_major", "latitude"]
+    def land(rows, names):
+        line = F.to_json(F.struct(*names))
+        broken = F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"))
+        rows.select(F.when(F.col("event_id") % 50 == 7, broken).otherwise(line).alias("value")).write.mode("append").text(f"{base}/landing")
+    for part, names in ((0, known), (1, [*known, "location", "impact"])):
+        land(raw.filter(F.col("event_id") % 2 == part), names)
+        schema = landings.remembered_schema(spark, f"{base}/landing", f"{base}/schema", hints="is_major string, latitude double, event_id bigint")
+        flows.start(landings.landed(spark, f"{base}/landing", schema), f"{base}/bronze", f"{base}/cp").awaitTermination()
+    got = spark.read.parquet(f"{base}/bronze")
+    return out(got.withColumn("has_file", F.col("source_file").contains("/landing/")), "event_id", "headline", "is_major", "latitude:6",
+               landings.RESCUED, landings.CORRUPT, "has_file")
+
+
+@query
+def keyed_append(spark, d):
+    """Two overlapping appends to a keyed table, the second one twice."""
+    orders = KeyedTable(shared_dir(spark), ["o_custkey"], buckets=8)
+    rows_ = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    orders.append(rows_.filter("o_orderkey % 3 < 2"), ["o_orderkey"])
+    for _ in range(2):
+        orders.append(rows_.filter("o_orderkey % 3 > 0 and o_custkey % 5 = 1"), ["o_orderkey"])
+    return out(orders.read(spark), "o_custkey:l", "o_orderkey:l", "o_totalprice:2")
+
+
+@query
+def layout_tables(spark, d):
+    """Layer tables end to end: overwritten, appended to, skipped when empty, and read as a stream."""
+    base = shared_dir(spark)
+    lake = Layout(f"{base}/lake")
+    nations = table(spark, d, "nation")
+    lake.write(table(spark, d, "supplier"), "bronze", "places")
+    lake.write(nations.filter("n_regionkey < 2"), "bronze", "places", cluster_by=["n_nationkey"])
+    lake.append(nations.filter("n_regionkey >= 2"), "bronze", "places")
+    lake.write(nations.limit(0), "bronze", "places", skip_empty=True)
+    stream = lake.read_stream(spark, "bronze", "places").select("n_nationkey", F.initcap(F.lower("n_name")).alias("name"))
+    flows.start(stream, lake.path("silver", "places"), f"{base}/cp").awaitTermination()
+    return out(shape.with_ingest_meta(lake.read(spark, "silver", "places"), "lake", AS_OF), "n_nationkey:i", "name", "source_system",
+               "ingestion_timestamp:t")

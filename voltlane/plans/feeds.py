@@ -93,8 +93,11 @@ def feed_weather(df: DataFrame, as_of=None) -> DataFrame:
     return _stamped(df.withColumn("weather_category", _like("weather", fixed.FEED_WEATHER_PATTERNS)), as_of)
 
 
-def feed_regional(stations: DataFrame, as_of=None) -> DataFrame:
-    """Regional measures with the open-ended readiness score.
+REGION_SUMS = ["total_stations", "total_plugs", "_kw", "_rated", "fast_charger_count"]
+
+
+def regional_parts(stations: DataFrame) -> DataFrame:
+    """Totals per region that can be added up over tables which share no station.
 
     Stations are counted distinct. Reducing to one row per region and station first gives the distinct counts
     and the sums in two plain aggregations."""
@@ -103,17 +106,30 @@ def feed_regional(stations: DataFrame, as_of=None) -> DataFrame:
     per_station = (stations.filter("has_valid_location").groupBy(region.alias("region"), "station_id")
                    .agg(F.sum("number_of_plugs").alias("_plugs"), F.sum("charging_power_kw").alias("_kw"),
                         F.count("charging_power_kw").alias("_rated"), F.max(fast).alias("_fast")))
-    df = per_station.groupBy("region").agg(
+    return per_station.groupBy("region").agg(
         F.count("station_id").alias("total_stations"), F.sum("_plugs").alias("total_plugs"),
         F.sum("_kw").alias("_kw"), F.sum("_rated").alias("_rated"),
         F.count_if(F.col("_fast") & F.col("station_id").isNotNull()).alias("fast_charger_count"))
+
+
+def merge_regional(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("region").agg(*[F.sum(c).alias(c) for c in REGION_SUMS])
+
+
+def regional_measures(parts: DataFrame, as_of=None) -> DataFrame:
+    """The regional table, with the open-ended readiness score, from ``regional_parts``."""
     score = F.col("total_stations") * 0.4 + F.col("fast_charger_count") * 0.3 + F.col("_kw") / 1000 * 0.3
-    df = df.select("region", "total_stations", "total_plugs", F.round("_kw", 2).alias("total_capacity_kw"),
-                   F.round(F.try_divide(F.col("_kw"), F.col("_rated")), 2).alias("avg_capacity_kw"),
-                   "fast_charger_count", F.round(score, 0).alias("ev_readiness_score"))
+    df = parts.select("region", "total_stations", "total_plugs", F.round("_kw", 2).alias("total_capacity_kw"),
+                      F.round(F.try_divide(F.col("_kw"), F.col("_rated")), 2).alias("avg_capacity_kw"),
+                      "fast_charger_count", F.round(score, 0).alias("ev_readiness_score"))
     return df.withColumns({"pipeline_source": F.lit(LABEL), "calculated_at": now_col(as_of)})
 
 
+def feed_regional(stations: DataFrame, as_of=None) -> DataFrame:
+    """Regional measures with the open-ended readiness score."""
+    return regional_measures(regional_parts(stations), as_of)
+
+
 def feed_smart(stations: DataFrame, hazards: DataFrame, deg: float = 0.05, as_of=None,
                few: int = FEW_PLACES) -> DataFrame:
     """Score and tier per station from its speed and the distinct hazards in a box around it."""
