@@ -651,3 +651,4 @@ sql("keyed_append", """SELECT o_custkey, o_orderkey, round(o_totalprice, 2) AS o
   UNION ALL SELECT o_custkey, o_orderkey, o_totalprice, 1 FROM orders WHERE o_orderkey % 3 > 0 AND o_custkey % 5 = 1)) WHERE rn = 1""")
 sql("layout_tables", f"""SELECT n_nationkey, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS name,
  'lake' AS source_system, strftime({NOW}, '%Y-%m-%d %H:%M:%S') AS ingestion_timestamp FROM nation""")
+sql("stream_latest_weather", """SELECT station_id, strftime(max(obs_ts)::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS obs_ts FROM weather_raw WHERE station_id IS NOT NULL GROUP BY station_id""")

@@ -23,6 +23,7 @@ from voltlane.sources import files
 from voltlane.sources.layout import KeyedTable, Layout
 from voltlane.streaming import batches, flows
 from voltlane.streaming import landing as landings
+from voltlane.streaming import state as states
 
 from .views import AS_OF, table, view
 
@@ -957,3 +958,17 @@ def layout_tables(spark, d):
     flows.start(stream, lake.path("silver", "places"), f"{base}/cp").awaitTermination()
     return out(shape.with_ingest_meta(lake.read(spark, "silver", "places"), "lake", AS_OF), "n_nationkey:i", "name", "source_system",
                "ingestion_timestamp:t")
+
+
+@query
+def stream_latest_weather(spark, d):
+    """The newest reading per site, over landings that repeat rows and bring old ones late."""
+    base = shared_dir(spark)
+    readings = view(spark, d, "weather_raw").select("station_id", F.col("obs_ts").cast("timestamp").alias("obs_ts"), "temperature_celsius")
+    part = F.pmod(F.xxhash64("obs_ts"), F.lit(3))
+    for i in range(3):
+        readings.filter((part == i) | (part == 0)).coalesce(1).write.mode("append").parquet(f"{base}/landing")
+        stream = spark.readStream.schema(readings.schema).parquet(f"{base}/landing")
+        latest = states.latest_stream(stream, ["station_id"], "obs_ts", "20000 days")
+        batches.start(latest, f"{base}/out", f"{base}/cp", mode="update").awaitTermination()
+    return out(states.latest_rows(batches.read(spark, f"{base}/out"), ["station_id"]), "station_id", "obs_ts:t")

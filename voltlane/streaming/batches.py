@@ -16,8 +16,8 @@ from ..plans import feeds
 from .flows import AVAILABLE_NOW
 
 
-def _each(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, trigger: str) -> StreamingQuery:
-    writer = df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+def _each(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, trigger: str, mode: str = "append") -> StreamingQuery:
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(availableNow=True) if trigger == AVAILABLE_NOW else writer.trigger(processingTime=trigger)).start()
 
 
@@ -36,9 +36,9 @@ def _remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def start(df: DataFrame, out: str, checkpoint: str, trigger: str = AVAILABLE_NOW) -> StreamingQuery:
+def start(df: DataFrame, out: str, checkpoint: str, trigger: str = AVAILABLE_NOW, mode: str = "append") -> StreamingQuery:
     """Append a stream to ``out``, a folder per batch; read it with ``read``."""
-    return _each(df, lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}"), checkpoint, trigger)
+    return _each(df, lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}"), checkpoint, trigger, mode)
 
 
 def read(spark: SparkSession, out: str) -> DataFrame:
