@@ -67,6 +67,8 @@ def corner_union(boxes: np.ndarray, tile: tuple[float, float, float, float]) ->
     south, north, west, east = tile
     b = np.clip(boxes, [south, south, west, west], [north, north, east, east])
     b = b[(b[:, 0] < b[:, 1]) & (b[:, 2] < b[:, 3])]
+    if len(b) < 2:
+        return b
     cuts = np.unique(b[:, :2])
     if len(cuts) < 2:
         return np.empty((0, 4))
@@ -156,10 +158,14 @@ def disjoint_rectangles(marks: DataFrame, deg: float, key: str, at: tuple[str, s
             yield from united(held)
 
     def united(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        found = [corner_union(g[EDGES].to_numpy(), (y * width, (y + 1) * width, x * width, (x + 1) * width))
-                 for (_, y, x), g in rows.groupby(["_key", *TILE], sort=False)]
-        if found:
-            yield pd.DataFrame(np.concatenate(found), columns=EDGES)
+        if not len(rows):
+            return
+        tiles, edges = rows[TILE].to_numpy(), rows[EDGES].to_numpy()
+        name = rows["_key"].to_numpy()
+        new = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (tiles[1:] != tiles[:-1]).any(axis=1)]))
+        found = [corner_union(edges[i:j], (y * width, (y + 1) * width, x * width, (x + 1) * width))
+                 for i, j, (y, x) in zip(new, np.append(new[1:], len(rows)), tiles[new], strict=True)]
+        yield pd.DataFrame(np.concatenate(found), columns=EDGES)
 
     parts = (outer.repartition("_key", *TILE).sortWithinPartitions("_key", *TILE).select("_key", *TILE, *EDGES)
              .mapInPandas(unite, RECTANGLES).withColumn("_w", F.lit(1).cast("bigint")))
