@@ -20,6 +20,8 @@ from voltlane.llm.substrings import substring_dedup
 from voltlane.llm.toxicity import ToxicityModel, learning_rows
 from voltlane.operators.storage import materialize
 
+#: Documents with this score or more go.
+TOXIC = 0.3
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
 
@@ -29,7 +31,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without clean ones among them all documents stay."""
     docs = docs.select(*COLUMNS)
     model = ToxicityModel(learning_rows(docs, tx.read(spark, sf_dir, "labels")), docs=docs)
-    return model.score(docs, carry=COLUMNS[1:]).filter("predicted = 0").select(*COLUMNS)
+    return docs.filter(model.rating() < TOXIC)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.storage import materialize
 from . import text as tx
+from .near_duplicates import _only as only_ids
 
 EXAMPLES = 3000
 NEIGHBOURS = 15
@@ -227,10 +228,12 @@ def learning_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     texts are one example: the smallest id, with the label that most of them have (toxic, if as many)."""
     known = (labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("doc")).agg(F.max(label).cast("int").alias("label"))
              .filter(tx.fold_of("doc", 4) != 2))
-    hashed = docs.select(F.col(doc_id).alias("doc"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")).alias("_hash"))
+    # Texts without a label do not go to the joins: a map of fixed size keeps most of them out.
+    texts = only_ids(docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("_text")), known)
+    hashed = texts.select("doc", F.md5(F.coalesce("_text", F.lit("")).cast("binary")).alias("_hash"))
     once = hashed.join(known, "doc").groupBy("_hash").agg(
         F.min("doc").alias("doc"), F.when(F.avg("label") >= 0.5, 1).otherwise(0).alias("label")).drop("_hash")
-    return docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("_text")).join(once, "doc")
+    return texts.join(once, "doc")
 
 
 def _likelihood_ratio(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
@@ -243,6 +246,12 @@ def _likelihood_ratio(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndar
     return np.maximum(g, 0)
 
 
+def _rated(index: _Index, base: float, fit: np.ndarray | None, data: np.ndarray, offsets: np.ndarray):
+    """(scores, cosines, examples) of the texts of a run of bytes."""
+    share, weight, cosines, which = index.votes(index.vectors.of(data, offsets), base)
+    return share if fit is None else 1 / (1 + np.exp(-np.clip(_features(share, weight) @ fit, -30, 30))), cosines, which
+
+
 class ToxicityModel:
     """Learned index and calibration, on the driver."""
 
@@ -310,6 +319,19 @@ class ToxicityModel:
         total[label, term] = n
         return int(total[0, -1]), int(total[1, -1]), total[0, :-1], total[1, :-1]
 
+    def rating(self, text: str = "text") -> Column:
+        """The score alone, as a column: texts and whatever else rows hold stay in the JVM."""
+        shared = self.shared
+
+        @F.arrow_udf("double")
+        def rate(texts: pa.Array) -> pa.Array:
+            index, base, fit = shared.value
+            batch = pa.RecordBatch.from_arrays([texts], names=["_text"])
+            scores = [_rated(index, base, fit, data, offsets)[0] for _, data, offsets in tx.text_pieces(batch, "_text", tx.BLOCK)]
+            return pa.array(np.concatenate(scores) if scores else np.empty(0), pa.float64())
+
+        return rate(F.col(text).cast("string"))
+
     def score(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3,
               carry: tuple[str, ...] = ()) -> DataFrame:
         """One row per row of ``docs``: id, columns of ``carry``, ``score`` (0 to 1), ``predicted`` (1 from ``threshold``)
@@ -330,8 +352,7 @@ class ToxicityModel:
                 if carried:
                     batch = batch.append_column("_text", batch.column("_row").field(names.index(text)))
                 for rows, data, offsets in tx.text_pieces(batch, "_text", tx.BLOCK):
-                    share, weight, cosines, which = index.votes(index.vectors.of(data, offsets), base)
-                    p = share if fit is None else 1 / (1 + np.exp(-np.clip(_features(share, weight) @ fit, -30, 30)))
+                    p, cosines, which = _rated(index, base, fit, data, offsets)
                     row = batch.column("_row").slice(rows.start, len(p))
                     evidence = [[{"id": int(index.ids[j]), "label": int(index.labels[j]), "cosine": float(c)}
                                  for c, j in zip(cs[:3], js[:3], strict=True) if c > 0] for cs, js in zip(cosines, which, strict=True)]
