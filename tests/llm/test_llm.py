@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voltlane.llm import text as tx
 from voltlane.llm.chat import COSTS, ENDINGS, INSERTS, ROLES, format_chats, steps
@@ -21,7 +22,7 @@ from voltlane.llm.packing import _encoder, default_vocabulary, first_fit_decreas
 from voltlane.llm.quality import quality_rules
 from voltlane.llm.sharding import communication_matrix, shard_rows
 from voltlane.llm.substrings import substring_dedup
-from voltlane.llm.toxicity import ToxicityModel, learning_rows
+from voltlane.llm.toxicity import POWERS, ToxicityModel, learning_rows
 
 rng = random.Random(5)
 WORDS = ["the", "of", "Straße", "été", "x1", "And", "blue", "run", "over", "hill", "ñu", "a", "b", "c", "d"]
@@ -262,8 +263,51 @@ def test_toxicity(spark, docs, empty):
     q = np.abs(np.random.default_rng(1).normal(size=(50, exact.weights.shape[0]))).astype(np.float32)
     score, _ = exact.nearest(q, 15)
     assert np.allclose(score, -np.sort(-(q @ exact.weights), axis=1)[:, :15], atol=1e-5)
+    # As a column, without evidence, the scores are the same.
+    alone = {x.doc_id: x.score for x in learn.select("doc_id", model.rating().alias("score")).collect()}
+    assert all(np.isclose(alone[i], got[i].score, atol=1e-5) for i in alone) and len(alone) == len(rows)
+    assert model.losses[POWERS.index(model.power)] == min(model.losses) and len(model.losses) == len(POWERS)
     none = ToxicityModel(learning_rows(empty, learn.select("doc_id", "toxic")))
-    assert {x.predicted for x in none.score(docs).collect()} == {1} or {x.predicted for x in none.score(docs).collect()} == {0}
+    assert {(x.predicted, x.score) for x in none.score(docs).collect()} == {(0, 0.0)}
+
+
+@pytest.mark.parametrize("often", [1, 16, 10**9])
+def test_block_max_index_skips_blocks_and_stays_exact(monkeypatch, often):
+    from voltlane.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "OFTEN", often)
+    r = np.random.default_rng(8)
+    m, v = 1000, 60
+    # Twenty topics with words of their own and a few that all share, so most blocks cannot hold a near example.
+    full = np.where(r.random((m, v)) < 0.02, 0.05, 0) + np.where(np.arange(v)[None, :] // 3 == (np.arange(m) % 20)[:, None], r.random((m, v)) + 0.2, 0)
+    full /= np.linalg.norm(full, axis=1, keepdims=True)
+    doc, term = np.nonzero(full)
+    vectors = toxicity._Vectors(np.arange(v, dtype=np.uint64), np.ones(v))
+    index = toxicity._Index(vectors, (m, doc, term, full[doc, term].astype(np.float32)), np.arange(m) % 2, np.arange(m))
+    q = full[r.permutation(m)[:200]].astype(np.float32)
+    score, which = index.nearest(q, 15)
+    want = q @ full.T
+    assert np.allclose(score, -np.sort(-want, axis=1)[:, :15], atol=1e-5)
+    assert np.allclose(np.take_along_axis(want, index.ids[which], 1), score, atol=1e-5)
+    assert all(len(set(w)) == 15 for w in which.tolist())
+    if often == 10**9:
+        assert index.skipped > 0.6 * index.blocks_asked
+    same = toxicity._Index(vectors, (m, doc, term, np.ones(len(doc), np.float32)), np.arange(m) % 2, np.arange(m))
+    tied = same.nearest(np.ones((3, v), np.float32), 15)[1]
+    assert (tied == tied[0]).all()
+
+
+def test_labels_of_copies_and_bound_of_the_examples(spark):
+    # Labels 0 and 1 of one text in equal numbers: toxic. A text beyond the bound is no example; ids may repeat.
+    rows = [(i, prose(30, i) + (" vile" if i % 2 else ""), i % 2) for i in range(400)] + [(1000 + i, "equal copy of one text", i % 2) for i in range(8)]
+    learn = spark.createDataFrame([*rows, rows[3], (5000, prose(4000, 77) + " vile", 1)], "doc_id bigint, text string, toxic int")
+    found = learning_rows(learn.drop("toxic"), learn.select("doc_id", "toxic"))
+    own = [(i, y) for i, x, y in rows[400:] if zlib.crc32(str(i).encode()) % 4 != 2]
+    want = int(sum(y for _, y in own) * 2 >= len(own))
+    copies = [r for r in found.known.collect() if r.doc >= 1000 and r.doc < 2000]
+    assert [(r.doc, r.label) for r in copies] == [(min(i for i, _ in own), want)]
+    model = ToxicityModel(found, example_bytes=12_000)
+    assert 5000 not in set(model.index.ids.tolist()) and 20 < len(model.index.ids) < 400 and len(set(model.index.ids.tolist())) == len(model.index.ids)
 
 
 def test_toxicity_knows_more_words_than_one_matrix_had(spark):
@@ -280,12 +324,13 @@ def test_toxicity_knows_more_words_than_one_matrix_had(spark):
     # Frequencies are counted over all documents: q5x has more of them than q6x, so less weight in the same learning texts.
     hashed = {w: tx.split_words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]), tx.MARKS, tx.LOWER).hashes()[0] for w in ("q5x", "q6x")}
     df, n = {w: sum(w in x.split() for _, x, _ in rows) + 50 * (w == "q5x") for w in hashed}, len(rows) + 50
-    known = [(i, x, y) for i, x, y in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    held = {r.doc_id for r in learn.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) == 0).collect()}
+    known = [(i, x, y) for i, x, y in rows if zlib.crc32(str(i).encode()) % 4 != 2 and i not in held]
     n1, n0 = sum(y for *_, y in known), sum(1 - y for *_, y in known)
     for w, h in hashed.items():
         a = sum(w in x.split() for _, x, _ in known)
         g = 2 * (a * np.log((n1 + n0) / n1) + (n1 - a) * np.log((n1 - a) / ((n1 + n0 - a) * n1 / (n1 + n0))) + n0 * np.log((n1 + n0) / (n1 + n0 - a)))
-        want = (np.log((n + 1) / (df[w] + 1)) + 1) * np.sqrt(g)
+        want = (np.log((n + 1) / (df[w] + 1)) + 1) * g ** model.power
         assert np.isclose(index.vectors.weight[np.searchsorted(index.vectors.terms, h)], want, rtol=1e-4)
     q = np.abs(np.random.default_rng(1).normal(size=(20, len(index.vectors.terms)))).astype(np.float32)
     assert np.allclose(index.nearest(q, 15)[0], -np.sort(-(q @ index.weights), axis=1)[:, :15], rtol=1e-3)

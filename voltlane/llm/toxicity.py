@@ -1,23 +1,27 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-1. Labelled examples (``EXAMPLES`` at most per class, chosen by a hash of the id) give the vocabulary: every word of theirs.
-2. Document frequencies of these words are counted over all documents, and by class over all labelled learning texts, copies
-   of a text once. A word's weight is its idf times the root of its likelihood ratio between the classes, so words that say
-   nothing about the label, as most frequent ones, hardly count, but none is dropped. Words of no example are not counted in
-   a text's length; no example could share them.
-3. The examples become unit vectors, held as inverted lists: those of words that many examples have as rows of a matrix, the
-   others as (example, weight) pairs. Each text is compared with all examples; the ``NEIGHBOURS`` nearest vote with their
-   cosine as weight.
-4. Votes are calibrated by a logistic fit on examples that are not in the index. If these are not of both classes, the share
-   of toxic votes is the score. A model that learned no toxic or no clean text has nothing to tell them apart by: all its
-   texts score 0 and are predicted clean.
-
-The index is bounded by the words of the examples whatever the tables' sizes, and is the only thing sent to the tasks;
-scoring neither shuffles texts nor looks at more than one batch."""
+1. Labelled examples (``EXAMPLES`` at most per class, ``EXAMPLE_BYTES`` of text at most per class, in the order of a hash of
+   the id) give the vocabulary: every word of theirs. A text longer than what is left of that bound is no example.
+2. Document frequencies of these words are counted over all documents, and by class over all labelled learning texts outside
+   the calibration fold, copies of a text once. A word's weight is its idf times a power of its likelihood ratio between the
+   classes. The power is one of ``POWERS``; 0 is plain TF-IDF. Each is tried on the calibration fold, which is part of the
+   learning rows, and the one with the least log loss is taken. Words of no example are not counted in a text's length; no
+   example could share them.
+3. The examples become unit vectors in a block-max inverted index: postings are cut into blocks of ``BLOCK_ROWS`` examples,
+   and each frequent word knows its largest weight in each block. Short lists are added up at once. What they give, plus the
+   largest weights of the frequent words, bounds a block's cosines; a block whose bound is below the running cosine of the
+   ``NEIGHBOURS``-th example is skipped. Examples stand in the order of their heaviest word, so that blocks are alike.
+4. The nearest vote with their cosine as weight. Votes are calibrated by a logistic fit on the calibration fold. If that
+   is not of both classes, the share of toxic votes is the score. A model that learned no toxic or no clean text has nothing
+   to tell them apart by: all its texts score 0 and are predicted clean.
+
+The index is bounded by the examples whatever the tables' sizes, and is the only thing sent to the tasks. No text is
+shuffled: ids and hashes say which labelled texts count, and their words travel as packed numbers."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +32,19 @@ from ..operators.storage import materialize
 from . import text as tx
 from .near_duplicates import _only as only_ids
 
-EXAMPLES = 3000
+EXAMPLES, EXAMPLE_BYTES = 3000, 32 << 20
 NEIGHBOURS = 15
+#: Powers of the likelihood ratio that are tried as a factor of a word's weight.
+POWERS = (0.0, 0.5, 1.0)
 #: Weight of the base rate among the votes: few or far neighbours say little.
 PRIOR = 0.5
-#: A word that more than one in so many examples have is a row of the matrix.
-OFTEN = 16
+#: A word that more than one in so many examples have is frequent; examples of a block, blocks looked at before the others.
+OFTEN, BLOCK_ROWS, FIRST_BLOCKS = 16, 64, 4
 #: Cosines held at a time.
 CELLS = 1 << 21
 CALIBRATION_SHARE = 4
+#: More than what a bound can lose by rounding.
+SLACK = 1e-5
 
 
 def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, tx.Words]:
@@ -73,24 +81,61 @@ class _Vocabulary:
 
 
 def _frequencies(terms):
-    """label, number of the term, texts that hold it; term -1 counts the texts."""
+    """Number of the term, texts that hold it; term -1 counts the texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _Vocabulary(terms.value)
-        v = len(terms.value) + 1
-        total = np.zeros((2, v), dtype=np.int64)
+        v = len(terms.value)
+        total, texts = np.zeros(v, dtype=np.int64), 0
         for batch in batches:
             for rows, data, offsets in tx.text_pieces(batch, "_text"):
-                label = batch.column("label").slice(rows.start, rows.stop - rows.start).to_numpy()
+                h, words = _terms(data, offsets)
+                where, at = vocabulary.find(h)
+                total += np.bincount(np.unique(words.doc_of_words()[where] * v + at) % max(v, 1), minlength=v)
+                texts += rows.stop - rows.start
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(total[some], texts))],
+                                         names=["term", "n"])
+
+    return count
+
+
+def _packed(terms):
+    """doc, _hash and the different terms of each text, as packed 32-bit numbers."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _Vocabulary(terms.value)
+        v = max(len(terms.value), 1)
+        for batch in batches:
+            for rows, data, offsets in tx.text_pieces(batch, "_text"):
+                n = rows.stop - rows.start
                 h, words = _terms(data, offsets)
                 where, at = vocabulary.find(h)
                 own = np.unique(words.doc_of_words()[where] * v + at)
-                total += np.bincount(label[own // v] * v + own % v, minlength=2 * v).reshape(2, v)
-                total[:, -1] += np.bincount(label, minlength=2)
+                raw, ends = (own % v).astype("<u4"), 4 * np.searchsorted(own, np.arange(n + 1) * v)
+                part = batch.slice(rows.start, n)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc"), part.column("_hash"), pa.Array.from_buffers(
+                        pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])], names=["doc", "_hash", "terms"])
+
+    return pack
+
+
+def _class_frequencies(v: int):
+    """label, number of the term, texts that hold it, from packed terms; term -1 counts the texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, texts = np.zeros((2, v), dtype=np.int64), np.zeros(2, dtype=np.int64)
+        for batch in batches:
+            label = batch.column("label").to_numpy()
+            for y in (0, 1):
+                own = batch.column("terms").filter(pa.array(label == y)).to_pylist()
+                total[y] += np.bincount(np.frombuffer(b"".join(own), "<u4"), minlength=v)
+                texts[y] += len(own)
         for y in (0, 1):
             some = np.flatnonzero(total[y])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), y), pa.int32()), pa.array(np.where(some == v - 1, -1, some), pa.int32()),
-                                              pa.array(total[y][some])], names=["label", "term", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some) + 1, y), pa.int32()), pa.array(np.append(some, -1), pa.int32()),
+                                              pa.array(np.append(total[y][some], texts[y]))], names=["label", "term", "n"])
 
     return count
 
@@ -120,23 +165,28 @@ class _Vectors:
 
 
 class _Index:
-    """Inverted lists of the examples."""
+    """Block-max inverted index of the examples."""
 
     def __init__(self, vectors: _Vectors, sparse: tuple[int, np.ndarray, np.ndarray, np.ndarray], labels: np.ndarray, ids: np.ndarray):
         n, doc, term, w = sparse
-        order = np.lexsort((ids, labels))
-        order = order[np.isin(order, doc)]
+        self.vectors, self.skipped, self.blocks_asked = vectors, 0, 0
+        # Examples without a word of weight are nobody's neighbours; the others follow their heaviest word.
+        by_weight = np.lexsort((term, -w, doc))
+        present, first = np.unique(doc[by_weight], return_index=True)
+        order = present[np.lexsort((ids[present], labels[present], term[by_weight][first]))]
         place = np.full(n, -1)
         place[order] = np.arange(len(order))
-        self.vectors, self.labels, self.ids = vectors, labels[order], ids[order]
+        self.labels, self.ids = labels[order], ids[order]
         m, v = len(order), len(vectors.terms)
+        self.blocks = -(-m // BLOCK_ROWS)
         df = np.bincount(term, minlength=v)
         self.row = np.full(v, -1, dtype=np.int32)
         often = np.flatnonzero(df * OFTEN > m)
         self.row[often] = np.arange(len(often))
-        self.matrix = np.zeros((len(often), m), dtype=np.float32)
+        self.matrix = np.zeros((len(often), self.blocks * BLOCK_ROWS), dtype=np.float32)
         dense = self.row[term] >= 0
         self.matrix[self.row[term[dense]], place[doc[dense]]] = w[dense]
+        self.most = self.matrix.reshape(len(often), self.blocks, BLOCK_ROWS).max(axis=2) if m else np.zeros((0, 0), np.float32)
         doc, term, w = place[doc[~dense]], term[~dense], w[~dense]
         by_term = np.lexsort((doc, term))
         self.example, self.part = doc[by_term].astype(np.int32), w[by_term]
@@ -146,17 +196,14 @@ class _Index:
     def weights(self) -> np.ndarray:
         """All weights as one matrix, terms by examples."""
         full = np.zeros((len(self.row), len(self.ids)), dtype=np.float32)
-        full[self.row >= 0] = self.matrix
+        full[self.row >= 0] = self.matrix[:, :len(self.ids)]
         full[np.repeat(np.arange(len(self.row)), np.diff(self.start)), self.example] = self.part
         return full
 
-    def _cosines(self, n: int, doc: np.ndarray, term: np.ndarray, w: np.ndarray) -> np.ndarray:
-        m = len(self.ids)
-        dense = self.row[term] >= 0
-        q = np.zeros((n, len(self.matrix)), dtype=np.float32)
-        q[doc[dense], self.row[term[dense]]] = w[dense]
-        out = q @ self.matrix
-        doc, term, w = doc[~dense], term[~dense], w[~dense]
+    def _short_lists(self, n: int, doc: np.ndarray, term: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What words that are not frequent give to each cosine."""
+        m = self.matrix.shape[1]
+        out = np.zeros((n, m), dtype=np.float32)
         long = self.start[term + 1] - self.start[term]
         # Lists are joined in stretches of about CELLS pairs.
         cuts = np.searchsorted(np.cumsum(long), np.arange(CELLS, int(long.sum()) + CELLS, CELLS), side="left") + 1
@@ -169,22 +216,46 @@ class _Index:
             lo = hi
         return out
 
+    def _cosines(self, n: int, doc: np.ndarray, term: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
+        """Cosines, queries by examples. Those of skipped blocks are too small; none of them is among the k largest."""
+        dense = self.row[term] >= 0
+        q = np.zeros((n, len(self.matrix)), dtype=np.float32)
+        q[doc[dense], self.row[term[dense]]] = w[dense]
+        found = self._short_lists(n, doc[~dense], term[~dense], w[~dense])
+        bound = found.reshape(n, self.blocks, BLOCK_ROWS).max(axis=2) + q @ self.most + SLACK
+        seen = np.zeros((n, self.blocks), dtype=bool)
+        best = np.argpartition(-bound, min(FIRST_BLOCKS, self.blocks) - 1, axis=1)[:, :FIRST_BLOCKS]
+        first = np.zeros_like(seen)
+        np.put_along_axis(first, best, True, axis=1)
+        # All weights are positive, so what has been added up so far never exceeds the cosine.
+        for ask in (lambda: first, lambda: ~seen):
+            least = np.partition(found, found.shape[1] - k, axis=1)[:, found.shape[1] - k]
+            open_ = ask() & (bound >= least[:, None])
+            for b in np.flatnonzero(open_.any(axis=0)):
+                rows = np.flatnonzero(open_[:, b])
+                own = slice(b * BLOCK_ROWS, (b + 1) * BLOCK_ROWS)
+                found[rows, own] += q[rows] @ self.matrix[:, own]
+            seen |= open_
+        self.blocks_asked += seen.size
+        self.skipped += int(seen.size - seen.sum())
+        return found
+
     def nearest(self, q, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(cosine, example) of the k nearest examples of each query, exact; cosine 0 where there are fewer. Queries are
-        (number, query, term's number, weight) in the order of the queries, or a matrix."""
+        (number, query, term's number, weight) in the order of the queries, or a matrix. Of equal cosines the first examples
+        in the order of the index count."""
         if isinstance(q, np.ndarray):
             q = (len(q), *np.nonzero(q), q[np.nonzero(q)])
         n, doc, term, w = q
-        m = len(self.ids)
+        m = self.matrix.shape[1]
         score, which = np.zeros((n, k), dtype=np.float32), np.full((n, k), -1)
         step = max(CELLS // max(m, 1), 1)
         for lo in range(0, n if m else 0, step):
             hi = min(lo + step, n)
             own = slice(*np.searchsorted(doc, [lo, hi]))
-            found = self._cosines(hi - lo, doc[own] - lo, term[own], w[own])
             few = min(k, m)
+            found = self._cosines(hi - lo, doc[own] - lo, term[own], w[own], few)
             best = np.sort(np.argpartition(-found, few - 1, axis=1)[:, :few], axis=1)
-            # Of equal cosines the first examples count.
             least = np.take_along_axis(found, best, 1).min(axis=1)
             tied = np.flatnonzero((least > 0) & ((found >= least[:, None]).sum(axis=1) > few))
             if len(tied):
@@ -220,20 +291,34 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
 
 def _features(share: np.ndarray, weight: np.ndarray) -> np.ndarray:
     logit = np.log(np.clip(share, 1e-4, 1 - 1e-4) / (1 - np.clip(share, 1e-4, 1 - 1e-4)))
-    return np.column_stack([np.ones(len(share)), logit * np.sqrt(weight / NEIGHBOURS), weight == 0])
+    return np.column_stack([np.ones(len(share)), logit * np.sqrt(weight / NEIGHBOURS)])
 
 
-def learning_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """doc, _text, label of the labelled texts whose fold is not held out. Of several labels of an id the largest counts. Equal
-    texts are one example: the smallest id, with the label that most of them have (toxic, if as many)."""
+def _calibrated(share: np.ndarray, weight: np.ndarray, fit: np.ndarray, base: float) -> np.ndarray:
+    """Scores; a text that no example shares a word of weight with has the base rate."""
+    return np.where(weight > 0, 1 / (1 + np.exp(-np.clip(_features(share, weight) @ fit, -30, 30))), base)
+
+
+class LearningRows(NamedTuple):
+    """``texts``: doc, _hash, _text of the texts that may be labelled, and others. ``known``: doc, _hash, label, size and
+    held (in the calibration fold) of those that are, each text once."""
+
+    texts: DataFrame
+    known: DataFrame
+
+
+def learning_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> LearningRows:
+    """The labelled texts whose fold is not held out. Of several labels of an id the largest counts. Equal texts are one
+    example: the smallest id, with the label that most of them have (toxic, if as many). Texts are not shuffled for this."""
     known = (labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("doc")).agg(F.max(label).cast("int").alias("label"))
              .filter(tx.fold_of("doc", 4) != 2))
-    # Texts without a label do not go to the joins: a map of fixed size keeps most of them out.
+    # A map of fixed size keeps most texts without a label out.
     texts = only_ids(docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("_text")), known)
-    hashed = texts.select("doc", F.md5(F.coalesce("_text", F.lit("")).cast("binary")).alias("_hash"))
-    once = hashed.join(known, "doc").groupBy("_hash").agg(
-        F.min("doc").alias("doc"), F.when(F.avg("label") >= 0.5, 1).otherwise(0).alias("label")).drop("_hash")
-    return texts.join(once, "doc")
+    texts = texts.withColumn("_hash", F.unhex(F.md5(F.coalesce("_text", F.lit("")).cast("binary"))))
+    size = F.coalesce(F.octet_length("_text"), F.lit(0)).alias("size")
+    once = texts.select("doc", "_hash", size).join(known, "doc").groupBy("_hash").agg(
+        F.min("doc").alias("doc"), F.when(F.avg("label") >= 0.5, 1).otherwise(0).alias("label"), F.max("size").alias("size"))
+    return LearningRows(texts, once.withColumn("held", F.pmod(F.xxhash64("doc", F.lit(7)), F.lit(CALIBRATION_SHARE)) == 0))
 
 
 def _likelihood_ratio(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
@@ -249,21 +334,56 @@ def _likelihood_ratio(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndar
 def _rated(index: _Index, base: float, fit: np.ndarray | None, data: np.ndarray, offsets: np.ndarray):
     """(scores, cosines, examples) of the texts of a run of bytes."""
     share, weight, cosines, which = index.votes(index.vectors.of(data, offsets), base)
-    return share if fit is None else 1 / (1 + np.exp(-np.clip(_features(share, weight) @ fit, -30, 30))), cosines, which
+    return share if fit is None else _calibrated(share, weight, fit, base), cosines, which
 
 
 class ToxicityModel:
     """Learned index and calibration, on the driver."""
 
-    def __init__(self, learn: DataFrame, examples: int = EXAMPLES, docs: DataFrame | None = None, text: str = "text"):
-        """``learn``: doc, _text, label, see ``learning_rows``. ``docs``: all documents, whose texts give the document
-        frequencies; without them the learning texts do."""
-        spark = learn.sparkSession
-        # Ids are chosen by hash, a bounded sort without texts.
+    def __init__(self, learn: LearningRows, examples: int = EXAMPLES, docs: DataFrame | None = None, text: str = "text",
+                 example_bytes: int = EXAMPLE_BYTES):
+        """``learn``: see ``learning_rows``. ``docs``: all documents, whose texts give the document frequencies; without
+        them the learning texts outside the calibration fold do."""
+        spark = learn.known.sparkSession
+        known = materialize(learn.known)
+        ids, y, held, size, h, tf = self._examples(learn.texts, known, examples, example_bytes)
+        terms = np.unique(h)
+        shared = spark.sparkContext.broadcast(terms)
+        packed = learn.texts.select("doc", "_hash", "_text").mapInArrow(_packed(shared), f"doc {dict(known.dtypes)['doc']}, _hash binary, terms binary")
+        own = packed.join(known.filter("not held").select("doc", "_hash", "label"), ["doc", "_hash"]).dropDuplicates(["doc", "_hash"])
+        counts = (own.select("label", "terms").mapInArrow(_class_frequencies(len(terms)), "label int, term int, n bigint")
+                  .groupBy("label", "term").agg(F.sum("n").alias("n")).toArrow())
+        by_class = np.zeros((2, len(terms) + 1), dtype=np.int64)
+        by_class[counts.column("label").to_numpy(), counts.column("term").to_numpy()] = counts.column("n").to_numpy()
+        (b, a), (n0, n1) = by_class[:, :-1], by_class[:, -1].tolist()
+        total, df = n0 + n1, a + b
+        if docs is not None:
+            found = (docs.select(F.col(text).cast("string").alias("_text")).mapInArrow(_frequencies(shared), "term int, n bigint")
+                     .groupBy("term").agg(F.sum("n").alias("n")).toArrow())
+            df = np.zeros(len(terms) + 1, dtype=np.int64)
+            df[found.column("term").to_numpy()] = found.column("n").to_numpy()
+            total, df = int(df[-1]), df[:-1]
+        self.base = n1 / (n0 + n1 + 1) if n0 and n1 else 0.0
+        # Without both classes no word has a weight, so no text has neighbours.
+        idf, ratio = (np.log((total + 1) / (df + 1)) + 1) * bool(n0 and n1), _likelihood_ratio(a, b, n1, n0)
+        tried = [self._fitted(_Vectors(terms, idf * ratio ** power), y, ids, held, size, h, tf) for power in POWERS]
+        best = min(range(len(POWERS)), key=lambda i: tried[i][0])
+        self.power, self.losses = POWERS[best], [loss for loss, _, _ in tried]
+        _, self.index, self.fit = tried[best]
+        self.shared = spark.sparkContext.broadcast((self.index, self.base, self.fit))
+
+    @staticmethod
+    def _examples(texts: DataFrame, known: DataFrame, examples: int, example_bytes: int):
+        """Ids, labels, calibration flags, numbers of terms, and all terms and occurrences of the examples."""
         order = F.xxhash64("doc", F.lit(3))
-        known = learn.select("doc", "label")
-        chosen = [known.filter(F.col("label") == y).orderBy(order, "doc").limit(examples).select("doc") for y in (0, 1)]
-        sample = learn.join(materialize(chosen[0].unionByName(chosen[1])), "doc", "left_semi")
+        rows = [r for y in (0, 1) for r in known.filter(F.col("label") == y).orderBy(order, "doc", "_hash").limit(examples).collect()]
+        chosen, left = [], [example_bytes] * 2
+        for r in rows:
+            if r["size"] <= left[r.label]:
+                left[r.label] -= r["size"]
+                chosen.append((len(chosen), r.doc, bytes(r["_hash"]), r.label, r.held))
+        kind = dict(known.dtypes)["doc"]
+        few = texts.sparkSession.createDataFrame(chosen, f"place int, doc {kind}, _hash binary, label int, held boolean")
 
         def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -271,53 +391,38 @@ class ToxicityModel:
                     n = rows.stop - rows.start
                     doc, h, tf = _term_counts(data, offsets)
                     ends = pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32())
-                    part = batch.slice(rows.start, n)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("doc"), part.column("label"), pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64))),
-                         pa.ListArray.from_arrays(ends, pa.array(tf, pa.int64()))], names=["doc", "label", "terms", "tf"])
-
-        kind = dict(learn.dtypes)["doc"]
-        sample = sample.select("doc", "label", "_text").mapInArrow(
-            terms_of, f"doc {kind}, label int, terms array<bigint>, tf array<bigint>").toArrow().combine_chunks()
-        ids, y = sample.column("doc").to_numpy(), sample.column("label").to_numpy()
-        lists = sample.column("terms")
-        size = lists.combine_chunks().value_lengths().to_numpy() if len(ids) else np.empty(0, np.int64)
-        h = lists.combine_chunks().flatten().to_numpy().view(np.uint64) if len(ids) else np.empty(0, np.uint64)
-        tf = sample.column("tf").combine_chunks().flatten().to_numpy() if len(ids) else np.empty(0, np.int64)
-        terms = np.unique(h)
-        shared = spark.sparkContext.broadcast(terms)
-        n0, n1, b, a = self._counts(learn.select("label", "_text"), shared)
-        total, df = n0 + n1, a + b
-        if docs is not None:
-            total, _, df, _ = self._counts(docs.select(F.lit(0).alias("label"), F.col(text).cast("string").alias("_text")), shared)
-        self.base = n1 / (n0 + n1 + 1) if n0 and n1 else 0.0
-        vectors = _Vectors(terms, (np.log((total + 1) / (df + 1)) + 1) * np.sqrt(_likelihood_ratio(a, b, n1, n0)))
-        # Both classes are sampled; weights bring the calibration back to their shares among all labelled rows.
-        held = tx.mix(ids.astype(np.uint64)) % np.uint64(CALIBRATION_SHARE) == 0
-
+                        [batch.column("place").slice(rows.start, n), pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64))),
+                         pa.ListArray.from_arrays(ends, pa.array(tf, pa.int64()))], names=["place", "terms", "tf"])
+
+        # At most ``examples`` rows of ids a class are broadcast; a repeated row is the same example again.
+        found = (texts.join(F.broadcast(few.select("place", "doc", "_hash")), ["doc", "_hash"]).select("place", "_text")
+                 .mapInArrow(terms_of, "place int, terms array<bigint>, tf array<bigint>").toArrow().combine_chunks())
+        places, at = np.unique(found.column("place").to_numpy(), return_index=True)
+        found = found.take(pa.array(at)).combine_chunks()
+        lists = found.column("terms").combine_chunks() if len(places) else pa.array([], pa.list_(pa.int64()))
+        tf = found.column("tf").combine_chunks().flatten().to_numpy() if len(places) else np.empty(0, np.int64)
+        ids = np.array([chosen[p][1] for p in places], dtype=np.int64)
+        y, held = np.array([chosen[p][3] for p in places], dtype=np.int64), np.array([chosen[p][4] for p in places], dtype=bool)
+        return ids, y, held, lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy().view(np.uint64), tf
+
+    def _fitted(self, vectors: _Vectors, y, ids, held, size, h, tf) -> tuple[float, _Index, np.ndarray | None]:
+        """(log loss on the calibration fold, index of the other examples, calibration). Both classes are sampled; weights
+        bring the calibration back to their shares among all labelled rows."""
         def part(own):
             inside = np.repeat(own, size)
             return vectors.unit(int(own.sum()), np.repeat(np.arange(own.sum()), size[own]), h[inside], tf[inside])
 
-        self.index = _Index(vectors, part(~held), y[~held], ids[~held])
-        share, weight, _, _ = self.index.votes(part(held), self.base)
-        x = _features(share, weight)
-        self.fit = None
-        if len(set(y[held].tolist())) == 2:
-            self.fit = _logistic(x, y[held])
-            drawn = y[held].mean()
-            self.fit[0] += np.log(self.base / (1 - self.base)) - np.log(drawn / (1 - drawn))
-        self.shared = spark.sparkContext.broadcast((self.index, self.base, self.fit))
-
-    @staticmethod
-    def _counts(texts: DataFrame, terms) -> tuple[int, int, np.ndarray, np.ndarray]:
-        """(texts of label 0, of label 1, those with each term of label 0, of label 1)."""
-        found = (texts.mapInArrow(_frequencies(terms), "label int, term int, n bigint").groupBy("label", "term")
-                 .agg(F.sum("n").alias("n")).toArrow())
-        label, term, n = (found.column(c).to_numpy() for c in ("label", "term", "n"))
-        total = np.zeros((2, len(terms.value) + 1), dtype=np.int64)
-        total[label, term] = n
-        return int(total[0, -1]), int(total[1, -1]), total[0, :-1], total[1, :-1]
+        index = _Index(vectors, part(~held), y[~held], ids[~held])
+        if len(set(y[held].tolist())) < 2 or not 0 < self.base < 1:
+            return 0.0, index, None
+        share, weight, _, _ = index.votes(part(held), self.base)
+        voted, drawn = weight > 0, y[held].mean()
+        fit = _logistic(_features(share[voted], weight[voted]), y[held][voted])
+        p = np.clip(_calibrated(share, weight, fit, drawn), 1e-9, 1 - 1e-9)
+        loss = -float(np.mean(np.where(y[held] == 1, np.log(p), np.log(1 - p))))
+        fit[0] += np.log(self.base / (1 - self.base)) - np.log(drawn / (1 - drawn))
+        return loss, index, fit
 
     def rating(self, text: str = "text") -> Column:
         """The score alone, as a column: texts and whatever else rows hold stay in the JVM."""
@@ -337,7 +442,8 @@ class ToxicityModel:
         """One row per row of ``docs``: id, columns of ``carry``, ``score`` (0 to 1), ``predicted`` (1 from ``threshold``)
         and ``evidence``: ids, labels and cosines of up to three nearest examples.
 
-        Null, empty and wordless texts get the score of a text without evidence; without labels of both classes that is 0. Repeated rows each get their row."""
+        Null, empty and wordless texts, and others without evidence, get the share of toxic learning texts; without labels of
+        both classes that is 0. Repeated rows each get their row."""
         shared = self.shared
         # A text that is carried goes to the tasks once.
         carried = text in carry and dict(docs.dtypes)[text] == "string"
