@@ -181,6 +181,54 @@ def test_quality(docs, empty):
     assert quality_rules(empty).collect() == []
 
 
+def test_quality_measures_against_brute_force(spark):
+    from voltlane.llm import quality as ql
+
+    r = random.Random(31)
+    texts = [t or "" for t in TEXTS if t is None or len(t) < 20_000]
+    texts += [" ".join([f"w{i}x" for i in range(41)][:20] + ["ha"] * 9 + [f"v{i}" for i in range(21)])]
+    texts += [" ".join(f"longer word u{i}" for i in range(30))]
+    for i in range(60):
+        own = [r.choice(["aé", "b", "ccc", "d9"]) for _ in range(r.randrange(5, 15))]
+        body = [r.choice(own) if r.random() < r.choice([0.1, 0.9]) else f"u{r.randrange(10**6)}" for _ in range(r.randrange(130))]
+        texts.append("".join(w + r.choice([" ", " ", "  ", "\n"]) for w in body))
+    got = {x.doc_id: x for x in quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        w, x = words(t), got[i]
+        chars, failed = max(sum(map(len, w)), 1), []
+
+        def cover(size, at, w=w):
+            return sum(len(w[j]) for j in {j + k for j in at for k in range(size)})
+
+        places = {n: {} for n in range(2, 11)}
+        for n, own in places.items():
+            for j in range(len(w) - n + 1):
+                own.setdefault(tuple(w[j:j + n]), []).append(j)
+        for n, most in ql.TOP_GRAM.items():
+            value = max([cover(n, at) for at in places[n].values() if len(at) > 1], default=0)
+            assert x[f"top_{n}gram_chars"] == value
+            failed += [f"top_{n}gram"] * (len(w) >= ql.MIN_WORDS and value / chars > most)
+        for n, most in ql.ALL_GRAMS.items():
+            value = cover(n, [j for at in places[n].values() if len(at) > 1 for j in at])
+            assert x[f"dup_{n}gram_chars"] == value
+            failed += [f"dup_{n}gram"] * (len(w) >= ql.MIN_WORDS and value / chars > most)
+        lines, dup, dup_chars, n_lines = set(), 0, 0, 0
+        for line in t.split("\n"):
+            if words(line):
+                n_lines += 1
+                if line in lines:
+                    dup, dup_chars = dup + 1, dup_chars + sum(map(len, words(line)))
+                lines.add(line)
+        assert (x.n_lines, x.n_dup_lines, x.dup_line_chars) == (n_lines, dup, dup_chars)
+        failed += ["line_chars"] * (dup_chars / chars > ql.LINE_CHARS) + ["line_count"] * (dup / max(n_lines, 1) > ql.LINE_COUNT)
+        assert x.failed == failed and x.kept == (not x.base_failed and not failed)
+        seen |= {(x.kept, bool(failed), x.base_failed)}
+    ha = next(i for i, t in enumerate(texts) if "ha ha" in t)
+    assert (got[ha].top_2gram_chars, got[ha].top_3gram_chars, got[ha].top_4gram_chars, got[ha].kept) == (18, 18, 18, True)
+    assert {(True, False, False), (False, True, False), (False, False, True)} <= seen
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
@@ -250,6 +298,40 @@ def test_sharding(docs, empty):
     assert np.allclose(m, np.array([10, 30, 0, 60])[:, None] / 4, atol=0.6)
 
 
+def test_draws_beyond_numpys_limit_follow_the_exact_law():
+    import math
+
+    from voltlane.llm.sharding import _hypergeometric
+
+    r = np.random.Generator(np.random.PCG64(3))
+    for good, bad, sample in ((30, 70, 40), (5, 3, 6), (1, 40, 20), (200, 200, 13)):
+        times = Counter(_hypergeometric(r, good, bad, sample, drawn=0) for _ in range(20_000))
+        p = {x: math.comb(good, x) * math.comb(bad, sample - x) / math.comb(good + bad, sample) for x in range(max(0, sample - bad), min(good, sample) + 1)}
+        likely = {x for x in p if p[x] * 20_000 >= 5}
+        chi = sum((times[x] - 20_000 * p[x]) ** 2 / (20_000 * p[x]) for x in likely)
+        assert set(times) <= set(p) and chi < len(likely) + 5 * math.sqrt(2 * len(likely)) + 5
+    # At 40 billion rows: mean and variance of the law, and whole margins.
+    good, bad, sample = 2_500_000_000, 37_500_000_000, 9_000_000_000
+    x = np.array([_hypergeometric(r, good, bad, sample) for _ in range(300)], dtype=float)
+    n = good + bad
+    sd = math.sqrt(sample * (good / n) * (bad / n) * ((n - sample) / (n - 1)))
+    assert abs(x.mean() - sample * good / n) < 5 * sd / math.sqrt(300) and 0.8 < x.std() / sd < 1.2
+    rows = [3_000_000_000, 0, 17, 999_999_999, 2_000_000_001]
+    m = communication_matrix(rows, 4, 5)
+    assert m.sum(axis=1).tolist() == rows and m.sum(axis=0).max() - m.sum(axis=0).min() <= 1 and (m >= 0).all()
+    halves = np.mean([communication_matrix([10, 30, 0, 60, 3], 4, seed, drawn=20) for seed in range(400)], axis=0)
+    assert np.allclose(halves, np.array([10, 30, 0, 60, 3])[:, None] / 4, atol=0.6)
+
+
+def test_every_place_is_as_likely_for_every_row(spark):
+    docs = spark.createDataFrame([(i,) for i in range(8)], "doc_id bigint").repartition(3)
+    places = np.zeros((8, 8))
+    for seed in range(16):
+        for x in shard_rows(docs, ["doc_id"], shards=2, seed=seed).collect():
+            places[x.doc_id, x.shard * 4 + x.slot] += 1
+    assert places.sum(axis=0).tolist() == [16] * 8 and ((places - 2) ** 2 / 2).sum() < 49 + 5 * np.sqrt(98)
+
+
 def test_toxicity(spark, docs, empty):
     bad = ["trashy", "vile", "scummy"]
     r = random.Random(9)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import text as tx
 
 REPEAT_WINDOW = 8
-#: Largest shares of word characters that a kept text may have: in its most frequent n-gram, in all repeated n-grams
+#: Largest shares of word characters that a kept text may have: in the repeated n-gram that covers most, in all repeated n-grams
 #: (only texts of MIN_WORDS words or more are judged), in repeated lines; and of repeated lines among its lines.
 TOP_GRAM = {2: 0.20, 3: 0.18, 4: 0.16}
 ALL_GRAMS = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
@@ -81,12 +81,14 @@ def _measure(words: tx.Words) -> dict[str, np.ndarray]:
         best = np.zeros(n_docs, dtype=np.int64)
         found = grams(size)
         if found is not None:
+            # Copies of one n-gram come in text order; each adds the words that the one before it has not covered.
             at, run, length = found
-            start = at[run]
-            weight = np.where(length > 1, length * (char_at[start + size] - char_at[start]), 0)
-            np.maximum.at(best, doc[start], weight)
-        # Overlapping copies are counted each, so the measure is held to the text's own characters.
-        out[f"top_{size}gram_chars"] = np.minimum(best, out["word_chars"])
+            fresh = at.copy()
+            fresh[1:] = np.maximum(at[1:], at[:-1] + size)
+            fresh[run] = at[run]
+            cover = np.add.reduceat(char_at[at + size] - char_at[fresh], run)
+            np.maximum.at(best, doc[at[run]], np.where(length > 1, cover, 0))
+        out[f"top_{size}gram_chars"] = best
 
     # Lines: cut at line feeds and where a text ends; a line counts if a word starts in it.
     feeds = np.flatnonzero(words.data == 0x0A)

@@ -17,43 +17,61 @@ from ..operators.storage import materialize
 SHARDS = 16
 
 
-def communication_matrix(rows: list[int], shards: int, seed: int) -> np.ndarray:
-    """Rows of each partition for each shard; row sums are ``rows``, column sums differ by one at most."""
+#: Up to so many rows numpy's own draws are used, which refuse more.
+DRAWN = 10**9 - 1
+#: Standard deviations on both sides that a larger draw looks at; beyond lies less than one part in 10**30.
+REACH = 12
+
+
+def communication_matrix(rows: list[int], shards: int, seed: int, drawn: int = DRAWN) -> np.ndarray:
+    """Rows of each partition for each shard; row sums are ``rows``, column sums differ by one at most. Exact draws at any
+    size: while more than ``drawn`` rows are left, the partitions are halved and the places of each shard dealt between the
+    halves, so that large draws are few."""
     rng = np.random.Generator(np.random.PCG64(seed))
     total = sum(rows)
-    left = np.array([total // shards + (s < total % shards) for s in range(shards)], dtype=np.int64)
     out = np.zeros((len(rows), shards), dtype=np.int64)
-    for p, n in enumerate(rows):
-        # Column by column, each a hypergeometric draw from this shard's places against those of the later ones.
-        after = int(left.sum())
-        for s in range(shards):
-            after -= int(left[s])
-            take = n if after == 0 else _hypergeometric(rng, int(left[s]), after, n)
-            out[p, s] = take
-            n -= take
-        left -= out[p]
+    open_ = [(0, len(rows), np.array([total // shards + (s < total % shards) for s in range(shards)], dtype=np.int64))]
+    while open_:
+        lo, hi, left = open_.pop()
+        if hi - lo > 1 and int(left.sum()) > drawn:
+            mid = (lo + hi) // 2
+            first = _deal(rng, left, sum(rows[lo:mid]), drawn)
+            open_ += [(mid, hi, left - first), (lo, mid, first)]
+            continue
+        for p in range(lo, hi):
+            out[p] = left if p == hi - 1 else _deal(rng, left, rows[p], drawn)
+            left = left - out[p]
     return out
 
 
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
-    """numpy draws exactly below 10**9; beyond, places are split into blocks that are drawn one after the other."""
-    most = 10**9 - 1
-    if good + bad <= most:
-        return int(rng.hypergeometric(good, bad, sample))
-    half_good, half_bad = good // 2, bad // 2
-    # How many of the sample fall into the first half of the places, then how many of those are good.
-    first = _large(rng, half_good + half_bad, good + bad - half_good - half_bad, sample)
-    return (_hypergeometric(rng, half_good, half_bad, first)
-            + _hypergeometric(rng, good - half_good, bad - half_bad, sample - first))
+def _deal(rng: np.random.Generator, left: np.ndarray, n: int, drawn: int) -> np.ndarray:
+    """How many of ``n`` rows get places of each shard: shard by shard, its places against those of the later ones."""
+    out = np.zeros_like(left)
+    after = int(left.sum())
+    for s, places in enumerate(left.tolist()):
+        after -= places
+        out[s] = n if after == 0 else _hypergeometric(rng, places, after, n, drawn)
+        n -= int(out[s])
+    return out
 
 
-def _large(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
-    """Two halves of almost equal size and far more than 10**8 rows: the normal law with the exact mean and variance is
-    closer than a row in a million to the exact one."""
+def _hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int, drawn: int = DRAWN) -> int:
+    """One draw from the hypergeometric law. Beyond ``drawn`` by inversion: the ratios of neighbouring probabilities are
+    simple, so the probabilities around the mode follow from it by sums of logarithms; no factorial is needed, and the
+    error is that of the sums, about one part in 10**10."""
+    if good + bad <= drawn:
+        return int(rng.hypergeometric(good, bad, sample))
     n = good + bad
-    mean = sample * good / n
-    var = mean * (bad / n) * (n - sample) / max(n - 1, 1)
-    return int(min(max(round(rng.normal(mean, var ** 0.5)), sample - bad, 0), good, sample))
+    least, most = max(0, sample - bad), min(good, sample)
+    mode = min(max((sample + 1) * (good + 1) // (n + 2), least), most)
+    reach = int(REACH * (sample * (good / n) * (bad / n) * ((n - sample) / (n - 1))) ** 0.5) + 30
+    lo, hi = max(least, mode - reach), min(most, mode + reach)
+    x = np.arange(lo, hi, dtype=np.float64)
+    up = np.log(((good - x) / (x + 1)) * ((sample - x) / (bad - sample + x + 1)))
+    at = mode - lo
+    logs = np.concatenate([-np.cumsum(up[:at][::-1])[::-1], [0.0], np.cumsum(up[at:])])
+    sums = np.cumsum(np.exp(logs))
+    return lo + int(np.searchsorted(sums, rng.random() * sums[-1], side="right"))
 
 
 def shard_rows(docs: DataFrame, columns: list[str], shards: int = SHARDS, seed: int = 11) -> DataFrame:
