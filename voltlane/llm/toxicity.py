@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..operators.storage import materialize
 from . import text as tx
+from .near_duplicates import MAP_BITS
 from .near_duplicates import _only as only_ids
 
 EXAMPLES, EXAMPLE_BYTES = 3000, 32 << 20
@@ -100,13 +101,20 @@ def _frequencies(terms):
     return count
 
 
-def _packed(terms):
-    """doc, _hash and the different terms of each text, as packed 32-bit numbers."""
+def _bit(doc: str) -> Column:
+    return F.pmod(F.xxhash64(doc), F.lit(1 << MAP_BITS))
+
+
+def _packed(terms, ids):
+    """doc, _hash and the different terms of each text whose id may be among ``ids``, as packed 32-bit numbers. ``ids`` is a
+    bit map of fixed size. It is read in the task that packs, so that a task needs no second Python worker."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _Vocabulary(terms.value)
         v = max(len(terms.value), 1)
         for batch in batches:
+            bit = batch.column("bit").to_numpy()
+            batch = batch.filter(pa.array((ids.value[bit >> 3] >> (bit & 7) & 1).astype(bool)))
             for rows, data, offsets in tx.text_pieces(batch, "_text"):
                 n = rows.stop - rows.start
                 h, words = _terms(data, offsets)
@@ -300,7 +308,7 @@ def _calibrated(share: np.ndarray, weight: np.ndarray, fit: np.ndarray, base: fl
 
 
 class LearningRows(NamedTuple):
-    """``texts``: doc, _hash, _text of the texts that may be labelled, and others. ``known``: doc, _hash, label, size and
+    """``texts``: doc, _hash, _text of all texts. ``known``: doc, _hash, label, size and
     held (in the calibration fold) of those that are, each text once."""
 
     texts: DataFrame
@@ -312,11 +320,11 @@ def learning_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     example: the smallest id, with the label that most of them have (toxic, if as many). Texts are not shuffled for this."""
     known = (labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("doc")).agg(F.max(label).cast("int").alias("label"))
              .filter(tx.fold_of("doc", 4) != 2))
-    # A map of fixed size keeps most texts without a label out.
-    texts = only_ids(docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("_text")), known)
+    texts = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("_text"))
     texts = texts.withColumn("_hash", F.unhex(F.md5(F.coalesce("_text", F.lit("")).cast("binary"))))
     size = F.coalesce(F.octet_length("_text"), F.lit(0)).alias("size")
-    once = texts.select("doc", "_hash", size).join(known, "doc").groupBy("_hash").agg(
+    # A map of fixed size keeps most ids without a label out.
+    once = only_ids(texts.select("doc", "_hash", size), known).join(known, "doc").groupBy("_hash").agg(
         F.min("doc").alias("doc"), F.when(F.avg("label") >= 0.5, 1).otherwise(0).alias("label"), F.max("size").alias("size"))
     return LearningRows(texts, once.withColumn("held", F.pmod(F.xxhash64("doc", F.lit(7)), F.lit(CALIBRATION_SHARE)) == 0))
 
@@ -349,7 +357,12 @@ class ToxicityModel:
         ids, y, held, size, h, tf = self._examples(learn.texts, known, examples, example_bytes)
         terms = np.unique(h)
         shared = spark.sparkContext.broadcast(terms)
-        packed = learn.texts.select("doc", "_hash", "_text").mapInArrow(_packed(shared), f"doc {dict(known.dtypes)['doc']}, _hash binary, terms binary")
+        bits = known.filter("not held").select(F.shiftright(_bit("doc"), 3).alias("byte"), F.expr("shiftleft(1, cast(xxhash64(doc) & 7 as int))").alias("b"))
+        found = bits.groupBy("byte").agg(F.bit_or("b").alias("b")).toArrow()
+        ids_map = np.zeros(1 << (MAP_BITS - 3), dtype=np.uint8)
+        ids_map[found.column("byte").to_numpy()] = found.column("b").to_numpy()
+        packed = learn.texts.select("doc", "_hash", "_text", F.coalesce(_bit("doc"), F.lit(0)).alias("bit")).mapInArrow(
+            _packed(shared, spark.sparkContext.broadcast(ids_map)), f"doc {dict(known.dtypes)['doc']}, _hash binary, terms binary")
         own = packed.join(known.filter("not held").select("doc", "_hash", "label"), ["doc", "_hash"]).dropDuplicates(["doc", "_hash"])
         counts = (own.select("label", "terms").mapInArrow(_class_frequencies(len(terms)), "label int, term int, n bigint")
                   .groupBy("label", "term").agg(F.sum("n").alias("n")).toArrow())
