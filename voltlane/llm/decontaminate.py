@@ -198,7 +198,7 @@ def contamination(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", tex
         own = items.filter(F.pmod(F.xxhash64("_text", "_item"), F.lit(blocks)) == b) if blocks > 1 else items
         first, last = b == 0, b == blocks - 1
         scan = _scan(_Index(own.toArrow()), first, last)
-        state = state.mapInArrow(scan, f"{own_columns}{'' if last else ', _text string'}, {STATE}")
+        state = state.mapInArrow(tx.tidy(scan), f"{own_columns}{'' if last else ', _text string'}, {STATE}")
         if not last:
             state = materialize(state)
     named = F.array_sort(F.array_distinct(F.filter("items", lambda x: x.isNotNull())))

@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -143,10 +142,10 @@ def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
     table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     shared = texts.sparkSession.sparkContext.broadcast(table)
 
-    @F.pandas_udf("boolean")
-    def maybe(bits: pd.Series) -> pd.Series:
-        b = bits.to_numpy(dtype=np.int64, na_value=0)
-        return pd.Series((shared.value[b >> 6] >> (b & 63)) & 1 == 1)
+    @F.arrow_udf("boolean")
+    def maybe(bits: pa.Array) -> pa.Array:
+        b = bits.fill_null(0).to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[b >> 6] >> (b & 63)) & 1 == 1)
 
     return texts.filter(maybe(bit))
 
@@ -161,7 +160,7 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
     rows = partners.unionByName(centers).join(_only(texts, wanted), "doc").select("a", "cut", "role", F.col("doc").alias("b"), "_text")
     return (rows.repartition("a", "cut").sortWithinPartitions("a", "cut", "role")
-            .mapInArrow(_compare, "a bigint, b bigint, linked boolean"))
+            .mapInArrow(tx.tidy(_compare), "a bigint, b bigint, linked boolean"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -287,14 +286,14 @@ def _crowded_links(crowds: DataFrame, classes: DataFrame, labels: DataFrame, tex
             .select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "rep", "label",
                     "n_shingles", "sig"))
     schema = "key bigint, lo int, hi int, side int, rep bigint, label bigint, n_shingles bigint, sig binary"
-    active = materialize(rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_active, schema))
+    active = materialize(rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(tx.tidy(_active), schema))
     wanted = active.select("rep").distinct()
     # One text for each class: the rows of its smallest id that have its set size.
     near = _only(texts, wanted.select(F.col("rep").alias("doc")))
-    sets = (near.withColumnRenamed("doc", "rep").join(wanted, "rep").mapInArrow(_to_sets, "rep bigint, set binary")
+    sets = (near.withColumnRenamed("doc", "rep").join(wanted, "rep").mapInArrow(tx.tidy(_to_sets), "rep bigint, set binary")
             .withColumn("n_shingles", (F.octet_length("set") / 8).cast("bigint")).dropDuplicates(["rep", "n_shingles"]))
     return (active.join(sets, ["rep", "n_shingles"]).select(*[c.split()[0] for c in schema.split(", ")], "set")
-            .repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_join_cells, "a bigint, b bigint"))
+            .repartition(*cell).sortWithinPartitions(*cell).mapInArrow(tx.tidy(_join_cells), "a bigint, b bigint"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -305,11 +304,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     component. A row without id is linked with nothing: its component is null and it is kept. An empty table gives an
     empty result. The plan runs jobs while it is built."""
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).cast("string").alias("_text"))
-    sketches = materialize(source.mapInArrow(_sketch, f"doc bigint, {SKETCH}"))
+    sketches = materialize(source.mapInArrow(tx.tidy(_sketch), f"doc bigint, {SKETCH}"))
     same = ["s1", "s2", "n_shingles"]
     classes = materialize(sketches.filter("n_shingles > 0 and doc is not null").groupBy(*same).agg(
         F.min("doc").alias("rep"), F.first("sig").alias("sig")))
-    keys = classes.select("rep", "sig").mapInArrow(_file, "key bigint, rep bigint")
+    keys = classes.select("rep", "sig").mapInArrow(tx.tidy(_file), "key bigint, rep bigint")
     groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("center")).filter("n > 1")
     shared = materialize(keys.join(groups, "key"))
     stars = shared.filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
@@ -320,7 +319,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         return classes.select(F.col("rep").alias(which), F.col("n_shingles").alias(f"n_{which}"), F.col("sig").alias(f"sig_{which}"))
 
     pairs = materialize(stars.join(side("a"), "a").join(side("b"), "b").filter(size_ok)
-                        .select("a", "b", "sig_a", "sig_b").mapInArrow(_near, "a bigint, b bigint"))
+                        .select("a", "b", "sig_a", "sig_b").mapInArrow(tx.tidy(_near), "a bigint, b bigint"))
     texts = source
     tested = materialize(_verify(pairs, texts))
     linked = tested.filter("linked").select("a", "b")

@@ -15,7 +15,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -191,19 +190,20 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary
     source = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("_text"))
     kind = dict(source.dtypes)["doc"]
     names = [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * with_ids
-    pieces = source.mapInArrow(_pieces(spec, length, end_id, with_ids), f"doc {kind}, {PIECES}{', ids array<int>' * with_ids}")
+    pieces = source.mapInArrow(tx.tidy(_pieces(spec, length, end_id, with_ids)), f"doc {kind}, {PIECES}{', ids array<int>' * with_ids}")
     pieces = materialize(pieces.withColumn("_rid", F.monotonically_increasing_id()))
     full = F.col("length") == length
     rests = pieces.filter(~full)
     groups = max(1, math.ceil(rests.count() / group))
     slim = rests.select(F.pmod(F.xxhash64("_rid", F.lit(seed)), F.lit(groups)).alias("_group"), "_rid", "length")
 
-    def place(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_rid")
-        bins, offsets = first_fit_decreasing(frame["length"].to_numpy(), length)
-        return pd.DataFrame({"_rid": frame["_rid"], "sequence_id": (frame["_group"] * (1 << 32) + bins) * 2, "offset": offsets})
+    def place(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_rid")
+        bins, offsets = first_fit_decreasing(table.column("length").to_numpy(), length)
+        return pa.table({"_rid": table.column("_rid"), "sequence_id": (table.column("_group").to_numpy() * (1 << 32) + bins) * 2,
+                         "offset": offsets})
 
-    placed = slim.groupBy("_group").applyInPandas(place, "_rid bigint, sequence_id bigint, offset bigint")
+    placed = slim.groupBy("_group").applyInArrow(place, "_rid bigint, sequence_id bigint, offset bigint")
     out = (rests.join(placed, "_rid").drop("_rid")
            .unionByName(pieces.filter(full).withColumn("sequence_id", F.col("_rid") * 2 + 1)
                         .withColumn("offset", F.lit(0).cast("bigint")).drop("_rid")))

@@ -316,20 +316,20 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return packed.repartition("route").sortWithinPartitions("route")
 
     def gathered(packed: DataFrame) -> DataFrame:
-        return by_route(packed).mapInArrow(_gather, PLACES)
+        return by_route(packed).mapInArrow(tx.tidy(_gather), PLACES)
 
     # A copy of a text with a smaller id repeats it whole and is no first place of any window: it need not be looked at.
     copied = copies.groupBy("doc").agg(F.collect_list("hash").alias("copied"))
     not_copied = ~F.coalesce(F.array_contains("copied", F.md5(F.coalesce("_text", F.lit("")).cast("binary"))), F.lit(False))
-    anchors = joined(copied).filter(not_copied).select(F.col("doc").alias("_doc"), "_text", "_row").mapInArrow(_send_anchors(routes), PACKED)
-    anchors = by_route(anchors).mapInArrow(lambda it: _repeated_anchors(it, routes), PACKED)
+    anchors = joined(copied).filter(not_copied).select(F.col("doc").alias("_doc"), "_text", "_row").mapInArrow(tx.tidy(_send_anchors(routes)), PACKED)
+    anchors = by_route(anchors).mapInArrow(tx.tidy(lambda it: _repeated_anchors(it, routes)), PACKED)
     near = gathered(anchors).join(copied, "doc", "full")
     found = (joined(near).filter(not_copied & F.col("places").isNotNull()).select("doc", "_text", "_row", "_tag", "places")
-             .mapInArrow(_send_windows(routes), PACKED))
-    found = by_route(found).mapInArrow(lambda it: _repeated_windows(it, routes), PACKED)
+             .mapInArrow(tx.tidy(_send_windows(routes)), PACKED))
+    found = by_route(found).mapInArrow(tx.tidy(lambda it: _repeated_windows(it, routes)), PACKED)
     last = joined(gathered(found).join(copied, "doc", "full")).withColumn("_whole", ~not_copied)
     last = last.select("_text", "_row", "_tag", "places", "_whole").unionByName(rows.filter("doc is null").select(
         "_text", "_row", F.lit(0).cast("bigint").alias("_tag"), F.lit(None).cast("binary").alias("places"), F.lit(False).alias("_whole")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema["_row"].dataType.fields)
     return last.mapInArrow(
-        _cut, f"{schema}, n_words bigint, n_removed bigint, removed array<struct<start:bigint,stop:bigint>>, kept_text string")
+        tx.tidy(_cut), f"{schema}, n_words bigint, n_removed bigint, removed array<struct<start:bigint,stop:bigint>>, kept_text string")

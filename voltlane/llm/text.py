@@ -6,8 +6,10 @@ word. Work arrays cover at most ``BLOCK`` bytes of text (or one longer word), wh
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +56,7 @@ def _power_tables(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """B**0..B**n and their inverses modulo 2**64."""
     have = _powers.get(which)
     if have is None or len(have[0]) <= n:
-        size = max(n, BLOCK + 4096) + 1
+        size = (BLOCK // 4 if n <= BLOCK // 4 else max(n, BLOCK + 4096)) + 1
         with np.errstate(over="ignore"):
             tables = []
             for base in (_BASES[which], pow(_BASES[which], -1, 2**64)):
@@ -67,6 +69,28 @@ def _power_tables(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def release() -> None:
+    """Give free memory back to the system. A worker is used again for other tasks, and up to one worker for each Python
+    step of a task waits beside those that run, so what all of them hold adds up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``work``, with ``release`` when it is done."""
+
+    @wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
 @dataclass
 class Words:
     """Words of several texts. Word ``w`` is ``data[starts[w]:ends[w]]``; text ``d`` has words first[d] up to

@@ -41,6 +41,8 @@ POWERS = (0.0, 0.5, 1.0)
 PRIOR = 0.5
 #: A word that more than one in so many examples have is frequent; examples of a block, blocks looked at before the others.
 OFTEN, BLOCK_ROWS, FIRST_BLOCKS = 16, 64, 4
+#: Bytes of text whose words are looked at together (or one longer text): work arrays take some 50 times that.
+PIECE = 1 << 18
 #: Cosines held at a time.
 CELLS = 1 << 21
 CALIBRATION_SHARE = 4
@@ -89,10 +91,11 @@ def _frequencies(terms):
         v = len(terms.value)
         total, texts = np.zeros(v, dtype=np.int64), 0
         for batch in batches:
-            for rows, data, offsets in tx.text_pieces(batch, "_text", tx.BLOCK):
+            for rows, data, offsets in tx.text_pieces(batch, "_text", PIECE):
                 h, words = _terms(data, offsets)
                 where, at = vocabulary.find(h)
-                total += np.bincount(np.unique(words.doc_of_words()[where] * v + at) % max(v, 1), minlength=v)
+                term, n = np.unique(np.unique(words.doc_of_words()[where] * v + at) % max(v, 1), return_counts=True)
+                total[term] += n
                 texts += rows.stop - rows.start
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(total[some], texts))],
@@ -115,7 +118,7 @@ def _packed(terms, ids):
         for batch in batches:
             bit = batch.column("bit").to_numpy()
             batch = batch.filter(pa.array((ids.value[bit >> 3] >> (bit & 7) & 1).astype(bool)))
-            for rows, data, offsets in tx.text_pieces(batch, "_text", tx.BLOCK):
+            for rows, data, offsets in tx.text_pieces(batch, "_text", PIECE):
                 n = rows.stop - rows.start
                 h, words = _terms(data, offsets)
                 where, at = vocabulary.find(h)
@@ -362,16 +365,16 @@ class ToxicityModel:
         ids_map = np.zeros(1 << (MAP_BITS - 3), dtype=np.uint8)
         ids_map[found.column("byte").to_numpy()] = found.column("b").to_numpy()
         packed = learn.texts.select("doc", "_hash", "_text", F.coalesce(_bit("doc"), F.lit(0)).alias("bit")).mapInArrow(
-            _packed(shared, spark.sparkContext.broadcast(ids_map)), f"doc {dict(known.dtypes)['doc']}, _hash binary, terms binary")
+            tx.tidy(_packed(shared, spark.sparkContext.broadcast(ids_map))), f"doc {dict(known.dtypes)['doc']}, _hash binary, terms binary")
         own = packed.join(known.filter("not held").select("doc", "_hash", "label"), ["doc", "_hash"]).dropDuplicates(["doc", "_hash"])
-        counts = (own.select("label", "terms").mapInArrow(_class_frequencies(len(terms)), "label int, term int, n bigint")
+        counts = (own.select("label", "terms").mapInArrow(tx.tidy(_class_frequencies(len(terms))), "label int, term int, n bigint")
                   .groupBy("label", "term").agg(F.sum("n").alias("n")).toArrow())
         by_class = np.zeros((2, len(terms) + 1), dtype=np.int64)
         by_class[counts.column("label").to_numpy(), counts.column("term").to_numpy()] = counts.column("n").to_numpy()
         (b, a), (n0, n1) = by_class[:, :-1], by_class[:, -1].tolist()
         total, df = n0 + n1, a + b
         if docs is not None:
-            found = (docs.select(F.col(text).cast("string").alias("_text")).mapInArrow(_frequencies(shared), "term int, n bigint")
+            found = (docs.select(F.col(text).cast("string").alias("_text")).mapInArrow(tx.tidy(_frequencies(shared)), "term int, n bigint")
                      .groupBy("term").agg(F.sum("n").alias("n")).toArrow())
             df = np.zeros(len(terms) + 1, dtype=np.int64)
             df[found.column("term").to_numpy()] = found.column("n").to_numpy()
@@ -400,7 +403,7 @@ class ToxicityModel:
 
         def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for rows, data, offsets in tx.text_pieces(batch, "_text", tx.BLOCK):
+                for rows, data, offsets in tx.text_pieces(batch, "_text", PIECE):
                     n = rows.stop - rows.start
                     doc, h, tf = _term_counts(data, offsets)
                     ends = pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32())
@@ -410,7 +413,7 @@ class ToxicityModel:
 
         # At most ``examples`` rows of ids a class are broadcast; a repeated row is the same example again.
         found = (texts.join(F.broadcast(few.select("place", "doc", "_hash")), ["doc", "_hash"]).select("place", "_text")
-                 .mapInArrow(terms_of, "place int, terms array<bigint>, tf array<bigint>").toArrow().combine_chunks())
+                 .mapInArrow(tx.tidy(terms_of), "place int, terms array<bigint>, tf array<bigint>").toArrow().combine_chunks())
         places, at = np.unique(found.column("place").to_numpy(), return_index=True)
         found = found.take(pa.array(at)).combine_chunks()
         lists = found.column("terms").combine_chunks() if len(places) else pa.array([], pa.list_(pa.int64()))
@@ -445,7 +448,8 @@ class ToxicityModel:
         def rate(texts: pa.Array) -> pa.Array:
             index, base, fit = shared.value
             batch = pa.RecordBatch.from_arrays([texts], names=["_text"])
-            scores = [_rated(index, base, fit, data, offsets)[0] for _, data, offsets in tx.text_pieces(batch, "_text", tx.BLOCK)]
+            scores = [_rated(index, base, fit, data, offsets)[0] for _, data, offsets in tx.text_pieces(batch, "_text", PIECE)]
+            tx.release()
             return pa.array(np.concatenate(scores) if scores else np.empty(0), pa.float64())
 
         return rate(F.col(text).cast("string"))
@@ -470,7 +474,7 @@ class ToxicityModel:
             for batch in batches:
                 if carried:
                     batch = batch.append_column("_text", batch.column("_row").field(names.index(text)))
-                for rows, data, offsets in tx.text_pieces(batch, "_text", tx.BLOCK):
+                for rows, data, offsets in tx.text_pieces(batch, "_text", PIECE):
                     p, cosines, which = _rated(index, base, fit, data, offsets)
                     row = batch.column("_row").slice(rows.start, len(p))
                     evidence = [[{"id": int(index.ids[j]), "label": int(index.labels[j]), "cosine": float(c)}
@@ -481,5 +485,5 @@ class ToxicityModel:
                         names=[*names, "score", "predicted", "evidence"])
 
         schema = ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))
-        return source.mapInArrow(rate, f"{schema}, score double, predicted int, "
+        return source.mapInArrow(tx.tidy(rate), f"{schema}, score double, predicted int, "
                                        "evidence array<struct<id:bigint,label:int,cosine:double>>")
