@@ -358,6 +358,7 @@ class ToxicityModel:
         spark = learn.known.sparkSession
         known = materialize(learn.known)
         ids, y, held, size, h, tf = self._examples(learn.texts, known, examples, example_bytes)
+        tx.release()
         terms = np.unique(h)
         shared = spark.sparkContext.broadcast(terms)
         bits = known.filter("not held").select(F.shiftright(_bit("doc"), 3).alias("byte"), F.expr("shiftleft(1, cast(xxhash64(doc) & 7 as int))").alias("b"))
@@ -382,10 +383,17 @@ class ToxicityModel:
         self.base = n1 / (n0 + n1 + 1) if n0 and n1 else 0.0
         # Without both classes no word has a weight, so no text has neighbours.
         idf, ratio = (np.log((total + 1) / (df + 1)) + 1) * bool(n0 and n1), _likelihood_ratio(a, b, n1, n0)
-        tried = [self._fitted(_Vectors(terms, idf * ratio ** power), y, ids, held, size, h, tf) for power in POWERS]
-        best = min(range(len(POWERS)), key=lambda i: tried[i][0])
-        self.power, self.losses = POWERS[best], [loss for loss, _, _ in tried]
-        _, self.index, self.fit = tried[best]
+        # Only the best index so far is kept.
+        self.losses, self.index = [], None
+        for power in POWERS:
+            loss, index, fit = self._fitted(_Vectors(terms, idf * ratio ** power), y, ids, held, size, h, tf)
+            if self.index is None or loss < min(self.losses):
+                self.power, self.index, self.fit = power, index, fit
+            self.losses.append(loss)
+            del index
+            tx.release()
+        del size, h, tf
+        tx.release()
         self.shared = spark.sparkContext.broadcast((self.index, self.base, self.fit))
 
     @staticmethod
@@ -409,15 +417,15 @@ class ToxicityModel:
                     ends = pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32())
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("place").slice(rows.start, n), pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64))),
-                         pa.ListArray.from_arrays(ends, pa.array(tf, pa.int64()))], names=["place", "terms", "tf"])
+                         pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32()))], names=["place", "terms", "tf"])
 
         # At most ``examples`` rows of ids a class are broadcast; a repeated row is the same example again.
         found = (texts.join(F.broadcast(few.select("place", "doc", "_hash")), ["doc", "_hash"]).select("place", "_text")
-                 .mapInArrow(tx.tidy(terms_of), "place int, terms array<bigint>, tf array<bigint>").toArrow().combine_chunks())
+                 .mapInArrow(tx.tidy(terms_of), "place int, terms array<bigint>, tf array<int>").toArrow().combine_chunks())
         places, at = np.unique(found.column("place").to_numpy(), return_index=True)
         found = found.take(pa.array(at)).combine_chunks()
         lists = found.column("terms").combine_chunks() if len(places) else pa.array([], pa.list_(pa.int64()))
-        tf = found.column("tf").combine_chunks().flatten().to_numpy() if len(places) else np.empty(0, np.int64)
+        tf = found.column("tf").combine_chunks().flatten().to_numpy() if len(places) else np.empty(0, np.int32)
         ids = np.array([chosen[p][1] for p in places], dtype=np.int64)
         y, held = np.array([chosen[p][3] for p in places], dtype=np.int64), np.array([chosen[p][4] for p in places], dtype=bool)
         return ids, y, held, lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy().view(np.uint64), tf
