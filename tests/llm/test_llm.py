@@ -489,6 +489,45 @@ def test_html(spark):
     assert main_text("a" * 10**6, None) == "a" * 10**6
 
 
+def _article(i, body, strip="Sold as is. No warranty of any kind is given here."):
+    return f"<nav>menu</nav><div>beside</div><article><h1>Title {i}</h1><p>{body}</p><div class='legal-strip'><p>{strip}</p></div></article>"
+
+
+def _extracted(spark, pages, host="http://h/"):
+    rows = [(i, host, p) for i, p in enumerate(pages)]
+    return {r.page_id: r.text.split("\n") for r in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+
+
+def test_html_notice_in_the_articles_of_a_host(spark):
+    def story(i):
+        return " ".join(f"w{i}x{j}" for j in range(30))
+    strip = "Sold as is. No warranty of any kind is given here."
+    got = _extracted(spark, [_article(i, story(i)) for i in range(8)])
+    assert all(got[i] == [f"Title {i}", story(i)] for i in range(8))
+    # Parts that differ stay, and so does what stands in less than half of the articles.
+    got = _extracted(spark, [_article(i, story(i), strip if i < 3 else f"Own words of {i}.") for i in range(8)])
+    assert all(got[i] == [f"Title {i}", story(i), strip if i < 3 else f"Own words of {i}."] for i in range(8))
+    # With its article, whole or edited, a part may repeat; three articles say nothing.
+    assert all(len(t) == 3 for t in _extracted(spark, [_article(1, story(1))] * 8).values())
+    copies = _extracted(spark, [_article(1, story(1) + f" end{i}") for i in range(8)])
+    assert all(copies[i] == ["Title 1", story(1) + f" end{i}", strip] for i in range(8))
+    assert all(len(t) == 3 for t in _extracted(spark, [_article(i, story(i)) for i in range(3)]).values())
+    # The same story under its own title on each page is the article, not a notice.
+    same = _extracted(spark, [f"<article><h1>Title {i}</h1><div class=body><p>{story(0)}</div></article>" for i in range(8)])
+    assert all(same[i] == [f"Title {i}", story(0)] for i in range(8))
+
+
+def test_html_text_is_what_the_tree_keeps(spark, monkeypatch):
+    import voltlane.llm.html_extract as module
+
+    page = _article(0, "one two three")
+    assert [b.kind for b in module.branches(page)] == ["chrome", "beside", "article", "part"]
+    assert _extracted(spark, [page])[0][:2] == ["Title 0", "one two three"]
+    judge = module.importance
+    monkeypatch.setattr(module, "importance", lambda nodes: judge(nodes).withColumn("importance", F.lit(1.0)))
+    assert _extracted(spark, [page])[0][:2] == ["menu", "beside"]
+
+
 def _least_cost(roles):
     best = {0: 0}
     for r in roles:
